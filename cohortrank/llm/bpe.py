@@ -2,15 +2,16 @@
 
 A piece's merges run on a segment tree over its byte positions. The leaf of a live position holds the rank of
 the pair that starts there, the root the leftmost minimum; a merge changes three leaves, so a piece of n bytes
-takes O(n log n) however long it is.
+takes O(n log n) however long it is. Short pieces are merged many at a time, each in a tree of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,14 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No match of the tokenizer's pattern runs from a non-space into a space, so a text can be encoded unit by unit.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Without this, splitting at each space gives units.
+SPACED = re.compile(f"[{SPACE}] | $")
 #: Units that a Python worker remembers at most, and the longest that it remembers.
 CACHE_UNITS, CACHE_CHARS = 400_000, 40
+#: Units encoded together at most, and the length from which a text is split into units piecemeal.
+GROUP_UNITS, LONG_TEXT = 200_000, 1_000_000
+#: Pieces of up to 2**TREE_BITS bytes are merged TREE_ROWS at a time.
+TREE_BITS, TREE_ROWS = 6, 16_384
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,8 +87,146 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Maps a unit to the packed ids of its pieces; a dict, so that repeated units cost a lookup."""
+class MergeTrees:
+    """merge() for many pieces at once: a row of a matrix is the segment tree of one piece, and every step merges
+    the root's pair in all rows that have one left."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        table = np.array(pairs, np.int64).reshape(-1, 3)
+        keys = table[:, 0] << 32 | table[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], table[order, 2].astype(np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = self.rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of merged pairs, -1 where there is none; an id of -1 has none."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (right >= 0), self.values[at], -1)
+
+    def ids(self, pieces: list[bytes], bits: int) -> list[bytes]:
+        """Packed ids of pieces of at most 2**bits bytes each."""
+        size, m, none = 1 << bits, len(pieces), np.int64(1 << 62)
+        lengths = np.fromiter(map(len, pieces), np.int64, m)
+        data = np.zeros((m, size + 1), np.uint8)
+        inside = np.arange(size + 1) < lengths[:, None]
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.where(inside, self.byte_ids[data], -1)
+        tree = np.full((m, 2 * size), none)
+        pair = self.byte_pairs[data[:, :-1], data[:, 1:]].astype(np.int64)
+        tree[:, size:] = np.where(inside[:, 1:] & (pair >= 0), pair << bits | np.arange(size), none)
+        level = size
+        while level > 1:
+            level >>= 1
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        after = np.tile(np.arange(1, size + 2), (m, 1))
+        before = np.tile(np.arange(-1, size), (m, 1))
+        live = inside.copy()
+        rows = np.flatnonzero(tree[:, 1] != none)
+        while len(rows):
+            top = tree[rows, 1]
+            at = top & (size - 1)
+            gone = after[rows, at]
+            stop = after[rows, gone]
+            ids[rows, at] = top >> bits
+            after[rows, at] = stop
+            before[rows, stop] = at
+            live[rows, gone] = False
+            first = before[rows, at]
+            ahead = self.rank(ids[rows, at], ids[rows, stop]).astype(np.int64)
+            behind = self.rank(np.where(first >= 0, ids[rows, first], 0), np.where(first >= 0, ids[rows, at], -1)).astype(np.int64)
+            tree[rows, size + np.minimum(gone, size - 1)] = none
+            tree[rows, size + at] = np.where(ahead >= 0, ahead << bits | at, none)
+            has = first >= 0
+            tree[rows[has], size + first[has]] = np.where(behind >= 0, behind << bits | first, none)[has]
+            nodes = size + np.stack([gone, at, np.where(has, first, at)])
+            for _ in range(bits):
+                nodes >>= 1
+                for k in nodes:
+                    tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
+            rows = rows[tree[rows, 1] != none]
+        packed = ids[live].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(live.sum(1))
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+class Units(dict):
+    """A bounded memory of the packed ids of units; before is what stands before each key in the text."""
+
+    def __init__(self, before: str, learn: Callable[[list[str]], list[bytes]]):
+        super().__init__()
+        self.before, self.learn = before, learn
+
+    def __missing__(self, unit: str) -> bytes:
+        """For what is too long to be remembered."""
+        return self.learn([self.before + unit])[0]
+
+    def meet(self, units: set[str]) -> None:
+        new = [u for u in units.difference(self) if len(u) <= CACHE_CHARS]
+        if new:
+            if len(self) + len(new) > CACHE_UNITS:
+                self.clear()
+                new = [u for u in units if len(u) <= CACHE_CHARS]
+            self.update(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
+
+
+class UnitEncoder:
+    """Encodes texts unit by unit; learn() gives the packed ids of new units."""
+
+    def __init__(self):
+        self.bare, self.spaced = Units("", self.learn), Units(" ", self.learn)
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def split(self, text: str) -> Iterator[tuple[Units, list[str]]]:
+        """The units of a text, in lists of bounded length."""
+        if len(text) > LONG_TEXT:
+            found = (m[0] for m in UNIT.finditer(text))
+            while units := list(islice(found, GROUP_UNITS)):
+                yield self.bare, units
+        elif SPACED.search(text):
+            yield self.bare, UNIT.findall(text)
+        else:  # every space starts a unit
+            first, *rest = text.split(" ")
+            yield self.bare, [first] if first else []
+            yield self.spaced, rest
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """encode() of each text; null texts have no ids. Units are taken in groups of bounded size."""
+        out: list[list[bytes]] = []
+        held: list[tuple[list[bytes], Units, list[str]]] = []
+        n = 0
+
+        def settle() -> None:
+            for memory in (self.bare, self.spaced):
+                memory.meet(set().union(*(units for _, m, units in held if m is memory)))
+            for parts, memory, units in held:
+                parts.append(b"".join(map(memory.__getitem__, units)))
+            held.clear()
+
+        for text in texts:
+            parts: list[bytes] = []
+            out.append(parts)
+            for memory, units in self.split(text) if text else ():
+                held.append((parts, memory, units))
+                n += len(units)
+                if n >= GROUP_UNITS:
+                    settle()
+                    n = 0
+        settle()
+        return [b"".join(x) for x in out]
+
+
+class Encoder(UnitEncoder):
+    """Byte-level BPE by the ranks in the file at path, each match of pattern on its own."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
@@ -90,24 +235,29 @@ class Encoder(dict):
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.tokens[r] = token
+        self.whole = {token: np.array([r], "<u4").tobytes() for token, r in self.ranks.items()}
+        self.merged: dict[bytes, bytes] = {}
+        self.trees = MergeTrees(self.ranks)
         self.pieces = regex.compile(pattern).findall
 
-    def __missing__(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(unit):
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids += merge(data, self.ranks, self.longest) if whole is None else [whole]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(unit) <= CACHE_CHARS:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+    def learn(self, units: list[str]) -> list[bytes]:
+        split = [[p.encode() for p in self.pieces(u)] for u in units]
+        whole = self.whole
+        new = {p for own in split for p in own if p not in whole}
+        if len(new) + len(self.merged) > CACHE_UNITS:
+            self.merged.clear()
+        classes: dict[int, list[bytes]] = {}
+        for p in new.difference(self.merged):
+            classes.setdefault((len(p) - 1).bit_length(), []).append(p)
+        for bits, pieces in classes.items():
+            if bits > TREE_BITS:
+                self.merged.update((p, np.array(merge(p, self.ranks, self.longest), "<u4").tobytes()) for p in pieces)
+                continue
+            for k in range(0, len(pieces), TREE_ROWS):
+                part = pieces[k : k + TREE_ROWS]
+                self.merged.update(zip(part, self.trees.ids(part, bits), strict=True))
+        merged = self.merged
+        return [b"".join([whole[p] if p in whole else merged[p] for p in own]) for own in split]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -130,7 +280,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = own.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 [id_col, "n_tokens", "ids"],

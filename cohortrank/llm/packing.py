@@ -7,27 +7,38 @@ so many bins at one offset. Pieces then find their place by their rank in the or
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.bpe import SPACE
+from cohortrank.llm.bpe import CACHE_UNITS, GROUP_UNITS, LONG_TEXT, SPACE, UnitEncoder, Units
 from cohortrank.llm.common import materialise, with_global_order
 
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Pieces that the tokenizer is given in one call.
+PIECES = 2000
 WORD = re.compile(f"[^{SPACE}]+")
+#: str.split() parts at these, which are no white space.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-class WordEncoder(dict):
-    """Maps a run of non-spaces to its packed ids. The tokenizer drops white space and never joins across it."""
+class WordEncoder(UnitEncoder):
+    """Ids by the tokenizer, which drops white space and merges within the matches of its own pattern only.
+
+    Texts are split at white space. New words are normalized and split as the tokenizer's file says, and the
+    tokenizer encodes their new pieces, many in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,17 +46,39 @@ class WordEncoder(dict):
         super().__init__()
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.own.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, WORD.findall(text)))
+        rules = json.loads(self.own.to_str())
+        steps = [x["type"] for x in rules["normalizer"]["normalizers"]], [x["type"] for x in rules["pre_tokenizer"]["pretokenizers"]]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"{path} holds a tokenizer of another kind: {steps}")
+        self.pieces = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.known: dict[str, bytes] = {}
+
+    def split(self, text: str) -> Iterator[tuple[Units, list[str]]]:
+        if len(text) > LONG_TEXT or SEPARATORS.search(text):
+            found = (m[0] for m in WORD.finditer(text))
+            while words := list(islice(found, GROUP_UNITS)):
+                yield self.bare, words
+        else:
+            yield self.bare, text.split()
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        split = [self.pieces(unicodedata.normalize("NFC", u).replace("\u03a3", "\u03c3").lower()) for u in units]
+        new = {p for own in split for p in own}
+        if len(self.known) + len(new) > CACHE_UNITS:
+            self.known.clear()
+        pieces = list(new.difference(self.known))
+        for k in range(0, len(pieces), PIECES):
+            part = pieces[k : k + PIECES]
+            coded = self.own.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.array(coded.ids, "<u4"), np.array(coded.word_ids, np.int64)
+            if len(words) and words[-1] + 1 == len(part):  # each piece was one word
+                at = (4 * np.searchsorted(words, np.arange(len(part) + 1))).tolist()
+                packed = ids.tobytes()
+                self.known.update((p, packed[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
+            else:
+                self.known.update((p, np.array(self.own.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
+        known = self.known
+        return [b"".join([known[p] for p in own]) for own in split]
 
 
 @lru_cache(maxsize=2)
@@ -65,8 +98,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         own = word_encoder(path)
         for batch in batches:
             row, piece, start, ids = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                packed = (own.encode(text) if text else b"") + end
+            for i, packed in enumerate(own.encode_all(batch.column(1).to_pylist())):
+                packed += end
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     row.append(i)
                     piece.append(k)

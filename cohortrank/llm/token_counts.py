@@ -44,11 +44,12 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, separator: str = "\n"
         widths = np.array([len(x) for x in own.tokens], np.int64)
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for row, (text, packed) in enumerate(zip(texts, own.encode_all(texts), strict=True)):
                 data = (text or "").encode()
                 starts = section_starts(data, mark)
                 bounds = np.append(starts[1:], len(data))
-                ends = np.cumsum(widths[np.frombuffer(own.encode(text) if text else b"", "<u4")])
+                ends = np.cumsum(widths[np.frombuffer(packed, "<u4")])
                 begins = np.append(0, ends[:-1]) if len(ends) else ends
                 at = np.searchsorted(starts, begins, "right") - 1
                 crossing = ends > bounds[at] if len(ends) else np.zeros(0, bool)
