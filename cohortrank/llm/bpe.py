@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortrank.llm.common import slices
+
 #: Unicode White_Space, as the tokenizer's own \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No match of the tokenizer's pattern runs from a non-space into a space, so a text can be encoded unit by unit.
@@ -26,9 +28,9 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Without this, splitting at each space gives units.
 SPACED = re.compile(f"[{SPACE}] | $")
 #: Units that a Python worker remembers at most, and the longest that it remembers.
-CACHE_UNITS, CACHE_CHARS = 400_000, 40
+CACHE_UNITS, CACHE_CHARS = 450_000, 40
 #: Units encoded together at most, and the length from which a text is split into units piecemeal.
-GROUP_UNITS, LONG_TEXT = 200_000, 1_000_000
+GROUP_UNITS, LONG_TEXT = 100_000, 1_000_000
 #: Pieces of up to 2**TREE_BITS bytes are merged TREE_ROWS at a time.
 TREE_BITS, TREE_ROWS = 6, 16_384
 
@@ -160,17 +162,17 @@ class Units(dict):
         super().__init__()
         self.before, self.learn = before, learn
 
-    def __missing__(self, unit: str) -> bytes:
-        """For what is too long to be remembered."""
-        return self.learn([self.before + unit])[0]
-
-    def meet(self, units: set[str]) -> None:
-        new = [u for u in units.difference(self) if len(u) <= CACHE_CHARS]
+    def take(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units, new ones learned together."""
+        found = [list(map(self.get, units)) for units in lists]
+        new = list({u for units, ids in zip(lists, found, strict=True) for u, x in zip(units, ids, strict=True) if x is None})
         if new:
+            fresh = dict(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
+            found = [[fresh[u] if x is None else x for u, x in zip(units, ids, strict=True)] if None in ids else ids for units, ids in zip(lists, found, strict=True)]
             if len(self) + len(new) > CACHE_UNITS:
                 self.clear()
-                new = [u for u in units if len(u) <= CACHE_CHARS]
-            self.update(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
+            self.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
+        return list(map(b"".join, found))
 
 
 class UnitEncoder:
@@ -202,21 +204,22 @@ class UnitEncoder:
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """encode() of each text; null texts have no ids. Units are taken in groups of bounded size."""
         out: list[list[bytes]] = []
-        held: list[tuple[list[bytes], Units, list[str]]] = []
+        held: list[tuple[list[bytes], int, Units, list[str]]] = []
         n = 0
 
         def settle() -> None:
             for memory in (self.bare, self.spaced):
-                memory.meet(set().union(*(units for _, m, units in held if m is memory)))
-            for parts, memory, units in held:
-                parts.append(b"".join(map(memory.__getitem__, units)))
+                own = [(parts, at, units) for parts, at, m, units in held if m is memory]
+                for (parts, at, _), ids in zip(own, memory.take([units for _, _, units in own]), strict=True):
+                    parts[at] = ids
             held.clear()
 
         for text in texts:
             parts: list[bytes] = []
             out.append(parts)
             for memory, units in self.split(text) if text else ():
-                held.append((parts, memory, units))
+                held.append((parts, len(parts), memory, units))
+                parts.append(b"")
                 n += len(units)
                 if n >= GROUP_UNITS:
                     settle()
@@ -279,7 +282,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = own.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -297,7 +300,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             decoded = [own.decode(x) if x else b"" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(decoded, pa.binary())], schema.names)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise
+from cohortrank.llm.common import materialise, slices
 
 #: Lines of fewer tokens are never dropped; leading tokens that lead down the tree; tokens from which quarters open.
 MIN_TOKENS, DEPTH, WILD_TOKENS = 5, 2, 12
@@ -46,7 +46,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document: _id, and for each of its lines that has templates the line number and the templates' codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             numbers, codes = [], []
             for text in batch.column(1).to_pylist():
                 found = [(i, c) for i, x in enumerate((text or "").encode().split(b"\n")) for c in templates(x)]
@@ -92,7 +92,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, before, count = batch.column(text_col).to_pylist(), [], []
             changed = [False] * len(texts)
             for i, own in enumerate(batch.column("_gone").to_pylist()):

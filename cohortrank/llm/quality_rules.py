@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise
+from cohortrank.llm.common import materialise, slices
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed where more distinct texts of its host hold it than MIN_DOCS and than SHARE of them all.
@@ -50,7 +50,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
     """Per row: the base counts, a 128-bit code of the text, and the codes and word counts of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {x: [] for x in NAMES}
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -121,7 +121,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*docs.schema.fields, T.StructField("_host", T.StringType()), T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             codes = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(text_col).to_pylist()]
             a, b = ([int.from_bytes(c[s], "big", signed=True) for c in codes] for s in (slice(0, 8), slice(8, 16)))
             hosts = pa.array([x or "" for x in batch.column(host_col).cast(pa.string()).to_pylist()], pa.string())
@@ -133,7 +133,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text_col).to_pylist()
             for i, codes in enumerate(batch.column("_removed").to_pylist()):
                 if codes:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cohortrank.llm.bpe import encoder
+from cohortrank.llm.common import slices
 
 
 def section_starts(data: bytes, separator: bytes) -> np.ndarray:
@@ -42,7 +43,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, separator: str = "\n"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         widths = np.array([len(x) for x in own.tokens], np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             texts = batch.column(1).to_pylist()
             for row, (text, packed) in enumerate(zip(texts, own.encode_all(texts), strict=True)):

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortrank.llm.common import shared_dir
+from cohortrank.llm.common import shared_dir, slices
 
 VERSION = b"WARC/1.1\r\n"
 #: Payloads from this size on may be stored once; segments and chunks are cut at these sizes.
@@ -111,7 +111,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 own = f"<urn:page:{page_id}:{part}-{n}>"
@@ -135,7 +135,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for value in batch.column(0).to_pylist():
                 if not value:
@@ -170,7 +170,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     whole = records.where("segment = 0").select(*columns).unionByName(grouped.select(*columns))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.to_pydict()
             payloads, sizes, digests, intact = [], [], [], []
             for kind, said, block, ok in zip(rows["record_type"], rows["digest"], rows["block"], rows["whole"], strict=True):
