@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -16,7 +17,7 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(value.isNull(), None).otherwise(F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(values: pd.Series) -> pd.Series:
     """HTML entities resolved, compatibility forms taken apart and combining marks dropped."""
 
@@ -36,7 +37,7 @@ def text_key(value: Column, ascii_only: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(spelled, "[^a-z0-9 ]", " "), " +", " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings; 0 if either is missing. For use after a blocking join."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
