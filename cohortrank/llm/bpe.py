@@ -27,8 +27,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Without this, splitting at each space gives units.
 SPACED = re.compile(f"[{SPACE}] | $")
-#: Units that a Python worker remembers at most, and the longest that it remembers.
-CACHE_UNITS, CACHE_CHARS = 450_000, 40
+#: Units, and as many pieces, that a Python worker remembers at most; the longest unit that it remembers.
+CACHE_UNITS, CACHE_CHARS = 600_000, 40
 #: Units encoded together at most, and the length from which a text is split into units piecemeal.
 GROUP_UNITS, LONG_TEXT = 100_000, 1_000_000
 #: Pieces of up to 2**TREE_BITS bytes are merged TREE_ROWS at a time.
@@ -155,8 +155,31 @@ class MergeTrees:
         return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-class Units(dict):
-    """A bounded memory of the packed ids of units; before is what stands before each key in the text."""
+class Memory(dict):
+    """A dict of bounded size: when it is full its entries grow old, and of the old ones those asked for come back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def recall(self, keys: Iterable) -> list:
+        """Brings back old entries of keys; returns the keys that are not known at all."""
+        old, unknown = self.old, []
+        for k in keys:
+            if (x := old.get(k)) is None:
+                unknown.append(k)
+            else:
+                self[k] = x
+        return unknown
+
+    def settle(self) -> None:
+        if len(self) > CACHE_UNITS // 2:
+            self.old = dict(self)
+            self.clear()
+
+
+class Units(Memory):
+    """The packed ids of units; before is what stands before each key in the text."""
 
     def __init__(self, before: str, learn: Callable[[list[str]], list[bytes]]):
         super().__init__()
@@ -164,14 +187,22 @@ class Units(dict):
 
     def take(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of units, new ones learned together."""
-        found = [list(map(self.get, units)) for units in lists]
-        new = list({u for units, ids in zip(lists, found, strict=True) for u, x in zip(units, ids, strict=True) if x is None})
-        if new:
-            fresh = dict(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
-            found = [[fresh[u] if x is None else x for u, x in zip(units, ids, strict=True)] if None in ids else ids for units, ids in zip(lists, found, strict=True)]
-            if len(self) + len(new) > CACHE_UNITS:
-                self.clear()
-            self.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
+        found, missed, partial = [], set(), []
+        for k, units in enumerate(lists):
+            ids = list(map(self.get, units))
+            if missing := [u for u, x in zip(units, ids, strict=True) if x is None]:
+                missed.update(missing)
+                partial.append(k)
+            found.append(ids)
+        if missed:
+            new = self.recall(missed)
+            self.update(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
+            for k in partial:
+                found[k] = [self[u] if x is None else x for u, x in zip(lists[k], found[k], strict=True)]
+            for u in new:
+                if len(u) > CACHE_CHARS:
+                    del self[u]
+            self.settle()
         return list(map(b"".join, found))
 
 
@@ -239,18 +270,17 @@ class Encoder(UnitEncoder):
         for token, r in self.ranks.items():
             self.tokens[r] = token
         self.whole = {token: np.array([r], "<u4").tobytes() for token, r in self.ranks.items()}
-        self.merged: dict[bytes, bytes] = {}
+        self.merged = Memory()
         self.trees = MergeTrees(self.ranks)
         self.pieces = regex.compile(pattern).findall
 
     def learn(self, units: list[str]) -> list[bytes]:
         split = [[p.encode() for p in self.pieces(u)] for u in units]
         whole = self.whole
-        new = {p for own in split for p in own if p not in whole}
-        if len(new) + len(self.merged) > CACHE_UNITS:
-            self.merged.clear()
+        self.merged.settle()
+        new = self.merged.recall({p for own in split for p in own if p not in whole and p not in self.merged})
         classes: dict[int, list[bytes]] = {}
-        for p in new.difference(self.merged):
+        for p in new:
             classes.setdefault((len(p) - 1).bit_length(), []).append(p)
         for bits, pieces in classes.items():
             if bits > TREE_BITS:

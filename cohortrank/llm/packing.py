@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.bpe import CACHE_UNITS, GROUP_UNITS, LONG_TEXT, SPACE, UnitEncoder, Units
-from cohortrank.llm.common import materialise, with_global_order
+from cohortrank.llm.bpe import GROUP_UNITS, LONG_TEXT, SPACE, Memory, UnitEncoder, Units
+from cohortrank.llm.common import materialise, slices, with_global_order
 
-#: Pieces that the tokenizer is given in one call.
-PIECES = 2000
+#: Byte-level tokenizers write bytes that don't print as the characters from 256 on, in order.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 WORD = re.compile(f"[^{SPACE}]+")
+MARKS = ".,;:!?"
 #: str.split() parts at these, which are no white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -36,8 +39,8 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 class WordEncoder(UnitEncoder):
     """Ids by the tokenizer, which drops white space and merges within the matches of its own pattern only.
 
-    Texts are split at white space. New words are normalized and split as the tokenizer's file says, and the
-    tokenizer encodes their new pieces, many in one call.
+    Texts are split at white space. New words are normalized and split as the tokenizer's file says, and its model
+    gives the ids of their pieces.
     """
 
     def __init__(self, path: str):
@@ -46,12 +49,13 @@ class WordEncoder(UnitEncoder):
         super().__init__()
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
+        self.model = self.own.model
         rules = json.loads(self.own.to_str())
         steps = [x["type"] for x in rules["normalizer"]["normalizers"]], [x["type"] for x in rules["pre_tokenizer"]["pretokenizers"]]
         if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError(f"{path} holds a tokenizer of another kind: {steps}")
         self.pieces = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Memory()
 
     def split(self, text: str) -> Iterator[tuple[Units, list[str]]]:
         if len(text) > LONG_TEXT or SEPARATORS.search(text):
@@ -61,23 +65,23 @@ class WordEncoder(UnitEncoder):
         else:
             yield self.bare, text.split()
 
+    def parts(self, word: str) -> list[str]:
+        """The pieces of a word, normalized; words of letters with at most one mark at the end need no pattern."""
+        if not word.isascii():
+            return self.pieces(unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3").lower())
+        low = word.lower()
+        if word.isalpha():
+            return [low]
+        if low[-1] in MARKS and word[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pieces(low)
+
     def learn(self, units: list[str]) -> list[bytes]:
-        split = [self.pieces(unicodedata.normalize("NFC", u).replace("\u03a3", "\u03c3").lower()) for u in units]
-        new = {p for own in split for p in own}
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known.clear()
-        pieces = list(new.difference(self.known))
-        for k in range(0, len(pieces), PIECES):
-            part = pieces[k : k + PIECES]
-            coded = self.own.encode(" ".join(part), add_special_tokens=False)
-            ids, words = np.array(coded.ids, "<u4"), np.array(coded.word_ids, np.int64)
-            if len(words) and words[-1] + 1 == len(part):  # each piece was one word
-                at = (4 * np.searchsorted(words, np.arange(len(part) + 1))).tolist()
-                packed = ids.tobytes()
-                self.known.update((p, packed[a:b]) for p, a, b in zip(part, at, at[1:], strict=False))
-            else:
-                self.known.update((p, np.array(self.own.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
-        known = self.known
+        split, known, tokenize = list(map(self.parts, units)), self.known, self.model.tokenize
+        known.settle()
+        for p in known.recall({p for own in split for p in own if p not in known}):
+            ids = [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_CHARS))]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
         return [b"".join([known[p] for p in own]) for own in split]
 
 
@@ -86,17 +90,18 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", checksums: bool = False) -> DataFrame:
     """Tokenize whole texts, end each with end_id and cut those longer than capacity.
 
-    Returns per piece: id_col, piece (from 0), start, length, ids binary (little-endian unsigned 32-bit).
+    Returns per piece: id_col, piece (from 0), start, length, ids binary (little-endian unsigned 32-bit), or with
+    checksums ids_crc32 in place of ids.
     A null or empty text is end_id alone.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             row, piece, start, ids = [], [], [], []
             for i, packed in enumerate(own.encode_all(batch.column(1).to_pylist())):
                 packed += end
@@ -106,12 +111,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
                     start.append(at // 4)
                     ids.append(packed[at : at + 4 * capacity])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                [id_col, "piece", "start", "length", "ids"],
+                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()) if checksums else pa.array(ids, pa.binary())],
+                [id_col, *names],
             )
 
-    fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType())]
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(*f) for f in fields)])
+    names = ["piece", "start", "length", "ids_crc32" if checksums else "ids"]
+    kinds = [T.IntegerType(), T.LongType(), T.LongType(), T.LongType() if checksums else T.BinaryType()]
+    schema = T.StructType([docs.schema[id_col], *map(T.StructField, names, kinds)])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -222,5 +228,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    pieces = token_pieces(docs, path, capacity, end_id, id_col, text_col)
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity, id_col)
+    return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col, checksums=True), capacity, id_col)
