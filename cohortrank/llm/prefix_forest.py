@@ -49,8 +49,9 @@ def search(
     Equal vectors are searched once: of any vector only the k + 1 smallest ids can appear in a result. Buckets
     larger than BLOCK are split into blocks, so a task holds BLOCK vectors however common a prefix is.
     """
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     sound = (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
         .dropDuplicates(["vec_id"]).withColumn("key", F.xxhash64("v", F.lit(1))).withColumn("key2", F.hash("v"))
@@ -64,7 +65,7 @@ def search(
     order = W.partitionBy("key", "key2").orderBy("vec_id")
     points = sound.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
     points = materialise(points, "points")
-    n, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))).first()
+    n, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")))).first()
     asked = sound.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = asked.groupBy("key", "key2").agg(F.min("vec_id").alias("q"), F.min_by("v", "vec_id").alias("v"))
 
@@ -79,7 +80,7 @@ def search(
             for pdf in batches:
                 for at in range(0, len(pdf), 1024):
                     part = pdf.iloc[at : at + 1024]
-                    x = np.array(part["v"].tolist(), float).reshape(len(part), dim)
+                    x = np.array(part["v"].tolist(), np.float64).reshape(len(part), dim)
                     # one more coordinate makes all points equally long, so the nearest in angle has the largest product
                     more = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
                     codes = hash_strings(np.column_stack([x, more]), planes)
@@ -146,7 +147,7 @@ def search(
     pairs = asked.select(F.col("vec_id").alias("query_id"), "key", "key2", F.col("v").alias("qv")).join(
         queries.select("q", "key", "key2"), ["key", "key2"]
     ).join(near.select("q", "vec_id"), "q").where("query_id <> vec_id").join(points.select("vec_id", "v"), "vec_id")
-    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     ranked = pairs.select("query_id", "vec_id", exact.alias("score")).withColumn(
         "rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     )
