@@ -20,18 +20,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise, shuffle_partitions
+from cohortrank.llm.common import materialise, shuffle_partitions, slices
 from cohortrank.llm.components import components
 
 WORDS = 5
 #: Shingles that are ordered last: at most HEAVY of those that batches of rows hold REPEATS times or more. The
 #: list decides how much work there is, never which documents link.
-HEAVY, REPEATS = 131_072, 6
+HEAVY, REPEATS = 131_072, 2
 #: Documents in a block, bits of a bitmap at most, words that a worker remembers.
 BLOCK, BITS, CACHE_WORDS = 1024, 4096, 500_000
+MAYBE = np.uint64((1 << 23) - 1)
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
 
+TILE = ["clump", "band", "block"]
+#: Bits of the filter that thins out documents before they are joined by id: 8 MB, however many there are.
+FILTER_BITS = 1 << 26
+
+
 class WordCodes(dict):
     """64-bit codes of words."""
 
@@ -95,31 +101,39 @@ def short_code(code: bytes) -> int:
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, heavy: np.ndarray, percent: int) -> DataFrame:
     """For each document the first shingles of its set: one more than a linked document can lack."""
-    by_code = np.argsort(heavy)
+    by_code = np.argsort(heavy).astype(np.int32)
     known = heavy[by_code]
+    del heavy  # the tasks need the other two
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()  # copies within a task give the same rows
-        for batch in batches:
-            out, owner, counts = [], [], []
+        maybe = np.zeros(1 << 23, bool)  # thins out what is looked up among the frequent ones
+        maybe[known & MAYBE] = True
+        for batch in slices(batches):
+            out, owner, counts, sizes = [], [], [], []
             for text in batch.column(0).to_pylist():
                 own = shingle_set(text)
-                if not len(own) or (code := set_code(own)) in done:
+                size = len(own)
+                if not size or (code := set_code(own)) in done:
                     continue
                 done.add(code)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, by_code[at] + 1, 0)
-                    if rank.any():
-                        own = own[np.argsort(rank, kind="stable")]
-                own = own[: len(own) - -(-percent * len(own) // 100) + 1]
+                held = np.flatnonzero(maybe[own & MAYBE])
+                if len(held):
+                    at = np.minimum(np.searchsorted(known, own[held]), len(known) - 1)
+                    rank = np.zeros(size, np.int32)
+                    rank[held] = np.where(known[at] == own[held], by_code[at] + 1, 0)
+                    own = own[np.argsort(rank, kind="stable")]
+                own = own[: size - -(-percent * size // 100) + 1]
                 out.append(own)
                 owner.append(short_code(code))
                 counts.append(len(own))
+                sizes.append(size)
             shingles = np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(np.array(owner, np.int64), np.array(counts, np.int64)))], ["shingle", "owner"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingles), *(pa.array(np.repeat(np.array(x, kind), np.array(counts, np.int64))) for x, kind in ((owner, np.int64), (sizes, np.int32)))], ["shingle", "owner", "n"]
+            )
 
-    return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "shingle long, owner long")
+    return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "shingle long, owner long, n int")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -188,6 +202,35 @@ def join_tiles(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return tiles.mapInArrow(run, "a binary, b binary")
 
 
+def filtered(rows: DataFrame, keys: DataFrame, column: str, rest: bool = False) -> DataFrame:
+    """rows without most of those whose column is not in keys, or with rest the rows that this leaves out.
+
+    A bitmap of hashed keys decides, of fixed size: it may let others pass but never leaves out a row in keys."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+    bits = keys.select(at(column).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    place = F.bitmap_bit_position(at(column))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_bucket", F.bitmap_bucket_number(at(column))).join(F.broadcast(bits), "_bucket", "left")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    return held.where(~hit if rest else hit).drop("_bucket", "_bits")
+
+
+def tile_sets(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """placed (clump, band, block, node, rep, spots) with each node's shingles in place of rep."""
+    kept = [*TILE, "node", "spots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            same = pa.array([set_code(x) == code for x, code in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([x.tobytes() for x in own], pa.binary())], [*kept, "shingles"]).filter(same)
+
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text"))
+    found = filtered(texts, placed.select("rep"), "rep").join(placed, "rep").select("_text", *kept)
+    # rows that repeat an id and its text give a node twice; tile_links() takes equal sets as linked
+    return found.mapInArrow(run, "clump long, band int, block int, node binary, spots array<int>, shingles binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id that links reach from it, itself included.
 
@@ -198,54 +241,71 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     held = materialise(digest(docs, id_col, text_col), "digests")
     rows = held.where("kind = 0").select("id", "n", "code")
-    often = held.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy("n", "shingle")
-    top = often.orderBy(F.desc("n"), "shingle").limit(HEAVY).collect()  # HEAVY bounds it
-    heavy = np.array([r["shingle"] for r in sorted(top, key=lambda r: (r["n"], r["shingle"]))], np.int64).view(np.uint64)
+    often = held.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = often.orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow()  # HEAVY bounds it
+    shingles, counts = (top.column(c).to_numpy() for c in ("shingle", "n"))
+    heavy = shingles[np.lexsort((shingles, counts))].view(np.uint64)
 
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("code").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     high = F.conv(F.hex(F.substring("code", 1, 8)), 16, -10).cast("long")  # as short_code() has it
     classes = materialise(classes.withColumn("owner", high), "classes")
 
-    by = W.partitionBy("shingle")
-    shared = prefixes(docs, id_col, text_col, heavy, percent).select("owner", F.min("owner").over(by).alias("hub"), F.max("owner").over(by).alias("_last"))
-    clumps = components(shared.where("hub < _last AND hub <> owner"), "owner", "hub")
-
-    members = materialise(classes.join(clumps.withColumnRenamed("node", "owner").withColumnRenamed("component", "clump"), "owner").select("clump", "code", "rep", "n"), "members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_code, own), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["code", "shingles"])
-
-    texts = docs.join(members.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi").select(text_col)
-    found = texts.mapInArrow(sets, "code binary, shingles binary").dropDuplicates(["code"])
+    # Rows whose shingle some other set of fitting size has, with the ratio of sizes to the nearest such.
+    by = W.partitionBy("shingle").orderBy("n", "owner")
+    size = F.col("n").cast("double")
+    ratio = F.least(size / F.lag("n").over(by), F.lead("n").over(by) / size)
+    near = prefixes(docs, id_col, text_col, heavy, percent).select("shingle", "n", "owner", ratio.alias("_ratio"))
+    near = materialise(near.where(F.col("_ratio") <= 100 / percent + 1e-9), "shared")
+    # Sets of ratio r to each other have at least t / (1 + t) * n * (1 / r - t) of their first shingles in common: a
+    # set with fewer shared ones at every ratio links with nothing.
+    t = percent / 100
+    ratios = [1 + (1 / t - 1) * k / 5 for k in range(1, 6)]
+    counts = near.groupBy("owner").agg(F.max("n").alias("n"), *(F.count_if(F.col("_ratio") <= r + 1e-9).alias(f"c{k}") for k, r in enumerate(ratios)))
+    enough = F.lit(False)
+    for k, r in enumerate(ratios):
+        enough = enough | (F.col(f"c{k}") >= F.greatest(F.lit(1.0), t / (1 + t) * F.col("n") * max(0.0, 1 / r - t) - 1e-6))
+    near = near.join(counts.where(enough).select("owner"), "owner").select("shingle", "n", "owner")
+    # In order of size a run ends where the next set is too large to link with the one before. The sizes between those
+    # of linked sets fit both, so linked sets lie in one run, and all of a run join its first.
+    start = F.coalesce(F.lag("n").over(by) * F.lit(100).cast("long") < F.col("n") * F.lit(percent).cast("long"), F.lit(True))
+    runs = near.select("shingle", "n", "owner", F.when(start, F.col("owner")).alias("_first"))
+    shared = runs.select("owner", F.last("_first", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"))
+    clumps = components(shared.where("owner <> hub"), "owner", "hub")
+
+    members = classes.join(clumps.select(F.col("node").alias("owner"), F.col("component").alias("clump")), "owner").select("clump", F.col("code").alias("node"), "rep", "n")
+    members = materialise(members, "members")
+    large = members.groupBy("clump").agg(F.count("*").alias("_c")).where(F.col("_c") > BLOCK).select("clump", F.lit(True).alias("_large"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    nodes = members.join(found, "code").select("clump", F.col("code").alias("node"), band.alias("band"), "shingles")
-    nodes = materialise(nodes, "nodes")
-    width = nodes.groupBy("clump", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("_hub"))
-    nodes = materialise(nodes.join(width, ["clump", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")), "blocks")
+    members = members.join(large, "clump", "left").withColumn("band", F.when(F.col("_large"), band).otherwise(0))
+    width = members.groupBy("clump", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("_hub"))
+    width = materialise(width, "bands")
+    placed = members.join(width, ["clump", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    own = F.when((F.col("node") == F.col("_hub")) & (F.col("_blocks") > 1), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    placed = materialise(placed.select(*TILE, "node", "rep", own.alias("spots")), "placed")
 
     # first each block on its own, with the band's hub as a visitor
-    visit = nodes.where("node = _hub AND _blocks > 1").withColumn("_own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("block <> _own")
-    rows1 = nodes.select("clump", "band", "block", "node", "shingles").unionAll(visit.select("clump", "band", "block", "node", "shingles"))
-    links = materialise(join_tiles(rows1.withColumns({"label": F.col("node"), "probe": F.lit(True)}), ["clump", "band", "block"], percent), "links")
-
-    # then what the clump's largest component so far leaves out, against all blocks of its own and the next bands
-    so_far = components(links)
-    labelled = nodes.join(so_far, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    main = labelled.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
-    labelled = materialise(labelled.join(main.where("_labels > 1"), "clump"), "labelled")
-    minor = labelled.where("label <> _main")
-    spots = minor.select("clump", F.col("band").alias("_band"), F.col("block").alias("_block")).distinct().withColumn("band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
-    pairs = spots.join(width, ["clump", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = pairs.select("clump", "_band", "_block", "band", "block")
-    keys = ["clump", "_band", "_block", "band", "block"]
-    targets = labelled.select("clump", "band", "block", "node", "label", "shingles").join(pairs, ["clump", "band", "block"])
-    targets = targets.where("_band <> band OR _block <> block").select(*keys, "node", "label", F.lit(False).alias("probe"), "shingles")
-    looking = minor.select("clump", F.col("band").alias("_band"), F.col("block").alias("_block"), "node", "label", "shingles").join(pairs, ["clump", "_band", "_block"])
-    looking = looking.where("_band <> band OR _block <> block").select(*keys, "node", "label", F.lit(True).alias("probe"), "shingles")
-    more = join_tiles(targets.unionAll(looking), keys, percent)
-    groups = components(links.unionAll(more)).select(F.col("node").alias("code"), "component")
+    rows1 = tile_sets(docs, placed, id_col, text_col).withColumn("block", F.explode("spots")).drop("spots")
+    links = materialise(join_tiles(rows1.withColumns({"label": F.col("node"), "probe": F.lit(True)}), TILE, percent), "links")
+
+    # then, in clumps of more than one block, what the largest component so far leaves out, against all other blocks
+    # of its own and the next bands
+    so_far = components(links).withColumnRenamed("component", "label")
+    wide = width.groupBy("clump").agg(F.sum("_blocks").alias("_b")).where("_b > 1").select("clump")
+    labels = placed.join(wide, "clump").select(*TILE, "node").join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = labels.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
+    labels = materialise(labels.join(main.where("_labels > 1"), "clump").select(*TILE, "node", "label", (F.col("label") != F.col("_main")).alias("minor")), "labels")
+    if labels.limit(1).count():
+        spots = labels.where("minor").select("clump", F.col("band").alias("_band"), F.col("block").alias("_block")).distinct().withColumn("band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+        pairs = spots.join(width.select("clump", "band", "_blocks"), ["clump", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        pairs = materialise(pairs.where("_band <> band OR _block <> block").select("clump", "_band", "_block", *TILE[1:]), "pairs")
+        keys = ["clump", "_band", "_block", "band", "block"]
+        needed = tile_sets(docs, placed.join(labels.select("clump").distinct(), "clump", "left_semi"), id_col, text_col)
+        needed = materialise(needed.select("node", "shingles").join(labels, "node"), "needed")
+        targets = needed.join(pairs, TILE).select(*keys, "node", "label", F.lit(False).alias("probe"), "shingles")
+        looking = needed.where("minor").select("clump", F.col("band").alias("_band"), F.col("block").alias("_block"), "node", "label", "shingles").join(pairs, ["clump", "_band", "_block"])
+        more = join_tiles(targets.unionAll(looking.select(*keys, "node", "label", F.lit(True).alias("probe"), "shingles")), keys, percent)
+        so_far = components(links.unionAll(more)).withColumnRenamed("component", "label")
+    groups = so_far.select(F.col("node").alias("code"), F.col("label").alias("component"))
 
     named = classes.select("code", "rep").join(groups, "code")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
@@ -259,6 +319,6 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
     stay; of rows that repeat an id and all else, one stays."""
     groups = materialise(near_duplicates(docs, percent, id_col, text_col), "groups")
     gone = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = filtered(docs, gone, id_col).join(gone, id_col, "left_anti").unionByName(filtered(docs, gone, id_col, rest=True))
     repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates() if repeated else kept
