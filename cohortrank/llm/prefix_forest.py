@@ -3,11 +3,13 @@
 Each tree gives every vector a string of bits, the signs of its products with random directions. In a sorted
 array of such strings the vectors that share a prefix are neighbours. A query descends each tree to its longest
 matching prefixes and ascends in all trees by the same number of bits until enough candidates share a prefix
-with it; the candidates are then scored exactly.
+with it; the candidates are then scored exactly. Points are kept in bands of norms that differ by at most the
+root of two, each with its own forest; a query that finds too few in a band's buckets is held against the whole band.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from cohortrank.llm.common import materialise
 
 TREES, BITS = 24, 30
-#: Candidates at which the ascent stops, counted once a tree: this share of all vectors, and at least LEAST.
+#: Candidates at which the ascent stops, counted once a tree: this share of a band's vectors, and at least LEAST.
+#: Bands of at most LEAST vectors are scanned.
 SHARE, LEAST = 0.8, 4096
+#: The band of points that no tree holds.
+SCAN = -1
 #: Vectors in a block of a bucket; levels below the bucket's at which the ascent can stop.
 BLOCK, LEVELS = 4096, 12
 
@@ -64,16 +69,38 @@ def search(
     sound = sound.where(F.size("v") == dim)
     order = W.partitionBy("key", "key2").orderBy("vec_id")
     points = sound.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
-    points = materialise(points, "points")
-    n, longest = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
+    points = materialise(points.withColumn("_s", F.least(F.greatest(square, F.lit(1e-300)), F.lit(1e300))), "points")
+    longest = points.agg(F.max("_s")).first()[0]
+    points = points.withColumn("band", F.floor(F.log2(F.lit(longest)) - F.log2("_s")).cast("int"))
     asked = sound.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = asked.groupBy("key", "key2").agg(F.min("vec_id").alias("q"), F.min_by("v", "vec_id").alias("v"))
 
-    goal = max(least, share * n)
-    # the buckets' prefix: one bit shorter than an even spread would need, so that sparse queries can ascend
-    depth = 0 if n <= least else max(0, min(math.floor(math.log2(TREES / share)) - 1, math.ceil(math.log2(n / BLOCK))))
-    trees = 1 if not depth else TREES
-    planes = directions(dim, seed)[:trees]
+    # each band of norms has its own forest; SCAN holds the bands of few points, which are scanned whole
+    held = points.groupBy("band").agg(F.count("*").alias("n"), F.max("_s").alias("top")).collect()
+    tops, depths, sizes = {}, {}, {SCAN: 0}
+    for r in held:
+        if r["n"] <= least:
+            sizes[SCAN] += r["n"]
+            continue
+        # the buckets' prefix: one bit shorter than an even spread would need, so that sparse queries can ascend
+        depths[r["band"]] = max(0, min(math.floor(math.log2(TREES / share)) - 1, math.ceil(math.log2(r["n"] / BLOCK))))
+        tops[r["band"]], sizes[r["band"]] = r["top"], r["n"]
+    points = points.withColumn("band", F.when(F.col("band").isin(list(tops)), F.col("band")).otherwise(SCAN)).drop("_s")
+    spark = vectors.sparkSession
+    bands = F.broadcast(spark.createDataFrame(
+        [(b, m, -(-m // BLOCK), float(max(least, share * m)), depths.get(b, 0)) for b, m in sizes.items() if m], "band int, _points long, _scan_blocks int, _goal double, _depth int"
+    ))
+    planes = directions(dim, seed)
+    where = ["band", "tree", "prefix", "block"]
+    ids = queries.select(F.col("q").alias("id"))
+
+    def rows(band, code: np.ndarray, depth: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        m = len(own)
+        return pd.DataFrame({
+            "band": np.repeat(np.broadcast_to(np.asarray(band, np.int32), m), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), m),
+            "prefix": (code >> (BITS - depth)).ravel(), "code": code.ravel(), "id": np.repeat(own, TREES),
+        })
 
     def explode(is_query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,42 +108,61 @@ def search(
                 for at in range(0, len(pdf), 1024):
                     part = pdf.iloc[at : at + 1024]
                     x = np.array(part["v"].tolist(), np.float64).reshape(len(part), dim)
-                    # one more coordinate makes all points equally long, so the nearest in angle has the largest product
-                    more = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-                    codes = hash_strings(np.column_stack([x, more]), planes)
-                    m = len(part)
-                    yield pd.DataFrame({
-                        "tree": np.tile(np.arange(trees, dtype=np.int32), m), "prefix": (codes >> (BITS - depth)).ravel(), "code": codes.ravel(),
-                        "id": np.repeat(part["id"].to_numpy(np.int64), trees),
-                    })
+                    own = part["id"].to_numpy(np.int64)
+                    if is_query:
+                        code = hash_strings(np.column_stack([x, np.zeros(len(x))]), planes)
+                        for band, depth in depths.items():
+                            yield rows(band, code, np.int64(depth), own)
+                        continue
+                    # one more coordinate makes all points of a band equally long, so the nearest in angle has the largest product
+                    band = part["band"].to_numpy(np.int32)
+                    top = np.array([tops[b] for b in band.tolist()])
+                    code = hash_strings(np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]), planes)
+                    yield rows(band, code, np.array([depths[b] for b in band.tolist()], np.int64)[:, None], own)
         return run
 
-    schema = "tree int, prefix long, code long, id long"
-    coded = materialise(points.select(F.col("vec_id").alias("id"), "v").mapInPandas(explode(False), schema), "codes")
-    asking = materialise(queries.select(F.col("q").alias("id"), "v").mapInPandas(explode(True), schema), "asking")
-    buckets = coded.groupBy("tree", "prefix").agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    where = ["tree", "prefix", "block"]
-    coded = coded.join(buckets, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).select(*where, "code", "id")
-    asking = asking.join(buckets, ["tree", "prefix"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*where, "code", "id")
-    levels = [min(depth + j, BITS) for j in range(LEVELS + 1)]
-
     def count(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         strings = np.sort(have["code"].to_numpy(np.int64))
         code = ask["code"].to_numpy(np.int64)
-        out = {"id": ask["id"].to_numpy(np.int64)}
-        for j, level in enumerate(levels):
+        out = {"id": ask["id"].to_numpy(np.int64), "band": np.full(len(ask), key[0], np.int32)}
+        for j in range(LEVELS + 1):
+            level = min(depths[key[0]] + j, BITS)
             low = code >> (BITS - level) << (BITS - level)
             out[f"c{j}"] = np.searchsorted(strings, low + (1 << (BITS - level))) - np.searchsorted(strings, low)
         return pd.DataFrame(out)
 
-    counts = asking.groupBy(*where).cogroup(coded.groupBy(*where)).applyInPandas(count, "id long, " + ", ".join(f"c{j} long" for j in range(len(levels))))
-    total = counts.groupBy("id").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(len(levels))))
-    level = F.lit(levels[0])
-    for j, x in enumerate(levels[1:], 1):
-        level = F.when(F.col(f"c{j}") >= goal, F.lit(x)).otherwise(level)
-    at = materialise(total.select("id", level.alias("level")), "levels")
-
-    asking = asking.join(at, "id").join(queries.select(F.col("q").alias("id"), "v"), "id").select(*where, "code", "id", "level", "v")
+    flat = ids.select("id", F.lit(SCAN).alias("band"))
+    asks, haves = [], []
+    scanned = [SCAN] if sizes[SCAN] else []
+    if tops:
+        schema = "band int, tree int, prefix long, code long, id long"
+        coded = materialise(points.where(F.col("band") != SCAN).select(F.col("vec_id").alias("id"), "band", "v").mapInPandas(explode(False), schema), "codes")
+        asking = materialise(queries.select(F.col("q").alias("id"), "v").mapInPandas(explode(True), schema), "asking")
+        buckets = coded.groupBy(*where[:3]).agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
+        coded = coded.join(buckets, where[:3]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).select(*where, "code", "id")
+        asking = asking.join(buckets, where[:3]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*where, "code", "id")
+        names = [f"c{j}" for j in range(LEVELS + 1)]
+        counts = asking.groupBy(*where).cogroup(coded.groupBy(*where)).applyInPandas(count, "id long, band int, " + ", ".join(f"{c} long" for c in names))
+        total = counts.groupBy("id", "band").agg(*(F.sum(c).alias(c) for c in names))
+        # level -1: all trees' buckets together hold too few, so the query goes on up to the empty prefix
+        level = F.lit(-1)
+        for j, x in enumerate(names):
+            level = F.when(F.coalesce(F.col(x), F.lit(0)) >= F.col("_goal"), F.least(F.col("_depth") + j, F.lit(BITS))).otherwise(level)
+        every_band = ids.crossJoin(bands.where(F.col("band") != SCAN))
+        at = materialise(every_band.join(total, ["id", "band"], "left").select("id", "band", level.alias("level")), "levels")
+        rest = at.where("level < 0").select("id", "band")
+        scanned += [r["band"] for r in rest.select("band").distinct().collect()]
+        flat = flat.unionByName(rest)
+        asks.append(asking.join(at.where("level >= 0"), ["id", "band"]).select(*where, "code", "id", "level"))
+        haves.append(coded.select(*where, "code", "id"))
+    if scanned:
+        whole = [F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("prefix")]
+        blocks = flat.join(bands, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_scan_blocks") - 1)))
+        asks.append(blocks.select("band", *whole, "block", F.lit(0).cast("long").alias("code"), "id", F.lit(0).alias("level")))
+        kept = points.where(F.col("band").isin(scanned)).join(bands, "band")
+        haves.append(kept.select("band", *whole, F.pmod(F.xxhash64("vec_id"), F.col("_scan_blocks")).cast("int").alias("block"), F.lit(0).cast("long").alias("code"), F.col("vec_id").alias("id")))
+    asking, coded = functools.reduce(DataFrame.unionByName, asks), functools.reduce(DataFrame.unionByName, haves)
+    asking = asking.join(queries.select(F.col("q").alias("id"), "v"), "id").select(*where, "code", "id", "level", "v")
     coded = coded.join(points.select(F.col("vec_id").alias("id"), "v"), "id").select(*where, "code", "id", "v")
 
     def score(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
@@ -132,11 +178,13 @@ def search(
         for (a, b), own in ask.assign(begin=begin, end=end).groupby(["begin", "end"]):
             if a == b:
                 continue
-            products = np.array(own["v"].tolist(), float).reshape(-1, dim) @ x[a:b].T
-            m = min(k + 1, b - a)
-            cut = -np.partition(-products, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero(products >= cut[:, None] - 1e-9)
-            out.append(pd.DataFrame({"q": own["id"].to_numpy(np.int64)[r], "vec_id": ids[a + c], "score": products[r, c]}))
+            for i in range(0, len(own), 1024):
+                some = own.iloc[i : i + 1024]
+                products = np.array(some["v"].tolist(), float).reshape(-1, dim) @ x[a:b].T
+                m = min(k + 1, b - a)
+                cut = -np.partition(-products, m - 1, axis=1)[:, m - 1]
+                r, c = np.nonzero(products >= cut[:, None] - 1e-9)
+                out.append(pd.DataFrame({"q": some["id"].to_numpy(np.int64)[r], "vec_id": ids[a + c], "score": products[r, c]}))
         if not out:
             return pd.DataFrame({"q": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pd.concat(out)

@@ -104,3 +104,37 @@ def test_few_or_no_vectors(spark):
     assert prefix_forest.search(spark.createDataFrame([], schema)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0]), (20, [3.0, 1.0]), (5, [1.0, 1.0])], schema)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in prefix_forest.search(two).orderBy("query_id", "rank").collect()] == [(0, 1, 20, 5.0), (0, 2, 5, 3.0), (20, 1, 0, 5.0), (20, 2, 5, 4.0)]
+
+
+@pytest.mark.parametrize("kind", ["lognormal norms", "one long vector"])
+def test_recall_with_unequal_norms_at_production_parameters(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one long vector":
+        x[7] *= 100
+    else:
+        x *= rng.lognormal(sigma=1, size=len(x))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in prefix_forest.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 450 and all(len(f) == 20 for f in got.values())
+    assert hit >= 0.95 * 20 * 450, hit / 9000
+
+
+def test_queries_without_a_bucket_are_held_against_the_whole_band(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "BLOCK", 500)  # buckets of three bits
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(6000, 8))) + 40  # all on one side
+    x[::1000] *= -1  # the queries on the other
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want, got = brute(list(enumerate(x.tolist())), 20, 1000), {}
+    for r in prefix_forest.search(df, every=1000, least=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == got
