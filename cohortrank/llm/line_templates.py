@@ -1,14 +1,16 @@
 """Line dedup by a tree of line templates of fixed depth.
 
-A line goes down the tree by its number of tokens and its leading tokens; a token with a digit is a variable
-field and counts as '<*>'. At the leaf the line stands for its exact template and, if it has at least
-WILD_TOKENS tokens, for four wider ones that each leave one quarter of its tokens open. Lines of one template so
-agree in number of tokens, leading tokens and at least three quarters of their places.
+A line goes down the tree by its number of tokens; a token with a digit is a variable field and counts as '<*>'.
+At the leaf the line stands for its exact template and, if it has at least WILD_TOKENS tokens, for wider ones that
+each leave any two of its eight blocks of tokens open, the leading tokens being part of the first. Lines of one
+template so agree in number of tokens and, but for the leading ones, in at least three quarters of their places.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,47 +21,81 @@ from pyspark.sql import types as T
 
 from cohortrank.llm.common import materialise, slices
 
-#: Lines of fewer tokens are never dropped; leading tokens that lead down the tree; tokens from which quarters open.
+#: Lines of fewer tokens are never dropped; leading tokens beside the eighths; tokens from which blocks open.
 MIN_TOKENS, DEPTH, WILD_TOKENS = 5, 2, 12
+BLOCKS = 8
+#: The pairs of blocks that are left open, and three groups of blocks of which any such pair leaves one untouched.
+OPEN = list(itertools.combinations(range(BLOCKS), 2))
+GROUPS = [(0, 1, 2), (3, 4, 5), (6, 7)]
 VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
 
-def templates(line: bytes) -> list[int]:
-    """Signed 64-bit codes of the templates that a line stands for; none for a short line."""
+def number(data: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
+
+
+def parse(line: bytes) -> tuple[int, list[int]] | None:
+    """The code of a line's exact template, and the codes of its blocks if these may vary; None for a short line."""
     if any(d in line for d in b"0123456789"):
         line = VARIABLE.sub(b"<*>", line)
     tokens = line.split()
     n = len(tokens)
     if n < MIN_TOKENS:
-        return []
-    node = b"%d\0%s\0" % (n, b" ".join(tokens[:DEPTH]))
+        return None
+    head = b"%d\0" % n
+    exact = number(head + b" ".join(tokens))
     if n < WILD_TOKENS:
-        leaves = [b" ".join(tokens[DEPTH:])]
-    else:
-        cut = [DEPTH + (n - DEPTH) * k // 4 for k in range(5)]
-        parts = [b" ".join(tokens[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-        leaves = [b"\1".join(parts), *(b"\1".join(b"\2" if i == k else x for i, x in enumerate(parts)) for k in range(4))]
-    return [int.from_bytes(xxhash.xxh3_64_digest(node + x), "big", signed=True) for x in leaves]
+        return exact, []
+    cut = [0, *(DEPTH + (n - DEPTH) * k // BLOCKS for k in range(1, BLOCKS + 1))]
+    return exact, [number(b"%d\0%s%s" % (k, head, b" ".join(tokens[a:b]))) for k, (a, b) in enumerate(itertools.pairwise(cut))]
+
+
+def wide(blocks: list[int]) -> list[int]:
+    """Codes of the templates that leave two blocks open."""
+    return [number(struct.pack("<8q", *(0 if k in pair else x for k, x in enumerate(blocks)))) for pair in OPEN]
+
+
+def templates(line: bytes) -> list[int]:
+    """Signed 64-bit codes of the templates that a line stands for, the exact one first; none for a short line."""
+    found = parse(line)
+    return [] if found is None else [found[0], *(wide(found[1]) if found[1] else [])]
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: _id, and for each of its lines that has templates the line number and the templates' codes."""
+    """One row for each line that has templates: _id, number of the line, code of its exact template, its blocks."""
+    own = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            numbers, codes = [], []
-            for text in batch.column(1).to_pylist():
-                found = [(i, c) for i, x in enumerate((text or "").encode().split(b"\n")) for c in templates(x)]
-                numbers.append([i for i, _ in found])
-                codes.append([c for _, c in found])
+            rows, numbers, codes, blocks = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for i, x in enumerate((text or "").encode().split(b"\n")):
+                    if (found := parse(x)) is not None:
+                        rows.append(row)
+                        numbers.append(i)
+                        codes.append(found[0])
+                        blocks.append(struct.pack("<8q", *found[1]) if found[1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int64()))], ["_id", "numbers", "codes"]
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32()), pa.array(codes, pa.int64()), pa.array(blocks, pa.binary())],
+                ["_id", "number", "code", "blocks"],
             )
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("_id", own), T.StructField("number", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("blocks", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def wide_codes(lines: DataFrame) -> DataFrame:
+    """For each row of code, first, blocks: one row per wide template, with its code as wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [x for b in batch.column(2).to_pylist() for x in wide(list(struct.unpack("<8q", b)))]
+            at = pa.array([i for i in range(batch.num_rows) for _ in OPEN], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int64())], ["code", "first", "wide"])
+
+    return lines.select("code", "first", "blocks").mapInArrow(run, T.StructType([lines.schema["code"], lines.schema["first"], T.StructField("wide", T.LongType())]))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop: _id and dropped (line numbers), for the documents that have any.
 
@@ -67,14 +103,19 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id and are dropped from the others. Rows of one id are one document.
     """
     held = materialise(line_table(docs, id_col, text_col).where(F.col("_id").isNotNull()), "lines")
-    recurring = (
-        held.select("_id", F.explode("codes").alias("code")).groupBy("code").agg(F.min("_id").alias("first"), F.max("_id").alias("_last"))
-        .where("first < _last").select("code", "first")
-    )
-    lines = held.select("_id", F.explode(F.arrays_zip("numbers", "codes")).alias("x")).select("_id", F.col("x.numbers").alias("number"), F.col("x.codes").alias("code"))
-    return (
-        lines.join(recurring, "code").where(F.col("_id") > F.col("first")).groupBy("_id").agg(F.collect_set("number").alias("dropped"), F.collect_set("code").alias("dropped_codes"))
-    )
+    # each distinct line once, in its document of smallest id: the others go by their exact template
+    distinct = materialise(held.groupBy("code").agg(F.min("_id").alias("first"), F.max("_id").alias("_last"), F.first("blocks").alias("blocks")), "templates")
+    # two lines of one wide template share a group of blocks, so only lines that share one need wide codes
+    group = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("blocks", 8 * g[0] + 1, 8 * len(g))) for k, g in enumerate(GROUPS)))).alias("group")
+    grouped = distinct.where("blocks IS NOT NULL").select("code", "first", "blocks", group)
+    met = grouped.groupBy("group").agg(F.min("code").alias("_a"), F.max("code").alias("_b")).where("_a < _b").select("group")
+    near = grouped.join(met, "group", "left_semi").dropDuplicates(["code"])
+    wider = materialise(wide_codes(near), "wide")
+    earliest = wider.groupBy("wide").agg(F.min("first").alias("first"), F.max("first").alias("_last")).where("first < _last").select("wide", F.col("first").alias("_first"))
+    limits = wider.join(earliest, "wide").where("_first < first").groupBy("code").agg(F.min("_first").alias("_first"))
+    going = distinct.join(limits, "code", "left").select("code", "_last", F.coalesce("_first", "first").alias("_first")).where("_last > _first").select("code", "_first")
+    lines = held.select("_id", "number", "code").join(going, "code").where(F.col("_id") > F.col("_first"))
+    return lines.groupBy("_id").agg(F.collect_set("number").alias("dropped"), F.collect_set("code").alias("dropped_codes"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, report: bool = False) -> DataFrame:

@@ -127,3 +127,12 @@ def test_without_both_labels_every_score_is_a_half(spark, docs, no_docs):
 def test_features_of_odd_texts(text):
     x = quality_model.features(text)
     assert len(x) == quality_model.N_FEATURES and np.isfinite(x).all()
+
+
+def test_lines_with_two_small_edits_recur(spark):
+    line = [f"{a}{b}" for a in "abcdefg" for b in "hijklmn"]
+    edit = lambda *at: " ".join("edited" if i in at else w for i, w in enumerate(line))
+    rows = [(1, edit()), (2, edit(5, 40)), (3, edit(0)), (4, edit(1, 25)), (5, edit(5, 20, 40)), (6, edit() + " more")]
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, t in sorted(out.items()) if t] == [1, 6]  # 5 is near 2, which went; 6 has another number of tokens
+    assert Counter(out.items()) == brute_lines(rows)
