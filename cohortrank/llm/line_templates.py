@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from cohortrank.llm.common import materialise, slices
 
-#: Lines of fewer tokens are never dropped; leading tokens beside the eighths; tokens from which blocks open.
+#: Lines of fewer tokens count only where short lines are asked for; leading tokens beside the eighths; tokens from which blocks open.
 MIN_TOKENS, DEPTH, WILD_TOKENS = 5, 2, 12
 BLOCKS = 8
 #: The pairs of blocks that are left open, and three groups of blocks of which any such pair leaves one untouched.
@@ -34,13 +34,14 @@ def number(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
 
 
-def parse(line: bytes) -> tuple[int, list[int]] | None:
-    """The code of a line's exact template, and the codes of its blocks if these may vary; None for a short line."""
+def parse(line: bytes, short: bool = False) -> tuple[int, list[int]] | None:
+    """The code of a line's exact template, and the codes of its blocks if these may vary; None for a blank line and,
+    unless short, for one of under MIN_TOKENS tokens."""
     if any(d in line for d in b"0123456789"):
         line = VARIABLE.sub(b"<*>", line)
     tokens = line.split()
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if n < (1 if short else MIN_TOKENS):
         return None
     head = b"%d\0" % n
     exact = number(head + b" ".join(tokens))
@@ -55,13 +56,13 @@ def wide(blocks: list[int]) -> list[int]:
     return [number(struct.pack("<8q", *(0 if k in pair else x for k, x in enumerate(blocks)))) for pair in OPEN]
 
 
-def templates(line: bytes) -> list[int]:
-    """Signed 64-bit codes of the templates that a line stands for, the exact one first; none for a short line."""
-    found = parse(line)
+def templates(line: bytes, short: bool = False) -> list[int]:
+    """Signed 64-bit codes of the templates that a line stands for, the exact one first; none where parse() has none."""
+    found = parse(line, short)
     return [] if found is None else [found[0], *(wide(found[1]) if found[1] else [])]
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """One row for each line that has templates: _id, number of the line, code of its exact template, its blocks."""
     own = docs.schema[id_col].dataType
 
@@ -70,7 +71,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows, numbers, codes, blocks = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 for i, x in enumerate((text or "").encode().split(b"\n")):
-                    if (found := parse(x)) is not None:
+                    if (found := parse(x, short)) is not None:
                         rows.append(row)
                         numbers.append(i)
                         codes.append(found[0])
@@ -96,13 +97,13 @@ def wide_codes(lines: DataFrame) -> DataFrame:
     return lines.select("code", "first", "blocks").mapInArrow(run, T.StructType([lines.schema["code"], lines.schema["first"], T.StructField("wide", T.LongType())]))
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Lines to drop: _id and dropped (line numbers), for the documents that have any.
 
     A template recurs if lines of at least two documents stand for it. Its lines stay in the document of
     smallest id and are dropped from the others. Rows of one id are one document.
     """
-    held = materialise(line_table(docs, id_col, text_col).where(F.col("_id").isNotNull()), "lines")
+    held = materialise(line_table(docs, id_col, text_col, short).where(F.col("_id").isNotNull()), "lines")
     # each distinct line once, in its document of smallest id: the others go by their exact template
     distinct = materialise(held.groupBy("code").agg(F.min("_id").alias("first"), F.max("_id").alias("_last"), F.first("blocks").alias("blocks")), "templates")
     # two lines of one wide template share a group of blocks, so only lines that share one need wide codes
@@ -118,15 +119,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines.groupBy("_id").agg(F.collect_set("number").alias("dropped"), F.collect_set("code").alias("dropped_codes"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, report: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, report: bool = False, short: bool = False) -> DataFrame:
     """Drop lines of recurring templates; one row per input row, all columns stay.
 
     length_col, if given, becomes the length of the new text where lines were dropped. With report, _lines and
-    _dropped (numbers of lines before, and of those dropped) are added. Blank lines and lines of fewer than
-    MIN_TOKENS tokens stay, as do repeats within one document. Null texts stay null, and rows with a null id are
+    _dropped (numbers of lines before, and of those dropped) are added. With short, lines of fewer than
+    MIN_TOKENS tokens recur by their exact template, else they stay. Blank lines and repeats within one document stay. Null texts stay null, and rows with a null id are
     left as they are. The texts cross one shuffle, keyed by id.
     """
-    gone = recurring_lines(docs, id_col, text_col)
+    gone = recurring_lines(docs, id_col, text_col, short)
     joined = docs.join(gone.select(F.col("_id").alias("_key"), F.struct("dropped", "dropped_codes").alias("_gone")), F.col(id_col) == F.col("_key"), "left")
     # rows that repeat an id with other texts share line numbers, not codes
     schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.IntegerType()), T.StructField("_dropped", T.IntegerType())])
@@ -142,7 +143,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept = parts
                 if own and parts:
                     numbers, codes = set(own["dropped"]), set(own["dropped_codes"])
-                    kept = [x for k, x in enumerate(parts) if k not in numbers or codes.isdisjoint(templates(x.encode()))]
+                    kept = [x for k, x in enumerate(parts) if k not in numbers or codes.isdisjoint(templates(x.encode(), short))]
                     if len(kept) < len(parts):
                         texts[i], changed[i] = "\n".join(kept), True
                 count.append(len(parts) - len(kept))

@@ -27,7 +27,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many were dropped, and a checksum of the text that is left."""
-    out = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    out = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, short=True)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.octet_length("text").alias("text_bytes"), F.crc32("text").alias("text_crc32"))
 
 

@@ -136,3 +136,15 @@ def test_lines_with_two_small_edits_recur(spark):
     out = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i, t in sorted(out.items()) if t] == [1, 6]  # 5 is near 2, which went; 6 has another number of tokens
     assert Counter(out.items()) == brute_lines(rows)
+
+
+def test_short_lines_recur_in_the_query_and_the_pipeline(spark, tmp_path):
+    from cohortrank.llm.queries import queries
+    from corpus_pipeline import line_stage
+
+    rows = [(1, "All rights reserved.\n\nNo 7", 0), (2, "All rights reserved.\n\nNo 9\nown line", 0), (3, "rights All reserved.\nAll rights", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries()["op2_line_templates"](spark, str(tmp_path)).collect()}
+    assert out == {1: (3, 0), 2: (4, 2), 3: (2, 0)}
+    left = line_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.text for r in left.collect()}[2] == "\nown line"
