@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from cohortrank.llm.common import materialise, slices
 
 SYMBOLS = "#*$%&|<>"
-#: A line is removed where more distinct texts of its host hold it than MIN_DOCS and than SHARE of them all.
-MIN_DOCS, SHARE = 100, 0.01
+#: A line is removed where more distinct texts of its host hold it than MIN_DOCS, or than SHARE of them all and FLOOR.
+MIN_DOCS, SHARE, FLOOR = 100, 0.01, 10
 #: A document is depleted if, after removal, fewer words are left than MIN_WORDS or than KEEP_PERCENT of all.
 MIN_WORDS, KEEP_PERCENT, REPEAT_PERCENT = 10, 20, 20
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(5)]
@@ -80,11 +80,11 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "code_a", "code_b", "lines", "line_words"]
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, *, floor: int = FLOOR) -> DataFrame:
     """Base rules, then the verdict by cross-document line frequency. One row per input row, repeats included.
 
     Copies of a text count once among its host's documents, so copies alone never make a line frequent. Lines
-    are counted per host by their code; those above the limits are removed and a document that they deplete is
+    are counted per host by their code; those above either limit are removed and a document that they deplete is
     rejected. A null text has no words, a null host is the host ''. An empty table gives no rows.
 
     Returns id_col, host, the counts, code_a and code_b (of the text), removed (codes of removed lines),
@@ -97,7 +97,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     sizes = distinct.groupBy("host").agg(F.count("*").alias("n_texts"))
     frequent = (
         distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-        .where(F.col("n") > min_docs).join(sizes, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "line")
+        .where(F.col("n") > min(min_docs, floor)).join(sizes, "host")
+        .where((F.col("n") > min_docs) | ((F.col("n") > floor) & (F.col("n") > share * F.col("n_texts")))).select("host", "line")
     )
     line = F.explode(F.arrays_zip("lines", "line_words")).alias("x")
     removed = (

@@ -148,3 +148,15 @@ def test_short_lines_recur_in_the_query_and_the_pipeline(spark, tmp_path):
     assert out == {1: (3, 0), 2: (4, 2), 3: (2, 0)}
     left = line_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r.doc_id: r.text for r in left.collect()}[2] == "\nown line"
+
+
+def test_either_limit_alone_removes_a_line(spark):
+    rng = random.Random(5)
+    rows = [(i, f"a line that a small host has on every page\n{words(rng, 30)}", "small") for i in range(12)]
+    rows += [(100 + i, (f"a line of one page in ten here\n{words(rng, 30)}" if i < 101 else words(rng, 30)), "large") for i in range(1010)]
+    rows += [(2000 + i, f"a line on every page of a tiny host\n{words(rng, 30)}", "tiny") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.removed_words for r in quality_rules.judge(df, share=1.0).collect()}
+    assert {i for i, n in out.items() if n} == {i for i in range(100, 201)}  # above the count, below the share
+    out = {r.doc_id: r.removed_words for r in quality_rules.judge(df, min_docs=1000).collect()}
+    assert {i for i, n in out.items() if n} == {*range(12), *range(100, 201)}  # the other way round
