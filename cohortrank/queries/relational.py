@@ -325,7 +325,7 @@ def strength_adjust(spark, d):
 def fuzzy_match(spark, d):
     """Perturbed part names against all names of their brand and size: the block bounds the comparisons."""
     part = table(spark, d, "part")
-    asked = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("asked"), F.concat(F.reverse(F.substring("p_name", 1, 2)), F.substring("p_name", 3, 100)).alias("q"), "p_brand", "p_size")
+    asked = part.select(F.col("p_partkey").alias("asked"), F.concat(F.reverse(F.substring("p_name", 1, 2)), F.substring("p_name", 3, 100)).alias("q"), "p_brand", "p_size")
     pairs = asked.join(part.select("p_partkey", "p_name", "p_brand", "p_size"), ["p_brand", "p_size"])
     rated = pairs.withColumn("similarity", F.round(S.name_similarity(S.text_key(F.col("q")), S.text_key(F.col("p_name"))), 4))
     return J.latest_per_key(rated, ["asked"], [F.desc("similarity"), "p_partkey"]).select("asked", "p_partkey", "similarity")

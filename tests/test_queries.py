@@ -50,3 +50,9 @@ def test_models(spark):
     assert q["kmeans_roles"].where("confidence < 0 OR confidence > 1 OR primary_role IS NULL").count() == 0
     assert q["gbt_projection"].where("p10 > p50 OR p50 > p90").count() == 0
     assert q["aft_quantiles"].where("q10 > q50 OR q50 > q90").count() == 0
+
+
+@pytest.mark.parametrize("name, key, source", [("unit_reconcile", "a", "orders"), ("entity_resolution", "record", "customer"), ("fuzzy_match", "asked", "part")])
+def test_matching_takes_all_rows(spark, name, key, source):
+    n = spark.read.parquet(f"{DIR}/{source}.parquet").count()
+    assert queries()[name](spark, DIR).select(key).distinct().count() == n
