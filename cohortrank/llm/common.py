@@ -43,11 +43,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that little of a batch is held as Python objects at once."""
+#: Bytes and rows of a slice at most; a longer row is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and bytes, so that little of a batch is held as Python objects at once."""
+
+    def halves(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if part.num_rows < 2 or part.nbytes <= size:
+            yield part
+        else:
+            middle = part.num_rows // 2
+            yield from halves(part.slice(0, middle))
+            yield from halves(part.slice(middle))
+
     for batch in batches:
         for at in range(0, max(batch.num_rows, 1), rows):
-            yield batch.slice(at, rows)
+            yield from halves(batch.slice(at, rows))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Bits of the filter that thins out rows before they are joined by a key: 8 MB, however many there are.
+FILTER_BITS = 1 << 26
+
+
+def filtered(rows: DataFrame, keys: DataFrame, column: str, rest: bool = False) -> DataFrame:
+    """rows without most of those whose column is not in keys, or with rest the rows that this leaves out.
+
+    A bitmap of hashed keys decides, of fixed size: it may let others pass but never leaves out a row in keys."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+    bucket, bits = free_name(rows, "_bucket"), free_name(rows, "_bits")
+    built = keys.select(at(column).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(bits))
+    place = F.bitmap_bit_position(at(column))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn(bucket, F.bitmap_bucket_number(at(column))).join(F.broadcast(built), bucket, "left")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+    return held.where(~hit if rest else hit).drop(bucket, bits)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

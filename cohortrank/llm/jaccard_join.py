@@ -1,11 +1,11 @@
 """Exact Jaccard join of documents on word shingles, in size-banded tiles with bitmap signatures.
 
-Documents that link share a shingle among the rarest fifth of either's set (under any one order of all
-shingles), so documents are first put into clumps by such shared shingles. A clump's documents lie in bands of
-set size, of which only neighbours can link, and a band in blocks; a tile holds a block or two. Within a tile,
-counts of differing bitmap bits bound the overlap from above, and pairs that pass are settled by intersecting
-sorted arrays. Pairs that are already connected are not looked at again, so a group of n near copies costs about
-n intersections and yields n - 1 links.
+The space of shingle hashes is cut into more cells than linked sets can differ in, so linked sets agree on the
+whole content of some cell. Sets that share the content of a cell form clumps; sets that share fewer than any
+link implies are left out first. A clump's sets lie in bands of size, of which only neighbours can link, and a band
+in blocks; a tile holds a block or two. Within a tile, counts of differing bitmap bits bound the overlap from above,
+and pairs that pass are settled by intersecting sorted arrays. Pairs that are already connected are not looked at
+again, so a group of n near copies costs about n intersections and yields n - 1 links.
 """
 
 from __future__ import annotations
@@ -20,22 +20,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise, shuffle_partitions, slices
+from cohortrank.llm.common import filtered, free_name, materialise, shuffle_partitions, slices
 from cohortrank.llm.components import components
 
 WORDS = 5
-#: Shingles that are ordered last: at most HEAVY of those that batches of rows hold REPEATS times or more. The
-#: list decides how much work there is, never which documents link.
-HEAVY, REPEATS = 131_072, 2
-#: Documents in a block, bits of a bitmap at most, words that a worker remembers.
-BLOCK, BITS, CACHE_WORDS = 1024, 4096, 500_000
-MAYBE = np.uint64((1 << 23) - 1)
+#: Cells that a slice of rows holds in several sets: at most HEAVY of the most common are met by a broadcast list of
+#: them and not in a task each. The list decides where the work is done, never which documents link.
+HEAVY = 65_536
+#: Sets in a block and shingles in a block, about; bits of a bitmap at most; words that a worker remembers.
+BLOCK, SHINGLES, BITS, CACHE_WORDS = 1024, 1 << 20, 1 << 17, 100_000
+#: Numbers of cells double from class to class; a class has this many times the cells that its sets can differ in.
+SLACK = 1.15
+#: How often a class's cells are halved for a set that fills too few of them, before its shingles stand alone.
+LEVELS = 6
+CELLS = np.array([2 << k for k in range(40)], np.int64)
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
-
 TILE = ["clump", "band", "block"]
-#: Bits of the filter that thins out documents before they are joined by id: 8 MB, however many there are.
-FILTER_BITS = 1 << 26
 
 
 class WordCodes(dict):
@@ -68,81 +69,116 @@ def set_code(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind 0: id, set size and code of each document; of kind 1: a shingle and in how many different
-    sets of one batch it was found, if REPEATS or more."""
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def cell_signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a set's cells, and how many of them an equal or linked set must share, for either parity.
+
+    Linked sets, the smaller one of a shingles, differ in at most a * (100 - percent) / percent shingles. The
+    smaller one's size gives a class, so a set takes part in its own class and in that of the smallest set that it can
+    link with. A class cuts the space of hashes into p cells, more than there can be differences, and the
+    signature of a cell is a sum over its shingles, with the parity of the class as its lowest bit. Of linked
+    sets at least so many cells agree as the set with more filled cells has beyond the differences. Where a set
+    fills no more cells than that, it also has signatures with more cells, at last of one shingle each; linked
+    sets of which both do so share one of these.
+    """
+    size = len(shingles)
+    differ = lambda n: n * (100 - percent) // percent
+    of = lambda n: int(np.searchsorted(CELLS, SLACK * differ(n) + 1))
+    out, needs = [], [0, 0]
+    mixed = spread(shingles)
+    place = (shingles >> np.uint64(11)).astype(np.float64) / 2.0**53
+    for own in range(of(-(-percent * size // 100)), of(size) + 1):
+        most = min(differ(size), int((CELLS[own] - 1) / SLACK))
+        need = None
+        for level in range(LEVELS + 1):
+            cell = (place * (CELLS[own] << level)).astype(np.int64)
+            start = np.flatnonzero(np.diff(cell, prepend=-1)) if level < LEVELS else np.arange(size)
+            sums = np.add.reduceat(mixed, start) + np.uint64(own << 8 | level)
+            out.append(spread(sums) & ~np.uint64(1) | np.uint64(own & 1))
+            need = len(start) - most if need is None else 1
+            if len(start) > most:
+                break
+        needs[own & 1] = min(needs[own & 1] or size, max(1, need))
+    return np.concatenate(out), needs
+
+
+DIGEST = "kind byte, n long, code binary, cells array<bigint>, need_even int, need_odd int, cell long"
+
+
+def digest(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Rows of kind 0: id, set size, code and cell signatures of each document; the signatures stand on the first of
+    equal sets of a partition only. Rows of kind 1: a cell that several sets of one slice share, and how many."""
+    ids = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", ids), *T.StructType.fromDDL(DIGEST)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, codes, sets = [], [], {}
-            for text in batch.column(1).to_pylist():
+        done: set[bytes] = set()
+        for batch in slices(batches):
+            sizes, codes, cells, even, odd = [], [], [], [], []
+            for named, text in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingle_set(text)
                 sizes.append(len(own))
                 codes.append(code := set_code(own))
-                sets[code] = own
-            values, counts = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= REPEATS
-            m, k = len(sizes), int(often.sum())
+                found, needs = None, [None, None]
+                if named and len(own) and code not in done:
+                    done.add(code)
+                    found, needs = cell_signatures(own, percent)
+                cells.append(found)
+                even.append(needs[0])
+                odd.append(needs[1])
+            flat = np.concatenate([*(x for x in cells if x is not None), np.zeros(0, np.uint64)]).view(np.int64)
+            values, counts = np.unique(flat, return_counts=True)
+            values, counts = values[counts > 1], counts[counts > 1]
+            m, k = len(sizes), len(values)
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in cells)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(k, ends[-1])), pa.int32()), pa.array(flat), mask=pa.array([x is None for x in cells] + [True] * k, pa.bool_()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([0] * m + [1] * k, pa.int8()), pa.concat_arrays([batch.column(0), pa.nulls(k, batch.column(0).type)]),
-                    pa.array([*sizes, *counts[often].tolist()], pa.int64()), pa.array([*codes, *[None] * k], pa.binary()), pa.array([*[None] * m, *values[often].view(np.int64).tolist()], pa.int64()),
+                    pa.concat_arrays([batch.column(0), pa.nulls(k, batch.column(0).type)]), pa.array([0] * m + [1] * k, pa.int8()), pa.array([*sizes, *counts.tolist()], pa.int64()),
+                    pa.array([*codes, *[None] * k], pa.binary()), lists, pa.array([*even, *[None] * k], pa.int32()), pa.array([*odd, *[None] * k], pa.int32()), pa.array([*[None] * m, *values.tolist()], pa.int64()),
                 ],
-                ["kind", "id", "n", "code", "shingle"],
+                schema.names,
             )
 
-    schema = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("shingle", T.LongType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def short_code(code: bytes) -> int:
-    return int.from_bytes(code[:8], "big", signed=True)
+def owner_of(code: str) -> F.Column:
+    """A 64-bit name for a set: the head of its code."""
+    return F.conv(F.hex(F.substring(code, 1, 8)), 16, -10).cast("long")
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, heavy: np.ndarray, percent: int) -> DataFrame:
-    """For each document the first shingles of its set: one more than a linked document can lack."""
-    by_code = np.argsort(heavy).astype(np.int32)
-    known = heavy[by_code]
-    del heavy  # the tasks need the other two
+def shared_cells(held: DataFrame) -> DataFrame:
+    """cell, owner, hub and heavy for all cells that several sets have; held: digest().
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()  # copies within a task give the same rows
-        maybe = np.zeros(1 << 23, bool)  # thins out what is looked up among the frequent ones
-        maybe[known & MAYBE] = True
-        for batch in slices(batches):
-            out, owner, counts, sizes = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(text)
-                size = len(own)
-                if not size or (code := set_code(own)) in done:
-                    continue
-                done.add(code)
-                held = np.flatnonzero(maybe[own & MAYBE])
-                if len(held):
-                    at = np.minimum(np.searchsorted(known, own[held]), len(known) - 1)
-                    rank = np.zeros(size, np.int32)
-                    rank[held] = np.where(known[at] == own[held], by_code[at] + 1, 0)
-                    own = own[np.argsort(rank, kind="stable")]
-                own = own[: size - -(-percent * size // 100) + 1]
-                out.append(own)
-                owner.append(short_code(code))
-                counts.append(len(own))
-                sizes.append(size)
-            shingles = np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingles), *(pa.array(np.repeat(np.array(x, kind), np.array(counts, np.int64))) for x, kind in ((owner, np.int64), (sizes, np.int32)))], ["shingle", "owner", "n"]
-            )
-
-    return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, "shingle long, owner long, n int")
+    The hub is the smallest owner of the cell, of a heavy cell the smallest of one of its parts: heavy cells are dealt
+    to as many parts as there are shuffle partitions, by owner.
+    """
+    common = held.where("kind = 1").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(HEAVY).select("cell", F.lit(True).alias("heavy"))
+    rows = held.where("kind = 0 AND cells IS NOT NULL").select(owner_of("code").alias("owner"), F.explode("cells").alias("cell"))
+    rows = rows.join(F.broadcast(materialise(common, "heavy")), "cell", "left")  # HEAVY bounds it
+    part = F.when(F.col("heavy"), F.pmod(F.xxhash64("owner"), F.lit(shuffle_partitions(held.sparkSession)))).otherwise(0)
+    by = W.partitionBy("cell", "part").orderBy("owner")
+    met = (F.lag("owner").over(by) != F.col("owner")) | (F.lead("owner").over(by) != F.col("owner"))
+    rows = rows.withColumn("part", part.cast("int")).select("cell", "owner", "heavy", F.first("owner").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"), met.alias("met"))
+    return rows.where("heavy OR met").select("cell", "owner", "hub", "heavy")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of bits for each set, each shingle at the bit that its code picks."""
     bits = min(BITS, max(64, 1 << (2 * max(map(len, sets)) - 1).bit_length()))
-    out = np.zeros((len(sets), bits), np.uint8)
+    out = np.zeros((len(sets), bits // 8), np.uint8)
     for row, own in zip(out, sets, strict=True):
-        row[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        one = np.zeros(bits, np.uint8)
+        one[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+        row[:] = np.packbits(one)
+    return out.view(np.uint64)
 
 
 def tile_links(sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -171,64 +207,93 @@ def tile_links(sets: list[np.ndarray], labels: np.ndarray, probe: np.ndarray, pe
     return links
 
 
-def join_tiles(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) of tiles; rows: keys, node, label, probe, shingles. A tile is at most a few blocks."""
-    tiles = rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node").select(
-        F.concat_ws(" ", *(F.col(k).cast("string") for k in keys)).alias("tile"), "node", "label", "probe", "shingles"
+class Tile:
+    """The sets of a block, and the sets that visit it a few at a time."""
+
+    def __init__(self, percent: int):
+        self.percent, self.own, self.guests, self.held, self.parent = percent, [], [], 0, {}
+
+    def root(self, label: bytes) -> bytes:
+        while (up := self.parent.get(label, label)) != label:
+            label = up
+        return label
+
+    def add(self, node: bytes, label: bytes, guest: bool, shingles: np.ndarray) -> list[tuple[bytes, bytes]]:
+        self.held += len(shingles) if guest else 0
+        (self.guests if guest else self.own).append((node, label, shingles))
+        return self.settle() if self.held > SHINGLES or len(self.guests) >= BLOCK else []
+
+    def settle(self) -> list[tuple[bytes, bytes]]:
+        """Links of the visitors with the block, or without any visitors those within the block."""
+        rows, m = self.own + self.guests, len(self.own)
+        index: dict[bytes, int] = {}
+        labels = np.array([index.setdefault(self.root(x[1]), len(index)) for x in rows])
+        probe = np.arange(len(rows)) >= m if self.guests else np.ones(m, bool)
+        found = tile_links([x[2] for x in rows], labels, probe, self.percent) if len(rows) > 1 else []
+        for i, j in found:
+            self.parent[self.root(rows[j][1])] = self.root(rows[i][1])
+        self.guests, self.held = [], 0
+        return [(rows[i][0], rows[j][0]) for i, j in found]
+
+
+def join_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of tiles; rows: TILE, node, label, guest, shingles. In a tile with visitors these are held
+    against the block and each other, in another its sets against each other."""
+    tiles = rows.repartition(shuffle_partitions(rows.sparkSession), *TILE).sortWithinPartitions(*TILE, "guest", "node").select(
+        F.concat_ws(" ", *(F.col(k).cast("string") for k in TILE)).alias("tile"), "node", "label", "guest", "shingles"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        at, tile, seen = None, Tile(percent), False
 
-        def settle() -> list[tuple[bytes, bytes]]:
-            if len(held) < 2:
-                return []
-            index: dict[bytes, int] = {}
-            labels = np.array([index.setdefault(x[1], len(index)) for x in held])
-            sets = [np.frombuffer(x[3], np.uint64) for x in held]
-            return [(held[i][0], held[j][0]) for i, j in tile_links(sets, labels, np.array([x[2] for x in held], bool), percent)]
+        def packed(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
+        def close() -> list[tuple[bytes, bytes]]:
+            return tile.settle() if tile.guests or not seen else []
+
+        for batch in slices(batches):
             out = []
-            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != tile:
-                    out += settle()
-                    tile, held = own, []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-        last = settle()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.binary()) for k in (0, 1)], ["a", "b"])
+            for own, node, label, guest, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != at:
+                    out += close()
+                    at, tile, seen = own, Tile(percent), False
+                seen |= guest
+                out += tile.add(node, label, guest, np.frombuffer(shingles, np.uint64))
+            yield packed(out)
+        yield packed(close())
 
     return tiles.mapInArrow(run, "a binary, b binary")
 
 
-def filtered(rows: DataFrame, keys: DataFrame, column: str, rest: bool = False) -> DataFrame:
-    """rows without most of those whose column is not in keys, or with rest the rows that this leaves out.
-
-    A bitmap of hashed keys decides, of fixed size: it may let others pass but never leaves out a row in keys."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
-    bits = keys.select(at(column).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    place = F.bitmap_bit_position(at(column))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = rows.withColumn("_bucket", F.bitmap_bucket_number(at(column))).join(F.broadcast(bits), "_bucket", "left")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
-    return held.where(~hit if rest else hit).drop("_bucket", "_bits")
-
-
 def tile_sets(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """placed (clump, band, block, node, rep, spots) with each node's shingles in place of rep."""
-    kept = [*TILE, "node", "spots"]
+    """placed (node, rep, ...) with each node's shingles in place of rep."""
+    kept = [c for c in placed.columns if c != "rep"]
+    schema = T.StructType([*(placed.schema[c] for c in kept), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             own = [shingle_set(t) for t in batch.column(0).to_pylist()]
             same = pa.array([set_code(x) == code for x, code in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([x.tobytes() for x in own], pa.binary())], [*kept, "shingles"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([x.tobytes() for x in own], pa.binary())], schema.names).filter(same)
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text"))
     found = filtered(texts, placed.select("rep"), "rep").join(placed, "rep").select("_text", *kept)
     # rows that repeat an id and its text give a node twice; tile_links() takes equal sets as linked
-    return found.mapInArrow(run, "clump long, band int, block int, node binary, spots array<int>, shingles binary")
+    return found.mapInArrow(run, schema)
+
+
+def tile_places(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """TILE, node, shingles, and hubs: the node that visits all blocks of its band. members: clump, node, rep, n."""
+    sums = members.groupBy("clump").agg(F.count("*").alias("_c"), F.sum("n").alias("_s")).where("_c > 1")
+    large = (F.col("_c") > BLOCK) | (F.col("_s") > SHINGLES)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    banded = members.join(sums, "clump").withColumn("band", F.when(large, band).otherwise(0)).drop("_c", "_s")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int")
+    width = banded.groupBy("clump", "band").agg(blocks.alias("_blocks"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("_hub"))
+    placed = banded.join(width, ["clump", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    spots = F.when((F.col("node") == F.col("_hub")) & (F.col("_blocks") > 1), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    return tile_sets(docs, placed.select(*TILE, "node", "rep", spots.alias("spots")), id_col, text_col)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,74 +301,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     Two documents link when intersection / union of their shingle sets is at least percent / 100. A text of
     fewer than five words is one shingle. A null or blank text has none and links with nothing, nor does a row
-    with a null id. Equal sets are one class; rows that repeat an id each keep a row. Other columns do not come
-    along. An empty table gives no rows.
+    with a null id. Equal sets are one class; rows that repeat an id each keep a row. Other columns, whatever their
+    names, do not come along. Texts of any length are taken whole. An empty table gives no rows.
     """
-    held = materialise(digest(docs, id_col, text_col), "digests")
+    held = materialise(digest(docs, id_col, text_col, percent), "digests")
     rows = held.where("kind = 0").select("id", "n", "code")
-    often = held.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = often.orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow()  # HEAVY bounds it
-    shingles, counts = (top.column(c).to_numpy() for c in ("shingle", "n"))
-    heavy = shingles[np.lexsort((shingles, counts))].view(np.uint64)
-
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("code").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    high = F.conv(F.hex(F.substring("code", 1, 8)), 16, -10).cast("long")  # as short_code() has it
-    classes = materialise(classes.withColumn("owner", high), "classes")
-
-    # Rows whose shingle some other set of fitting size has, with the ratio of sizes to the nearest such.
-    by = W.partitionBy("shingle").orderBy("n", "owner")
-    size = F.col("n").cast("double")
-    ratio = F.least(size / F.lag("n").over(by), F.lead("n").over(by) / size)
-    near = prefixes(docs, id_col, text_col, heavy, percent).select("shingle", "n", "owner", ratio.alias("_ratio"))
-    near = materialise(near.where(F.col("_ratio") <= 100 / percent + 1e-9), "shared")
-    # Sets of ratio r to each other have at least t / (1 + t) * n * (1 / r - t) of their first shingles in common: a
-    # set with fewer shared ones at every ratio links with nothing.
-    t = percent / 100
-    ratios = [1 + (1 / t - 1) * k / 5 for k in range(1, 6)]
-    counts = near.groupBy("owner").agg(F.max("n").alias("n"), *(F.count_if(F.col("_ratio") <= r + 1e-9).alias(f"c{k}") for k, r in enumerate(ratios)))
-    enough = F.lit(False)
-    for k, r in enumerate(ratios):
-        enough = enough | (F.col(f"c{k}") >= F.greatest(F.lit(1.0), t / (1 + t) * F.col("n") * max(0.0, 1 / r - t) - 1e-6))
-    near = near.join(counts.where(enough).select("owner"), "owner").select("shingle", "n", "owner")
-    # In order of size a run ends where the next set is too large to link with the one before. The sizes between those
-    # of linked sets fit both, so linked sets lie in one run, and all of a run join its first.
-    start = F.coalesce(F.lag("n").over(by) * F.lit(100).cast("long") < F.col("n") * F.lit(percent).cast("long"), F.lit(True))
-    runs = near.select("shingle", "n", "owner", F.when(start, F.col("owner")).alias("_first"))
-    shared = runs.select("owner", F.last("_first", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"))
-    clumps = components(shared.where("owner <> hub"), "owner", "hub")
-
-    members = classes.join(clumps.select(F.col("node").alias("owner"), F.col("component").alias("clump")), "owner").select("clump", F.col("code").alias("node"), "rep", "n")
-    members = materialise(members, "members")
-    large = members.groupBy("clump").agg(F.count("*").alias("_c")).where(F.col("_c") > BLOCK).select("clump", F.lit(True).alias("_large"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    members = members.join(large, "clump", "left").withColumn("band", F.when(F.col("_large"), band).otherwise(0))
-    width = members.groupBy("clump", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("_hub"))
-    width = materialise(width, "bands")
-    placed = members.join(width, ["clump", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    own = F.when((F.col("node") == F.col("_hub")) & (F.col("_blocks") > 1), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
-    placed = materialise(placed.select(*TILE, "node", "rep", own.alias("spots")), "placed")
+    classes = held.where("kind = 0 AND n > 0 AND id IS NOT NULL").groupBy("code").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.max("need_even").alias("need0"), F.max("need_odd").alias("need1")
+    )
+    classes = materialise(classes.withColumn("owner", owner_of("code")), "classes")
+
+    shared = materialise(shared_cells(held), "shared")
+    counts = shared.groupBy("owner").agg(F.count_if(F.col("cell") % 2 == 0).alias("c0"), F.count_if(F.col("cell") % 2 != 0).alias("c1"))
+    enough = ((F.col("need0") > 0) & (F.col("c0") >= F.col("need0"))) | ((F.col("need1") > 0) & (F.col("c1") >= F.col("need1")))
+    able = materialise(classes.join(counts, "owner").where(enough).select("owner", F.col("code").alias("node"), "rep", "n"), "able")
+    near = materialise(shared.join(able.select("owner"), "owner"), "near")
+    parts = near.where("heavy").select("cell", F.col("hub").alias("owner")).distinct()
+    hubs = parts.join(parts.groupBy("cell").agg(F.min("owner").alias("hub")), "cell")
+    clumps = components(near.select("owner", "hub").unionByName(hubs.select("owner", "hub")), "owner", "hub")
+    members = able.join(clumps.select(F.col("node").alias("owner"), F.col("component").alias("clump")), "owner")
+    placed = materialise(tile_places(docs, members.select("clump", "node", "rep", "n"), id_col, text_col, percent), "placed")
 
     # first each block on its own, with the band's hub as a visitor
-    rows1 = tile_sets(docs, placed, id_col, text_col).withColumn("block", F.explode("spots")).drop("spots")
-    links = materialise(join_tiles(rows1.withColumns({"label": F.col("node"), "probe": F.lit(True)}), TILE, percent), "links")
+    first = placed.select("clump", "band", F.explode("spots").alias("block"), "node", F.col("node").alias("label"), F.lit(False).alias("guest"), "shingles")
+    links = materialise(join_tiles(first, percent), "links")
 
-    # then, in clumps of more than one block, what the largest component so far leaves out, against all other blocks
-    # of its own and the next bands
+    # then, where a cell is shared across components, the sets that the largest component of a clump leaves out visit
+    # the blocks in which they share it
     so_far = components(links).withColumnRenamed("component", "label")
-    wide = width.groupBy("clump").agg(F.sum("_blocks").alias("_b")).where("_b > 1").select("clump")
-    labels = placed.join(wide, "clump").select(*TILE, "node").join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = placed.select(*TILE, "node").distinct().join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labels.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
-    labels = materialise(labels.join(main.where("_labels > 1"), "clump").select(*TILE, "node", "label", (F.col("label") != F.col("_main")).alias("minor")), "labels")
+    spread_out = labels.groupBy("clump").agg(F.count_distinct("band", "block").alias("_b")).where("_b > 1")
+    labels = labels.join(main.where("_labels > 1"), "clump").join(spread_out, "clump").withColumn("minor", F.col("label") != F.col("_main"))
+    labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), "label", "minor"), "labels")
     if labels.limit(1).count():
-        spots = labels.where("minor").select("clump", F.col("band").alias("_band"), F.col("block").alias("_block")).distinct().withColumn("band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
-        pairs = spots.join(width.select("clump", "band", "_blocks"), ["clump", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        pairs = materialise(pairs.where("_band <> band OR _block <> block").select("clump", "_band", "_block", *TILE[1:]), "pairs")
-        keys = ["clump", "_band", "_block", "band", "block"]
-        needed = tile_sets(docs, placed.join(labels.select("clump").distinct(), "clump", "left_semi"), id_col, text_col)
-        needed = materialise(needed.select("node", "shingles").join(labels, "node"), "needed")
-        targets = needed.join(pairs, TILE).select(*keys, "node", "label", F.lit(False).alias("probe"), "shingles")
-        looking = needed.where("minor").select("clump", F.col("band").alias("_band"), F.col("block").alias("_block"), "node", "label", "shingles").join(pairs, ["clump", "_band", "_block"])
-        more = join_tiles(targets.unionAll(looking.select(*keys, "node", "label", F.lit(True).alias("probe"), "shingles")), keys, percent)
+        cells = near.join(labels, "owner").select("cell", "band", "block", "label", "node", "minor")
+        spots = cells.select("cell", F.col("band").alias("_band"), F.col("block").alias("_block"), F.col("label").alias("_label")).distinct()
+        apart = (F.col("label") != F.col("_label")) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
+        visits = cells.where("minor").join(spots, "cell").where(apart).select("node", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()
+        visits = materialise(visits, "visits")
+        sets = placed.select("node", "shingles").join(labels.select("clump", "node", "label"), "node")
+        guests = sets.join(visits, "node").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
+        hosts = placed.select(*TILE, "node", "shingles").join(labels.select("node", "label"), "node").join(guests.select(*TILE).distinct(), TILE, "left_semi")
+        more = join_tiles(guests.unionByName(hosts.select(*TILE, "node", "label", F.lit(False).alias("guest"), "shingles")), percent)
         so_far = components(links.unionAll(more)).withColumnRenamed("component", "label")
     groups = so_far.select(F.col("node").alias("code"), F.col("label").alias("component"))
 
@@ -315,10 +355,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of smallest id of each group of linked documents, with all its columns. Rows with a null id
-    stay; of rows that repeat an id and all else, one stays."""
+    """The document of smallest id of each group of linked documents, with all its columns.
+
+    Rows with a null id stay, as do null and blank texts. Of rows that repeat an id and its text one stays; rows that
+    repeat an id with other texts stay or go together. Columns of any type and name may come along. An empty table
+    gives no rows.
+    """
     groups = materialise(near_duplicates(docs, percent, id_col, text_col), "groups")
     gone = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = filtered(docs, gone, id_col).join(gone, id_col, "left_anti").unionByName(filtered(docs, gone, id_col, rest=True))
-    repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates() if repeated else kept
+    kept = filtered(docs, gone, id_col).join(gone, id_col, "left_anti").unionByName(filtered(docs, gone, id_col, rest=True)).select(*docs.columns)
+    repeated = materialise(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    nth, code = free_name(kept, "_nth"), free_name(kept, "_code")
+    again = filtered(kept, repeated, id_col).withColumn(code, F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    again = again.withColumn(nth, F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(W.partitionBy(id_col, code).orderBy(code)))).where(F.col(nth) == 1)
+    return again.drop(nth, code).unionByName(filtered(kept, repeated, id_col, rest=True))
