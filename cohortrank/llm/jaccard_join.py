@@ -296,6 +296,15 @@ def tile_places(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     return tile_sets(docs, placed.select(*TILE, "node", "rep", spots.alias("spots")), id_col, text_col)
 
 
+def counted_cells() -> list[F.Column]:
+    """How many cells of either parity there are."""
+    return [F.count_if(F.col("cell") % 2 == 0).alias("c0"), F.count_if(F.col("cell") % 2 != 0).alias("c1")]
+
+
+#: Whether a set shares as many cells as its links would need.
+ENOUGH = "need0 > 0 AND c0 >= need0 OR need1 > 0 AND c1 >= need1"
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id that links reach from it, itself included.
 
@@ -312,9 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = materialise(classes.withColumn("owner", owner_of("code")), "classes")
 
     shared = materialise(shared_cells(held), "shared")
-    counts = shared.groupBy("owner").agg(F.count_if(F.col("cell") % 2 == 0).alias("c0"), F.count_if(F.col("cell") % 2 != 0).alias("c1"))
-    enough = ((F.col("need0") > 0) & (F.col("c0") >= F.col("need0"))) | ((F.col("need1") > 0) & (F.col("c1") >= F.col("need1")))
-    able = materialise(classes.join(counts, "owner").where(enough).select("owner", F.col("code").alias("node"), "rep", "n"), "able")
+    counts = shared.groupBy("owner").agg(*counted_cells())
+    able = materialise(classes.join(counts, "owner").where(ENOUGH).select("owner", F.col("code").alias("node"), "rep", "n", "need0", "need1"), "able")
     near = materialise(shared.join(able.select("owner"), "owner"), "near")
     parts = near.where("heavy").select("cell", F.col("hub").alias("owner")).distinct()
     hubs = parts.join(parts.groupBy("cell").agg(F.min("owner").alias("hub")), "cell")
@@ -326,25 +334,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     first = placed.select("clump", "band", F.explode("spots").alias("block"), "node", F.col("node").alias("label"), F.lit(False).alias("guest"), "shingles")
     links = materialise(join_tiles(first, percent), "links")
 
-    # then, where a cell is shared across components, the sets that the largest component of a clump leaves out visit
-    # the blocks in which they share it
+    # then, in clumps of several blocks, the sets that share enough cells with other components: those that the
+    # largest component of a clump leaves out visit the blocks in which they share one
     so_far = components(links).withColumnRenamed("component", "label")
     labels = placed.select(*TILE, "node").distinct().join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labels.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
-    spread_out = labels.groupBy("clump").agg(F.count_distinct("band", "block").alias("_b")).where("_b > 1")
+    spread_out = labels.groupBy("clump").agg((F.min(F.struct("band", "block")) < F.max(F.struct("band", "block"))).alias("_wide")).where("_wide")
     labels = labels.join(main.where("_labels > 1"), "clump").join(spread_out, "clump").withColumn("minor", F.col("label") != F.col("_main"))
     labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), "label", "minor"), "labels")
     if labels.limit(1).count():
-        cells = near.join(labels, "owner").select("cell", "band", "block", "label", "node", "minor")
-        spots = cells.select("cell", F.col("band").alias("_band"), F.col("block").alias("_block"), F.col("label").alias("_label")).distinct()
-        apart = (F.col("label") != F.col("_label")) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
+        cells = near.select("cell", "owner").join(labels.select("owner", "label"), "owner")
+        mixed = cells.groupBy("cell").agg((F.min("label") < F.max("label")).alias("_mixed")).where("_mixed").select("cell")
+        foreign = materialise(cells.join(mixed, "cell").select("cell", "owner"), "foreign")
+        again = foreign.groupBy("owner").agg(*counted_cells()).join(able.select("owner", "need0", "need1"), "owner").where(ENOUGH).select("owner")
+        again = materialise(again.join(labels, "owner"), "again")
+        cells = foreign.join(again, "owner").select("cell", "band", "block", "label", "node", "minor")
+        spots = cells.groupBy("cell", F.col("band").alias("_band"), F.col("block").alias("_block")).agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
+        apart = ((F.col("label") != F.col("_a")) | (F.col("label") != F.col("_b"))) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
         visits = cells.where("minor").join(spots, "cell").where(apart).select("node", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()
         visits = materialise(visits, "visits")
-        sets = placed.select("node", "shingles").join(labels.select("clump", "node", "label"), "node")
-        guests = sets.join(visits, "node").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
-        hosts = placed.select(*TILE, "node", "shingles").join(labels.select("node", "label"), "node").join(guests.select(*TILE).distinct(), TILE, "left_semi")
-        more = join_tiles(guests.unionByName(hosts.select(*TILE, "node", "label", F.lit(False).alias("guest"), "shingles")), percent)
-        so_far = components(links.unionAll(more)).withColumnRenamed("component", "label")
+        sets = filtered(placed.select("node", "shingles"), again.select("node"), "node").join(again.select(*TILE, "node", "label"), "node").dropDuplicates(["node"])
+        sets = materialise(sets, "sets")
+        guests = sets.drop("band", "block").join(visits, "node").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
+        asked = sets.select("node", "clump").join(visits, "node").select(*TILE).distinct()
+        hosts = sets.join(asked, TILE, "left_semi").select(*TILE, "node", "label", F.lit(False).alias("guest"), "shingles")
+        so_far = components(links.unionAll(join_tiles(guests.unionByName(hosts), percent))).withColumnRenamed("component", "label")
     groups = so_far.select(F.col("node").alias("code"), F.col("label").alias("component"))
 
     named = classes.select("code", "rep").join(groups, "code")
