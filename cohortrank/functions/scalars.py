@@ -154,7 +154,8 @@ def grid_pair(value: Column) -> tuple[Column, Column]:
 
 
 def any_of_terms(value: Column, terms: list[str]) -> Column:
-    return F.coalesce(F.lower(value).rlike("|".join(terms)), F.lit(False))
+    """Whether any of the terms, taken as they stand, is in the lower-cased text."""
+    return F.coalesce(F.lower(value).rlike("|".join(rf"\Q{t}\E" for t in terms)), F.lit(False)) if terms else F.lit(False)
 
 
 def lookup_key(source_id: Column, name: Column, team: Column) -> Column:

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value_cols: list[str], tie: list[str] = ()) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value_cols: list[str], tie: list[str] = (), span: Callable[[Column], Column] | None = None) -> DataFrame:
     """left plus, of the right rows of its key with right_ts <= left_ts, the value columns of the latest (null if none).
 
     Union and one window instead of a range join: rows of both sides are sorted once by key and time. Among right
-    rows of one time the largest by `tie` counts. Null times on the left find nothing.
+    rows of one time the largest by `tie` counts. Null times on the left find nothing. With `span`, which cuts time
+    into stretches (a month, say), rows are sorted by key and stretch, and the last value before a stretch is carried
+    into it: one key's rows then lie in as many groups as it has stretches, not in one.
     """
-    names = left.columns
-    tagged = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), *(F.lit(None).alias(f"_t{i}") for i, _ in enumerate(tie)), F.lit(None).cast(right.select(F.struct(*value_cols).alias("v")).schema["v"].dataType).alias("_value"))
-    dated = right.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), *(F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)), F.struct(*value_cols).alias("_value"))
+    names, ties = left.columns, [f"_t{i}" for i, _ in enumerate(tie)]
+    kind = right.select(F.struct(*value_cols).alias("v")).schema["v"].dataType
+    at = (lambda ts: span(F.col(ts))) if span else (lambda ts: F.lit(0))
+    tagged = left.select(*keys, at(left_ts).alias("_span"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), *(F.lit(None).alias(t) for t in ties), F.lit(None).cast(kind).alias("_value"))
+    dated = right.where(F.col(right_ts).isNotNull()).select(*keys, at(right_ts).alias("_span"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), *(F.col(t).alias(x) for t, x in zip(tie, ties, strict=True)), F.struct(*value_cols).alias("_value"))
     both = tagged.unionByName(dated)
-    order = W.partitionBy(*keys).orderBy("_ts", "_side", *(F.col(f"_t{i}") for i, _ in enumerate(tie))).rowsBetween(W.unboundedPreceding, 0)
+    if span:  # a row for each stretch of a key that has any, with the last value before it
+        last = F.max_by("_value", F.struct("_ts", *ties)).alias("_last")
+        stretches = dated.groupBy(*keys, "_span").agg(last).unionByName(tagged.groupBy(*keys, "_span").agg(F.lit(None).cast(kind).alias("_last")))
+        stretches = stretches.groupBy(*keys, "_span").agg(F.first("_last", ignorenulls=True).alias("_last"))
+        before = F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+        carried = stretches.withColumn("_value", before).where(F.col("_value").isNotNull() & F.col("_span").isNotNull())
+        both = both.unionByName(carried.select(*keys, "_span", "_value", F.lit(-1).alias("_side")), allowMissingColumns=True)
+    order = W.partitionBy(*keys, "_span").orderBy("_ts", "_side", *ties).rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumn("_seen", F.last("_value", ignorenulls=True).over(order)).where("_side = 1")
-    return seen.select("_row.*", *(F.col(f"_seen.{c}").alias(c) for c in value_cols))
+    found = (lambda c: F.when(F.col("_ts").isNotNull(), F.col(f"_seen.{c}"))) if span else (lambda c: F.col(f"_seen.{c}"))
+    return seen.select("_row.*", *(found(c).alias(c) for c in value_cols))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -39,9 +53,15 @@ def either_side_join(left: DataFrame, sides: list[str], right: DataFrame, key: s
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, days: int, left_id: str, right_id: str) -> DataFrame:
-    """For each left row the right row of its key nearest in time, at most `days` away; ties to the smaller id."""
+    """For each left row the right row of its key nearest in time, at most `days` away; ties to the smaller id.
+
+    Both sides are cut into stretches of `days` days, so a row meets only those of its own and the two next to it.
+    """
+    stretch = lambda ts: F.floor(F.datediff(F.col(ts), F.lit("1970-01-01").cast("date")) / max(days, 1))
     gap = F.abs(F.datediff(F.col(left_ts), F.col(right_ts)))
-    pairs = left.join(right, key).where((F.col(left_id) != F.col(right_id)) & (gap <= days)).withColumn("gap_days", gap)
+    own = left.withColumn("_stretch", F.explode(F.array(*(stretch(left_ts) + k for k in (-1, 0, 1)))))
+    pairs = own.join(right.withColumn("_stretch", stretch(right_ts)), [key, "_stretch"]).drop("_stretch")
+    pairs = pairs.where((F.col(left_id) != F.col(right_id)) & (gap <= days)).withColumn("gap_days", gap)
     return latest_per_key(pairs, [left_id], ["gap_days", right_id])
 
 

@@ -38,7 +38,7 @@ def peer_percentile(rates: DataFrame, value: str, reference_cohort) -> DataFrame
     means = rates.groupBy(*peers).agg(F.avg(value).alias("_peer"))
     reference = means.where(F.col("cohort") == reference_cohort).select("segment", "period", F.col("_peer").alias("_ref"))
     out = N.member_percentile(rates, peers, value).join(means, peers).join(reference, ["segment", "period"], "left")
-    adjusted = F.when(F.col("_peer") != 0, F.col(value) / F.col("_peer") * F.col("_ref"))
+    adjusted = F.when(F.col("_peer") != 0, F.col(value) / F.col("_peer") * F.coalesce("_ref", "_peer"))
     return out.withColumn("adjusted", adjusted).drop("_peer", "_ref")
 
 
@@ -47,7 +47,7 @@ def tier_splits(units: DataFrame, snapshots: DataFrame, metric: str) -> DataFram
     four ranked counting as twenty."""
     size = snapshots.groupBy("region", "day").agg(F.count("*").alias("size"))
     ranked = snapshots.join(size, ["region", "day"]).select("cohort", "day", "position", "size")
-    placed = J.asof_join(units.withColumn("_day", F.to_date("ts")), ranked, ["cohort"], "_day", "day", ["position", "size"])
+    placed = J.asof_join(units.withColumn("_day", F.to_date("ts")), ranked, ["cohort"], "_day", "day", ["position", "size"], span=lambda t: F.date_trunc("month", t))
     quarter = F.greatest(F.lit(1), F.floor(F.when(F.col("size") < 4, 20).otherwise(F.col("size")) / 4))
     tier = F.when(F.col("position").isNotNull(), F.least(F.lit(4), F.ceil(F.col("position") / quarter)))
     return placed.withColumn("tier", F.concat(F.lit("tier"), tier.cast("int").cast("string"))).groupBy("entity").pivot("tier", [f"tier{k}" for k in range(1, 5)]).agg(F.avg(metric))
@@ -73,7 +73,7 @@ def availability(events: DataFrame, as_of: Column, start: str, episode: str, uni
 
 
 def trajectory(units: DataFrame, as_of: Column) -> DataFrame:
-    """Per entity: periods, cohorts and segments seen, years since the first unit, slope of the yearly mean and the
+    """Per entity: periods and labels seen, years since the first unit, slope of the yearly mean and the
     periods in a row at the latest label."""
     years = units.groupBy("entity", "period").agg(F.avg("m1").alias("mean"), F.max("label").alias("label"))
     base = units.groupBy("entity").agg(F.count_distinct("period").alias("periods"), F.count_distinct("label").alias("labels"), F.min("ts").alias("_first"))

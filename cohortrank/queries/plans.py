@@ -17,6 +17,7 @@ from cohortrank.queries.adapters import AS_OF, EVENTS_AS_OF, EVENTS_SQL, OUTCOME
 from cohortrank.queries.relational import TIERS, r4
 from cohortrank.queries.shapes import BINS, PEER, peer_frame
 from cohortrank.registry import query, round_up
+from cohortrank.storage import written_once
 
 U, E, SU, SN, O = (f"WITH {x} " for x in (UNITS_SQL, EVENTS_SQL, SUPPLY_SQL, SNAPSHOTS_SQL, OUTCOMES_SQL))
 
@@ -90,8 +91,13 @@ pc AS (SELECT entity, period, metric, 100 * cume_dist() OVER (PARTITION BY cohor
 TEMPLATE = [("m1", 0.5), ("m2", 0.3), ("m3", 0.2)]
 
 
-def percentiles(spark, d):
-    rates = A.per_exposure(units(spark, d), ["m1", "m2", "m3"])
+def held_units(spark, d):
+    """The units, computed once for all parts of a plan."""
+    return written_once(units(spark, d), "units")
+
+
+def percentiles(u):
+    rates = A.per_exposure(u, ["m1", "m2", "m3"])
     long = N.to_long(rates.select("entity", "unit", "cohort", "segment", "period", *(F.col(f"{m}_rate").alias(m) for m in ("m1", "m2", "m3"))), ["entity", "unit", "cohort", "segment", "period"], ["m1", "m2", "m3"])
     mean = long.groupBy("entity", "cohort", "segment", "period", "metric").agg(F.round(F.avg("value"), 6).alias("x"))
     return N.member_percentile(mean, ["cohort", "segment", "period", "metric"], "x").select("entity", "cohort", "segment", "period", "metric", "x", "percentile")
@@ -103,14 +109,15 @@ def template(spark):
 
 @query(U + LONG + ", c AS (SELECT entity, period, count(*) / (count(*) + 10.0) f FROM u WHERE exposure > 0 GROUP BY 1, 2) SELECT entity, period, rup(least(greatest(sum(p * CASE metric WHEN 'm1' THEN 0.5 WHEN 'm2' THEN 0.3 ELSE 0.2 END) * f + 50 * (1 - f), 0), 100), 4) AS fit FROM pc JOIN c USING (entity, period) GROUP BY entity, period, f")
 def template_fit(spark, d):
-    p = percentiles(spark, d).join(P.confidence(units(spark, d)).select("entity", "period", "shrinkage"), ["entity", "period"])
+    u = held_units(spark, d)
+    p = percentiles(u).join(P.confidence(u).select("entity", "period", "shrinkage"), ["entity", "period"])
     return C.template_fit(p, template(spark), ["entity", "period"], "shrinkage").select("entity", "period", r4(F.col("fit"), "fit"))
 
 
 @query(U + LONG + "SELECT entity, period, rup(least(greatest(CASE WHEN sum(w) > 0 AND sum(w) < 1 THEN sum(w * p) / sum(w) ELSE sum(w * p) END, 0), 100), 4) AS fit FROM pc JOIN (VALUES ('m1', 0.4), ('m3', 0.4)) t(metric, w) USING (metric) GROUP BY 1, 2")
 def profile_fit(spark, d):
     weights = spark.createDataFrame([("m1", 0.4), ("m3", 0.4)], "metric string, weight double")
-    return C.profile_fit(percentiles(spark, d), weights, ["entity", "period"]).select("entity", "period", r4(F.col("fit"), "fit"))
+    return C.profile_fit(percentiles(units(spark, d)), weights, ["entity", "period"]).select("entity", "period", r4(F.col("fit"), "fit"))
 
 
 CURRENT = LONG + """, mp AS (SELECT entity, avg(p) a FROM pc GROUP BY 1),
@@ -120,9 +127,8 @@ cur AS (SELECT entity, 0.5 * a + 0.2 * coalesce(least(greatest(100 / (1 + s10 /
  + 0.15 * CASE WHEN top IS NULL THEN 50 ELSE least(greatest(50 * top / base, 0), 100) END AS score FROM mp JOIN fm USING (entity)) """
 
 
-def current_frame(spark, d):
-    u = units(spark, d)
-    level = percentiles(spark, d).groupBy("entity").agg(F.avg("percentile").alias("level"))
+def current_frame(u):
+    level = percentiles(u).groupBy("entity").agg(F.avg("percentile").alias("level"))
     scaled = u.select("entity", "ts", "unit", (F.col("m1") / 100000).alias("m"))
     form = N.rolling_form(N.to_long(scaled, ["entity", "ts", "unit"], ["m"]), ["entity"], [F.desc("ts"), F.desc("unit")]).select("entity", "roll_10_cv", "trend_slope_10")
     tops = u.groupBy("entity").agg(F.avg("m1").alias("base"), F.avg(F.when(F.col("label") == "1-URGENT", F.col("m1"))).alias("top"))
@@ -132,7 +138,7 @@ def current_frame(spark, d):
 
 @query(U + CURRENT + "SELECT entity, rup(score, 3) AS score FROM cur")
 def current_performance(spark, d):
-    return current_frame(spark, d).select("entity", round_up("score", 3).alias("score"))
+    return current_frame(held_units(spark, d)).select("entity", round_up("score", 3).alias("score"))
 
 
 WEIGHTS = C.layer_weights("emerging_asset", "championship_transition")
@@ -144,12 +150,12 @@ cs AS (SELECT entity, cohort, c, fit, score, proj, fin, ev, av, (CASE WHEN fit <
  SELECT pj.*, fit, score, fit * {WEIGHTS['role_fit']!r} + (CASE WHEN proj >= 70 THEN greatest(30, score) ELSE score END) * {WEIGHTS['current']!r} + proj * {WEIGHTS['projection']!r} + fin * {WEIGHTS['financial']!r} AS raw FROM pj JOIN f USING (entity) JOIN cur USING (entity))) """
 
 
-def composite_frame(spark, d):
+def composite_frame(u):
     """Per entity the parts of the composite and the composite itself."""
-    p = percentiles(spark, d)
-    fit = C.template_fit(p, template(spark), ["entity", "period"]).groupBy("entity").agg(S.clamp(F.avg("raw")).alias("fit"))
-    b = units(spark, d).groupBy("entity", "cohort").agg(F.sum("exposure").alias("x"), (F.avg("m1") / 20000).alias("rate"), F.avg((F.col("status") == "F").cast("int")).alias("share"), F.count("*").alias("n"))
-    j = b.join(fit, "entity").join(current_frame(spark, d), "entity")
+    p = percentiles(u)
+    fit = C.template_fit(p, template(u.sparkSession), ["entity", "period"]).groupBy("entity").agg(S.clamp(F.avg("raw")).alias("fit"))
+    b = u.groupBy("entity", "cohort").agg(F.sum("exposure").alias("x"), (F.avg("m1") / 20000).alias("rate"), F.avg((F.col("status") == "F").cast("int")).alias("share"), F.count("*").alias("n"))
+    j = b.join(fit, "entity").join(current_frame(u), "entity")
     j = j.withColumns({"projection": S.calibrated(F.col("rate"), 2.7, 3.88, 6.29), "financial": C.financial_score(F.col("share") - 0.5), "evidence": S.evidence_multiplier(F.col("x")), "available": F.least(F.lit(0.95), 0.5 + F.col("share") / 2)})
     columns = C.Composite(WEIGHTS, True).columns(*(F.col(c) for c in ("fit", "score", "projection", "financial", "evidence", "available")))
     return j.withColumns(columns)
@@ -157,12 +163,12 @@ def composite_frame(spark, d):
 
 @query(COMPOSITE + "SELECT entity, rup(composite, 3) AS composite, fit < 40 AS capped FROM cs")
 def composite_score(spark, d):
-    return composite_frame(spark, d).select("entity", round_up("composite", 3).alias("composite"), "capped")
+    return composite_frame(held_units(spark, d)).select("entity", round_up("composite", 3).alias("composite"), "capped")
 
 
 @query(COMPOSITE + "SELECT a.entity, CASE WHEN b.m = 0 THEN 100.0 ELSE round(100 * (a.m - b.m) / b.m, 2) END AS gap_pct FROM (SELECT entity, (fit + proj) / 2 m FROM cs) a JOIN (SELECT entity, (fit + proj) / 2 m FROM cs) b ON b.entity = a.entity // 10 * 10")
 def gap_vs_reference(spark, d):
-    m = composite_frame(spark, d).select("entity", ((F.col("fit") + F.col("projection")) / 2).alias("m"))
+    m = composite_frame(held_units(spark, d)).select("entity", ((F.col("fit") + F.col("projection")) / 2).alias("m"))
     other = m.select(F.col("entity").alias("other"), F.col("m").alias("r"))
     j = m.join(other, (F.floor(F.col("entity") / 10) * 10) == F.col("other"))
     return j.select("entity", F.when(F.col("r") == 0, 100.0).otherwise(F.round(100 * (F.col("m") - F.col("r")) / F.col("r"), 2)).alias("gap_pct"))
@@ -174,7 +180,7 @@ BOARD = COMPOSITE + """, bd AS (SELECT entity, cohort, rup((0.40 * fit + 0.35 *
 @query(BOARD + "SELECT cohort, board, entity, score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cohort, board ORDER BY score DESC, entity) place FROM (SELECT cohort, entity, 'overall' board, overall score FROM bd UNION ALL SELECT cohort, entity, 'present', present FROM bd)) WHERE place <= 5")
 def board_rankings(spark, d):
     soft = S.soft_multiplier(F.col("evidence"))
-    b = composite_frame(spark, d).select(
+    b = composite_frame(held_units(spark, d)).select(
         "entity", "cohort", round_up((0.40 * F.col("fit") + 0.35 * F.col("score") + 0.25 * F.col("projection")) * soft, 3).alias("overall"), round_up((0.55 * F.col("fit") + 0.45 * F.col("score")) * soft, 3).alias("present")
     )
     long = b.unpivot(["cohort", "entity"], ["overall", "present"], "board", "score")
@@ -183,7 +189,7 @@ def board_rankings(spark, d):
 
 @query(COMPOSITE + "SELECT entity, rup(least(greatest(100 * (1 - exp(-greatest(composite, 0) / 19.0)), 0), 100), 3) AS board, CASE WHEN composite >= 40 THEN 'Tier 1' WHEN composite >= 34 THEN 'Tier 2' WHEN composite >= 28 THEN 'Tier 3' WHEN composite >= 22 THEN 'Tier 4' ELSE 'Tier 5' END AS tier, CAST(fit >= 60 AS INT) + CAST(score >= 60 AS INT) + CAST(proj >= 60 AS INT) AS strengths FROM cs")
 def decorate_predictions(spark, d):
-    c = composite_frame(spark, d)
+    c = composite_frame(held_units(spark, d))
     strengths = F.array_compact(F.array(*(F.when(F.col(x) >= 60, F.lit(x)) for x in ("fit", "score", "projection"))))
     return c.select("entity", round_up(S.board_score(F.col("composite")), 3).alias("board"), S.tier_of(F.col("composite"), TIERS).alias("tier"), F.size(strengths).alias("strengths"))
 
@@ -197,7 +203,7 @@ def family_siblings(spark, d):
 @query(COMPOSITE + "SELECT entity, rup(fit, 3) fit, rup(score, 3) score, rup(proj, 3) projection, rup(composite, 3) composite FROM cs WHERE entity IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
 def comparison_table(spark, d):
     chosen = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("entity")).distinct()
-    c = composite_frame(spark, d).join(chosen, "entity", "left_semi")
+    c = composite_frame(held_units(spark, d)).join(chosen, "entity", "left_semi")
     return c.select("entity", *(round_up(x, 3).alias(x) for x in ("fit", "score", "projection", "composite")))
 
 
@@ -264,9 +270,10 @@ gt AS (SELECT ct.entity, composite, CASE WHEN ct.n < 3 THEN 'fail' ELSE 'pass' E
 
 
 def gate_context(spark, d):
-    u = units(spark, d).groupBy("entity").agg(F.min("segment").alias("seg"), S.age_years(F.to_date(F.min("ts")), F.lit(AS_OF).cast("date")).alias("age"), F.round(F.avg("m1"), 2).alias("value"), F.count("*").alias("caps"))
+    held = held_units(spark, d)
+    u = held.groupBy("entity").agg(F.min("segment").alias("seg"), S.age_years(F.to_date(F.min("ts")), F.lit(AS_OF).cast("date")).alias("age"), F.round(F.avg("m1"), 2).alias("value"), F.count("*").alias("caps"))
     u = u.withColumns({"wage": F.col("value") * 0.06, "segments": F.array("seg"), "status": F.when(F.col("caps") < 3, "red").otherwise("green"), "confidence_tier": S.sample_tier(F.col("caps"))})
-    c = composite_frame(spark, d).select("entity", "composite", "projection", "available", "fit", (1 - F.col("available")).alias("risk"))
+    c = composite_frame(held).select("entity", "composite", "projection", "available", "fit", (1 - F.col("available")).alias("risk"))
     return u.join(c, "entity")
 
 

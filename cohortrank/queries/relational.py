@@ -11,6 +11,7 @@ from cohortrank.operators import joins as J
 from cohortrank.operators import merge as M
 from cohortrank.operators import windows as N
 from cohortrank.queries.adapters import AS_OF, EVENTS_SQL, SUPPLY_SQL, UNITS_SQL, events, supply, table, units
+from cohortrank.storage import written_once
 from cohortrank.registry import query, round_up
 
 U = f"WITH {UNITS_SQL} "
@@ -305,7 +306,7 @@ def board_percentiles(spark, d):
     """Nearest-rank values; the ranks come from counts per value, not from one global sort."""
     g = units(spark, d).groupBy("entity").agg(F.round(F.avg("m1"), 2).alias("x"))
     n = g.agg(F.count("*").alias("n"))
-    ordered = g.repartitionByRange("x").sortWithinPartitions("x").withColumn("_p", F.spark_partition_id())
+    ordered = written_once(g.repartitionByRange("x").withColumn("_p", F.spark_partition_id()), "ordered")  # so that all parts see one numbering
     local = ordered.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("x")))
     starts = local.groupBy("_p").agg(F.count("*").alias("c")).withColumn("_before", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     at = local.join(F.broadcast(starts.select("_p", "_before")), "_p").select("x", (F.col("_before") + F.col("_i") - 1).alias("i"))

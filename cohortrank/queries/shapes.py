@@ -51,7 +51,7 @@ def left_join_counts(spark, d):
 @query(SN + "SELECT unit, n.position FROM u ASOF LEFT JOIN n ON n.cohort = u.cohort AND CAST(u.ts AS DATE) >= n.day")
 def asof_snapshot(spark, d):
     u = units(spark, d).select("unit", "cohort", F.to_date("ts").alias("day_at"))
-    return J.asof_join(u, snapshots(spark, d), ["cohort"], "day_at", "day", ["position"]).select("unit", "position")
+    return J.asof_join(u, snapshots(spark, d), ["cohort"], "day_at", "day", ["position"], span=lambda t: F.date_trunc("month", t)).select("unit", "position")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) k FROM orders) WHERE k = 1")
@@ -272,7 +272,7 @@ def peer_frame(spark, d):
 
 
 @query(U + PEER + """SELECT entity, period, rup(100 * cume_dist() OVER (PARTITION BY cohort, segment, period ORDER BY x), 4) AS percentile,
- rup(x / avg(x) OVER (PARTITION BY cohort, segment, period) * avg(CASE WHEN cohort = 0 THEN x END) OVER (PARTITION BY segment, period), 3) AS adjusted FROM g""")
+ rup(x / avg(x) OVER (PARTITION BY cohort, segment, period) * coalesce(avg(CASE WHEN cohort = 0 THEN x END) OVER (PARTITION BY segment, period), avg(x) OVER (PARTITION BY cohort, segment, period)), 3) AS adjusted FROM g""")
 def peer_percentile(spark, d):
     from cohortrank.plans.features import peer_percentile as plan
 

@@ -81,7 +81,7 @@ FIXTURE = "fixture struct<id:int, date:string, status:struct<short:string>>, lea
 
 def completed_units(payloads: DataFrame, body: str = "body", seq: str = "seq") -> DataFrame:
     """Completed units of landed JSON arrays, the last of each id."""
-    rows = payloads.select(F.explode(F.from_json(body, T.ArrayType(T._parse_datatype_string(FIXTURE)))).alias("x"), seq)
+    rows = payloads.select(F.explode(F.from_json(body, f"array<struct<{FIXTURE}>>")).alias("x"), seq)
     flat = rows.select(F.col("x.fixture.id").alias("fixture_id"), F.col("x.league.id").alias("league_id"), F.col("x.league.season").cast("string").alias("season"), F.to_date("x.fixture.date").alias("date"), F.col("x.teams.home.name").alias("home_team"), F.col("x.teams.away.name").alias("away_team"), F.col("x.fixture.status.short").alias("status"), seq)
     return latest_per_key(flat.where(F.col("status").isin(COMPLETED)), ["fixture_id"], [F.desc(seq)]).drop(seq)
 
@@ -91,7 +91,7 @@ STATISTICS = "array<struct<team:struct<name:string>, players:array<struct<player
 
 def unit_facts(payloads: DataFrame, units: DataFrame, body: str = "body") -> DataFrame:
     """One row per entity of each unit's statistics payload (fixture_id, body); only the first statistics block counts."""
-    teams = payloads.select("fixture_id", F.explode(F.from_json(body, T._parse_datatype_string(STATISTICS))).alias("t"))
+    teams = payloads.select("fixture_id", F.explode(F.from_json(body, STATISTICS)).alias("t"))
     players = teams.select("fixture_id", F.col("t.team.name").alias("team"), F.explode("t.players").alias("p"))
     s = F.try_element_at("p.statistics", F.lit(1))
     facts = players.select(
