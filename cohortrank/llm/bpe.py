@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Without this, splitting at each space gives units.
 SPACED = re.compile(f"[{SPACE}] | $")
 #: Units, and as many pieces, that a Python worker remembers at most; the longest unit that it remembers.
-CACHE_UNITS, CACHE_CHARS = 600_000, 40
+CACHE_UNITS, CACHE_CHARS = 240_000, 40
 #: Units encoded together at most, and the length from which a text is split into units piecemeal.
 GROUP_UNITS, LONG_TEXT = 100_000, 1_000_000
 #: Pieces of up to 2**TREE_BITS bytes are merged TREE_ROWS at a time.
@@ -185,29 +186,43 @@ class Units(Memory):
         super().__init__()
         self.before, self.learn = before, learn
 
-    def take(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of each list of units, new ones learned together."""
-        found, missed, partial = [], set(), []
-        for k, units in enumerate(lists):
-            ids = list(map(self.get, units))
-            if missing := [u for u, x in zip(units, ids, strict=True) if x is None]:
-                missed.update(missing)
-                partial.append(k)
-            found.append(ids)
-        if missed:
-            new = self.recall(missed)
-            self.update(zip(new, self.learn([self.before + u for u in new] if self.before else new), strict=True))
-            for k in partial:
-                found[k] = [self[u] if x is None else x for u, x in zip(lists[k], found[k], strict=True)]
-            for u in new:
-                if len(u) > CACHE_CHARS:
-                    del self[u]
-            self.settle()
-        return list(map(b"".join, found))
+    def take(self, units: list[str]) -> list[bytes]:
+        """The ids of each of some distinct units, new ones learned together."""
+        found, old, new = list(map(self.get, units)), self.old.get, []
+        for k, x in enumerate(found):
+            if x is None:
+                u = units[k]
+                if (x := old(u)) is None:
+                    new.append(k)
+                else:
+                    found[k] = self[u] = x
+        ids = self.learn([self.before + units[k] for k in new]) if new else []
+        for k, x in zip(new, ids, strict=True):
+            found[k] = x
+            if len(u := units[k]) <= CACHE_CHARS:
+                self[u] = x
+        self.settle()
+        return found
+
+
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def gather(found: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The entries of found at places, joined up to each of ends."""
+    flat = np.frombuffer(b"".join(found), "<u4")
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    starts = np.cumsum(lengths) - lengths
+    own = lengths[places]
+    upto = np.append(0, np.cumsum(own))
+    packed = memoryview(flat[np.repeat(starts[places] - upto[:-1], own) + np.arange(upto[-1])].tobytes())
+    cuts = (4 * upto[ends]).tolist()
+    return [bytes(packed[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit; learn() gives the packed ids of new units."""
+    """Encodes texts unit by unit, each distinct unit of some texts once; learn() gives the packed ids of new units."""
 
     def __init__(self):
         self.bare, self.spaced = Units("", self.learn), Units(" ", self.learn)
@@ -215,48 +230,58 @@ class UnitEncoder:
     def learn(self, units: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def split(self, text: str) -> Iterator[tuple[Units, list[str]]]:
-        """The units of a text, in lists of bounded length."""
-        if len(text) > LONG_TEXT:
-            found = (m[0] for m in UNIT.finditer(text))
-            while units := list(islice(found, GROUP_UNITS)):
-                yield self.bare, units
-        elif SPACED.search(text):
-            yield self.bare, UNIT.findall(text)
-        else:  # every space starts a unit
-            first, *rest = text.split(" ")
-            yield self.bare, [first] if first else []
-            yield self.spaced, rest
+    def found(self, units: list[str], spaced: bool) -> list[bytes]:
+        """The ids of some distinct units, after a space each if so."""
+        return (self.spaced if spaced else self.bare).take(units)
+
+    def units(self, text: str) -> Iterator[str]:
+        """The units of one text."""
+        return (m[0] for m in UNIT.finditer(text))
+
+    def regular(self, text: str) -> bool:
+        """Whether columns() can split the text."""
+        return not SPACED.search(text)
+
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, bool]:
+        """The units of regular texts in one array, the end of each text in it, and whether a space stands before
+        each unit but the first of a text."""
+        lists = pc.split_pattern(texts, " ")
+        return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), True
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        """encode() of each text; null texts have no ids. Units are taken in groups of bounded size."""
-        out: list[list[bytes]] = []
-        held: list[tuple[list[bytes], int, Units, list[str]]] = []
-        n = 0
-
-        def settle() -> None:
-            for memory in (self.bare, self.spaced):
-                own = [(parts, at, units) for parts, at, m, units in held if m is memory]
-                for (parts, at, _), ids in zip(own, memory.take([units for _, _, units in own]), strict=True):
-                    parts[at] = ids
-            held.clear()
-
-        for text in texts:
-            parts: list[bytes] = []
-            out.append(parts)
-            for memory, units in self.split(text) if text else ():
-                held.append((parts, len(parts), memory, units))
-                parts.append(b"")
-                n += len(units)
-                if n >= GROUP_UNITS:
-                    settle()
-                    n = 0
-        settle()
-        return [b"".join(x) for x in out]
+        """encode() of each text; null texts have no ids. A long text is taken in groups of GROUP_UNITS units."""
+        texts = list(texts)
+        out, even = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) <= LONG_TEXT and self.regular(text):
+                even.append(k)
+                continue
+            units, parts = self.units(text), []
+            while group := list(islice(units, GROUP_UNITS)):
+                parts += self.join(pa.array(group, pa.large_string()), np.array([len(group)]), False)
+            out[k] = b"".join(parts)
+        if even:
+            for k, ids in zip(even, self.join(*self.columns(pa.array([texts[k] for k in even], pa.large_string()))), strict=True):
+                out[k] = ids
+        return out
+
+    def join(self, values: pa.Array, ends: np.ndarray, spaced: bool) -> list[bytes]:
+        """The ids of the texts whose units stand in values, each up to its end."""
+        coded = values.dictionary_encode()
+        found = self.found(strings(coded.dictionary), spaced)
+        places = coded.indices.to_numpy().astype(np.int64)
+        if spaced:  # no space stands before a text's first unit
+            at = np.append(0, ends[:-1])
+            first = values.take(pa.array(at)).dictionary_encode()
+            places[at] = len(found) + first.indices.to_numpy()
+            found = found + self.found(strings(first.dictionary), False)
+        return gather(found, places, ends)
 
 
 class Encoder(UnitEncoder):
@@ -266,9 +291,7 @@ class Encoder(UnitEncoder):
         super().__init__()
         self.ranks = load_ranks(path)
         self.longest = max(map(len, self.ranks))
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, r in self.ranks.items():
-            self.tokens[r] = token
+        self.tokens = token_list(self.ranks)
         self.whole = {token: np.array([r], "<u4").tobytes() for token, r in self.ranks.items()}
         self.merged = Memory()
         self.trees = MergeTrees(self.ranks)
@@ -293,7 +316,23 @@ class Encoder(UnitEncoder):
         return [b"".join([whole[p] if p in whole else merged[p] for p in own]) for own in split]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return decode(packed, self.tokens)
+
+
+def decode(packed: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+def token_list(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        tokens[r] = token
+    return tokens
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> list[bytes]:
+    return token_list(load_ranks(path))
 
 
 @lru_cache(maxsize=2)
@@ -329,9 +368,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     kept = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        tokens = decoder(path)
         for batch in slices(batches):
-            decoded = [own.decode(x) if x else b"" for x in batch.column("ids").to_pylist()]
+            decoded = [decode(x, tokens) if x else b"" for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(decoded, pa.binary())], schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -9,38 +9,130 @@ from __future__ import annotations
 
 import json
 import re
-import struct
-import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.bpe import GROUP_UNITS, LONG_TEXT, SPACE, Memory, UnitEncoder, Units
+from cohortrank.llm.bpe import SPACE, UnitEncoder
 from cohortrank.llm.common import materialise, slices, with_global_order
 
 #: Byte-level tokenizers write bytes that don't print as the characters from 256 on, in order.
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 WORD = re.compile(f"[^{SPACE}]+")
-MARKS = ".,;:!?"
-#: str.split() parts at these, which are no white space.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What str.split() and Arrow part at and is no white space; letters whose lower case is no single letter, or that
+#: normalization might change. Words with these go to the library itself.
+UNEVEN = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+
+
+def uneven(word: str) -> bool:
+    return not word.isascii() and UNEVEN.search(word) is not None
+
+
+#: A mark that ends a word of letters is a piece of its own.
+MARKED = r"(\pL)([.,;:!?])( |\n|$)"
+#: Pieces of at most MERGE_BYTES bytes are merged together, MERGE_ROWS at a time.
+MERGE_BYTES, MERGE_ROWS = 32, 4096
+NONE = np.int32(2**31 - 1)
+
+
+class PairMerges:
+    """Merges many short pieces at once, a row of a matrix each: every step merges the first pair of lowest rank of
+    each row that has one left. Pairs are looked up in an open hash table."""
+
+    BITS = 18
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[list[str]], ending: str):
+        of = [chr(BYTE_CHARS.get(b, b)) for b in range(256)]
+        self.inner = np.array([vocabulary[c] for c in of], np.int32)
+        self.last = np.array([vocabulary[c + ending] for c in of], np.int32)
+        self.results = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in merges], np.int64)
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.ranks = np.full(1 << self.BITS, NONE, np.int32)
+        slots, left = self.slot(keys), np.arange(len(keys))
+        while len(left):  # each free slot takes the first that asks for it, the others go on to the next slot
+            at, first = np.unique(slots[left], return_index=True)
+            won = left[first[self.keys[at] < 0]]
+            self.keys[slots[won]], self.ranks[slots[won]] = keys[won], won
+            left = np.setdiff1d(left, won)
+            slots[left] = (slots[left] + 1) & (len(self.keys) - 1)
+        pairs = np.repeat(self.inner, 256), np.tile(self.inner, 256), np.tile(self.last, 256)
+        self.inner_pairs, self.last_pairs = (self.rank(pairs[0], x).reshape(256, 256) for x in pairs[1:])
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NONE where there is no merge."""
+        wanted = left.astype(np.int64) << 20 | right
+        at = self.slot(wanted)
+        held, out = self.keys[at], self.ranks[at]
+        out[held != wanted] = NONE
+        open_ = np.flatnonzero((held != wanted) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            hit = held == wanted[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of one byte or more each."""
+        m, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = int(lengths.max())
+        inside = np.arange(size) < lengths[:, None]
+        data = np.zeros((m, size), np.uint8)
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        row, end = np.arange(m), lengths - 1
+        ids = np.full((m, size + 1), -1, np.int32)  # the last column stays empty
+        ids[:, :-1] = np.where(inside, self.inner[data], -1)
+        ids[row, end] = self.last[data[row, end]]
+        ranks = np.full((m, size + 1), NONE)
+        ranks[:, : size - 1] = np.where(inside[:, 1:], self.inner_pairs[data[:, :-1], data[:, 1:]], NONE)
+        two = row[end > 0]
+        ranks[two, end[two] - 1] = self.last_pairs[data[two, end[two] - 1], data[two, end[two]]]
+        out, places = np.full((m, size), -1, np.int32), np.arange(size)
+        while True:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(at)), at]
+            live = best < NONE
+            if not live.all():
+                out[row[~live]] = ids[~live, :-1]
+                row, ids, ranks, at, best = row[live], ids[live], ranks[live], at[live], best[live]
+            if not len(row):
+                break
+            k = np.arange(len(row))
+            moved = places > at[:, None]
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(moved, ranks[:, 1:], ranks[:, :-1])
+            new = self.results[best]
+            ids[k, at] = new
+            after = ids[k, at + 1]
+            ranks[k, at] = np.where(after >= 0, self.rank(new, np.maximum(after, 0)), NONE)
+            back = np.flatnonzero(at)
+            ranks[back, at[back] - 1] = self.rank(ids[back, at[back] - 1], new[back])
+        counts = (out >= 0).sum(1)
+        packed = out[out >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class WordEncoder(UnitEncoder):
     """Ids by the tokenizer, which drops white space and merges within the matches of its own pattern only.
 
-    Texts are split at white space. New words are normalized and split as the tokenizer's file says, and its model
-    gives the ids of their pieces.
+    Texts are normalized and split at white space as the tokenizer's file says, and words into its pattern's matches.
     """
 
     def __init__(self, path: str):
@@ -52,37 +144,51 @@ class WordEncoder(UnitEncoder):
         self.model = self.own.model
         rules = json.loads(self.own.to_str())
         steps = [x["type"] for x in rules["normalizer"]["normalizers"]], [x["type"] for x in rules["pre_tokenizer"]["pretokenizers"]]
-        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            raise ValueError(f"{path} holds a tokenizer of another kind: {steps}")
+        model = rules["model"]
+        plain = (model["type"], model["dropout"], model["unk_token"], model["continuing_subword_prefix"], model["byte_fallback"], model["ignore_merges"])
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or plain != ("BPE", None, None, None, False, False):
+            raise ValueError(f"{path} holds a tokenizer of another kind: {steps} {plain}")
         self.pieces = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.known = Memory()
-
-    def split(self, text: str) -> Iterator[tuple[Units, list[str]]]:
-        if len(text) > LONG_TEXT or SEPARATORS.search(text):
-            found = (m[0] for m in WORD.finditer(text))
-            while words := list(islice(found, GROUP_UNITS)):
-                yield self.bare, words
-        else:
-            yield self.bare, text.split()
-
-    def parts(self, word: str) -> list[str]:
-        """The pieces of a word, normalized; words of letters with at most one mark at the end need no pattern."""
-        if not word.isascii():
-            return self.pieces(unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3").lower())
-        low = word.lower()
-        if word.isalpha():
-            return [low]
-        if low[-1] in MARKS and word[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return self.pieces(low)
+        self.merges = PairMerges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+
+    def units(self, text: str) -> Iterator[str]:
+        return (m[0] if uneven(m[0]) else m[0].lower() for m in WORD.finditer(text))
+
+    def regular(self, text: str) -> bool:
+        return not UNEVEN.search(text)
+
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, bool]:
+        # white space at either end of a text gives an empty word there, which has no ids
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), MARKED, r"\1 \2\3"))
+        return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), False
 
     def learn(self, units: list[str]) -> list[bytes]:
-        split, known, tokenize = list(map(self.parts, units)), self.known, self.model.tokenize
-        known.settle()
-        for p in known.recall({p for own in split for p in own if p not in known}):
-            ids = [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_CHARS))]
-            known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join([known[p] for p in own]) for own in split]
+        odd = {k for k, u in enumerate(units) if uneven(u)}
+        if odd:  # the library's Unicode tables decide
+            even = iter(self.learn([u for k, u in enumerate(units) if k not in odd]))
+            return [array("I", self.own.encode(u, add_special_tokens=False).ids).tobytes() if k in odd else next(even) for k, u in enumerate(units)]
+        whole = [u.isalpha() for u in units]
+        split = {k: self.pieces(units[k]) for k, one in enumerate(whole) if not one}
+        parts = list({p for own in split.values() for p in own})
+        names = [u.encode() for u, one in zip(units, whole, strict=True) if one]
+        ids = self.merged(names + [p.encode() for p in parts])
+        known = dict(zip(parts, ids[len(names) :], strict=True))
+        single = iter(ids)
+        return [next(single) if one else b"".join([known[p] for p in split[k]]) for k, one in enumerate(whole)]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces, those of about the same length together."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= MERGE_BYTES).sum())
+        out = [b""] * len(pieces)
+        for k in range(0, short, MERGE_ROWS):
+            some = order[k : min(short, k + MERGE_ROWS)].tolist()
+            for i, x in zip(some, self.merges.ids([pieces[i] for i in some]), strict=True):
+                out[i] = x
+        for i in order[short:].tolist():
+            out[i] = array("I", [t.id for t in self.model.tokenize(pieces[i].decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)

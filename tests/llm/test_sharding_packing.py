@@ -101,3 +101,25 @@ def test_documents(docs, no_docs):
 def test_words_encode_as_the_tokenizer_does(text):
     own = packing.word_encoder(PATH)
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.own.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_equal_the_plain_version(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abé", k=rng.randint(0, 300)))) for i in range(400)] + [(400 + i, "copy") for i in range(200)] + [(700, None), (701, "")]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24).collect()
+    sized = sorted((zlib.crc32((t or "").encode()), len((t or "").encode()) + 8, i) for i, t in rows)
+    total, before, want, slots = sum(n for _, n, _ in sized), 0, set(), Counter()
+    for code, n, i in sized:
+        shard = before * 24 // total
+        want.add((i, n, code, shard, slots[shard]))
+        slots[shard] += 1
+        before += n
+    assert {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in out} == want
+
+
+def test_words_of_any_kind_encode_as_the_tokenizer_does():
+    rng = random.Random(4)
+    own = packing.word_encoder(PATH)
+    pools = ["abcdeXYZ éÈßÄñ.,!?;:'\"-0123456789\n\t  \x1c\x85\xa0İΣσς日本語ﬁẞ🙂́<|>_ŉǅª²½ĸʼn", [chr(c) for c in range(0x20, 0x250)], [chr(c) for c in range(0x3000)]]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 50))) for pool in pools for _ in range(400)] + ["q" * 5000, "abc," * 9]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [own.own.encode(t, add_special_tokens=False).ids for t in texts]
