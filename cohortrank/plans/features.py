@@ -106,3 +106,28 @@ def forward_target(units: DataFrame, started: Column, least: float = 0.75) -> Da
     """Per entity and period: share started now, and whether the next period's reaches `least`."""
     g = units.groupBy("entity", "period").agg(F.avg(started.cast("int")).alias("share"), F.count("*").alias("n"))
     return J.period_transition(g, "entity", ["period"], ["share", "period"]).withColumn("target", (F.col("next_share") >= least).cast("int"))
+
+
+def value_rows(units: DataFrame, current: DataFrame, levels: DataFrame, as_of: Column, metrics: list[str]) -> DataFrame:
+    """One row per entity for the value model: age, first letter of the latest label, level of its cohort, contract
+    years, latest value, mean of its rates and slope of its yearly mean.
+
+    current: entity, born, cohort, contract_end, value. The level (levels: cohort, level) is that of the cohort of
+    most units (ties to the smaller), else of the current one, else 3.
+    """
+    latest = units.groupBy("entity").agg(F.upper(F.substring(F.max_by("label", F.struct("ts", "unit")), 1, 1)).alias("position_group"))
+    most = units.where("cohort IS NOT NULL").groupBy("entity", "cohort").agg(F.count("*").alias("_n"))
+    modal = J.latest_per_key(most, ["entity"], [F.desc("_n"), "cohort"]).select("entity", F.col("cohort").alias("_modal"))
+    rates = A.per_exposure(units, metrics).groupBy("entity").agg(*(F.avg(f"{m}_rate").alias(f"_{m}") for m in metrics))
+    slope = trajectory(units, as_of).select("entity", F.coalesce("slope", F.lit(0.0)).alias("trajectory"))
+    tier = lambda c, name: levels.select(F.col("cohort").alias(c), F.col("level").cast("double").alias(name))
+    j = current.withColumnRenamed("cohort", "_current").join(latest, "entity", "left").join(modal, "entity", "left").join(rates, "entity", "left").join(slope, "entity", "left")
+    j = j.join(tier("_modal", "_a"), "_modal", "left").join(tier("_current", "_b"), "_current", "left")
+    known = [F.col(f"_{m}") for m in metrics]
+    count = sum((x.isNotNull().cast("int") for x in known), F.lit(0))
+    mean = F.when(count > 0, sum((F.coalesce(x, F.lit(0.0)) for x in known), F.lit(0.0)) / count)
+    years = F.greatest(F.lit(0.0), F.round(F.datediff(F.col("contract_end"), as_of) / 365.25, 2))
+    return j.select(
+        "entity", S.age_years(F.col("born"), as_of).alias("age"), F.coalesce("position_group", F.lit("U")).alias("position_group"), F.coalesce("_a", "_b", F.lit(3.0)).alias("level"), F.coalesce(years, F.lit(0.0)).alias("contract_years"),
+        F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.coalesce(mean, F.lit(0.0)).alias("rate"), F.coalesce("trajectory", F.lit(0.0)).alias("trajectory"),
+    )

@@ -55,3 +55,41 @@ def resolve_period(periods: DataFrame, year: int) -> DataFrame:
     """The largest period before year, else the largest of all, as one row."""
     number = F.col("period").try_cast("int")
     return periods.agg(F.coalesce(F.max(F.when(number <= year - 1, number)), F.max(number)).alias("period"))
+
+
+#: Fields that a brief needs, and the reasons that an override may give.
+BRIEF_FIELDS = ["role_name", "archetype_primary", "intent", "budget_max_contract_years", "age_min", "age_max", "league_scope", "timeline", "created_by", "approved_by"]
+OVERRIDE_REASONS = ["tactical", "financial", "medical", "intelligence", "alternatives", "timing"]
+
+
+def brief_problems(briefs: DataFrame, fields: list[str] = BRIEF_FIELDS, checked: str = "pathway_check_done") -> DataFrame:
+    """Each brief with missing (its fields that are null, blank or empty), pathway_open and valid."""
+    kinds = dict(briefs.dtypes)
+    empty = lambda c: F.coalesce(F.size(c) == 0 if kinds[c].startswith("array") else F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    held = briefs.withColumns({"missing": F.array_compact(F.array(*(F.when(empty(c), F.lit(c)) for c in fields))), "pathway_open": ~F.coalesce(F.col(checked), F.lit(False))})
+    return held.withColumn("valid", (F.size("missing") == 0) & ~F.col("pathway_open"))
+
+
+def split_overrides(overrides: DataFrame, reason: str = "reason_category") -> tuple[DataFrame, DataFrame]:
+    """Overrides whose reason is one of the known ones, and the others."""
+    known = F.coalesce(F.col(reason).isin(OVERRIDE_REASONS), F.lit(False))
+    return overrides.where(known), overrides.where(~known)
+
+
+def sound_rows(df: DataFrame, check: str = "quality_check") -> DataFrame:
+    """Rows whose quality check holds or was not made."""
+    return df.where(F.coalesce(F.col(check), F.lit(True)))
+
+
+def review_rows(rows: DataFrame, cohort: int | None = None, period: str | None = None) -> DataFrame:
+    """Review rows of a cohort and a period, of all where none is given."""
+    for column, wanted in (("cohort", cohort), ("period", period)):
+        if wanted is not None:
+            rows = rows.where(F.col(column) == wanted)
+    return rows
+
+
+def review_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: rows, those with candidates and without, and those with a suggested team."""
+    some = F.coalesce(F.size("candidates") > 0, F.lit(False))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(some).alias("with_candidates"), F.count_if(~some).alias("without_candidates"), F.count_if(F.col("team").isNotNull()).alias("with_team"))

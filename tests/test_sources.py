@@ -72,3 +72,23 @@ def test_sinks(spark, tmp_path):
     sinks.merge_table(df, spark.createDataFrame([(1, "b", 1)], "brief_id int, v string, seq int"), ["brief_id"], "seq", str(tmp_path / "merged"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2 and spark.read.parquet(str(tmp_path / "merged")).first().v == "b"
     assert spark.read.option("header", True).csv(str(tmp_path / "rejects")).count() == 1
+
+
+def test_reference_files_and_header_names(spark, tmp_path):
+    from cohortrank.sources import files, payloads
+
+    (tmp_path / "levels.json").write_text('[\n {"cohort": 1, "level": 2},\n {"cohort": 2, "level": 3}\n]')
+    df = payloads.reference_json(spark, str(tmp_path / "levels.json"), ["cohort", "level"])
+    assert sorted((r.cohort, r.level) for r in df.collect()) == [(1, 2), (2, 3)]
+    with pytest.raises(files.MissingColumns):
+        payloads.reference_json(spark, str(tmp_path / "levels.json"), ["name"])
+    assert payloads.plain_names(["  Pass %", ("Unnamed: 0_level_0", "Squad"), ("Per 90 Minutes", "xG+xAG"), "a/b__c"]) == ["pass_pct", "squad", "per_90_minutes_xg_xag", "a_b_c"]
+
+
+def test_payloads_with_holes(spark):
+    from cohortrank.sources import payloads
+
+    df = spark.createDataFrame([(1, None), (2, "not json"), (3, "[]"), (4, '[{"player":{"id":"7","birth":{"date":"soon"}}},{"player":{"id":null}}]')], "fixture_id int, body string")
+    assert [(r.player_id, r.birth_date, r.current_team) for r in payloads.bios(df).collect()] == [(7, None, None)]
+    assert payloads.transfers(df).count() == 0
+    assert [(r.fixture_id, r.player_id) for r in payloads.unit_events(df).collect() if r.player_id] == [(4, 7)]
