@@ -38,16 +38,27 @@ def drain_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     query.awaitTermination()
 
 
+def drain_updates(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Rows of an updating query, each micro-batch in a folder of its own: a batch that runs again replaces its rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def streaks(stream: DataFrame, key: str, ts: str, value: str, least: float) -> DataFrame:
     """After each micro-batch, for keys it touched, how many of the latest rows in a row reach `least`. State per key
     is one number and the time of its last row; rows older than that are ignored."""
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, last = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(batches)).sort_values([ts, "unit"])
-        for t, v in zip(rows[ts].astype("int64"), rows[value], strict=True):
-            if t >= last:
-                streak, last = (streak + 1 if v is not None and v >= least else 0), int(t)
+        held: list[tuple[int, int, bool]] = []
+        for rows in batches:  # of a batch only the time, the unit and whether the row holds are kept
+            at = rows[ts].astype("int64")
+            held += zip(at[at >= last], rows["unit"][at >= last], rows[value][at >= last] >= least, strict=True)
+        for t, _, holds in sorted(held):
+            streak, last = (streak + 1 if holds else 0), int(t)
         state.update((int(streak), int(last)))
         yield pd.DataFrame({key: [keys[0]], "streak": [int(streak)], "last": [int(last)]})
 
