@@ -4,7 +4,8 @@ Each tree gives every vector a string of bits, the signs of its products with ra
 array of such strings the vectors that share a prefix are neighbours. A query descends each tree to its longest
 matching prefixes and ascends in all trees by the same number of bits until enough candidates share a prefix
 with it; the candidates are then scored exactly. Points are kept in bands of norms that differ by at most the
-root of two, each with its own forest; a query that finds too few in a band's buckets is held against the whole band.
+root of two, each with its own forest, however few they are; a query that finds too few in a band's buckets is held
+against the whole band.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from cohortrank.llm.common import materialise
 
 TREES, BITS = 24, 30
-#: Candidates at which the ascent stops, counted once a tree: this share of a band's vectors, and at least LEAST.
-#: Bands of at most LEAST vectors are scanned.
-SHARE, LEAST = 0.8, 4096
-#: The band of points that no tree holds.
-SCAN = -1
+#: Candidates at which the ascent stops, counted once a tree: a share of a band's vectors, and at least LEAST. The share
+#: is the smallest of SHARES with which SAMPLE queries, searched exactly, find TARGET of their neighbours.
+SHARES, LEAST = [0.001 * 2 ** (j / 2) for j in range(28)], 4096
+SAMPLE, TARGET = 64, 0.965
 #: Vectors in a block of a bucket; levels below the bucket's at which the ascent can stop.
 BLOCK, LEVELS = 4096, 12
 
@@ -41,25 +41,83 @@ def hash_strings(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def point_strings(x: np.ndarray, band: np.ndarray, tops: dict[int, float], planes: np.ndarray) -> np.ndarray:
+    """Strings of points: one more coordinate makes all points of a band equally long, so the nearest in angle has the
+    largest product."""
+    top = np.array([tops[b] for b in band.tolist()])
+    return hash_strings(np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]), planes)
+
+
+def calibrated(points: DataFrame, queries: DataFrame, planes: np.ndarray, tops: dict, sizes: dict, shares: list[float], least: int, k: int) -> tuple[float, dict[int, int]]:
+    """The smallest of shares with which the sample finds TARGET of its neighbours, and each band's bucket depth: a bit
+    less than any query of the sample then needs. The sample is of SAMPLE queries of smallest hash, held against all
+    points, so the cost is SAMPLE products a point."""
+    sample = queries.orderBy(F.xxhash64("q"), "q").limit(SAMPLE).select("q", "v").toPandas()  # SAMPLE bounds it
+    if not len(sample):
+        return shares[-1], dict.fromkeys(sizes, 0)
+    dim, asked = planes.shape[2] - 1, sample["q"].to_numpy(np.int64)
+    own = np.array(sample["v"].tolist(), np.float64).reshape(-1, dim)
+    strings = hash_strings(np.column_stack([own, np.zeros(len(own))]), planes)
+    rows = np.arange(len(own))[:, None]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                x, band = np.array(part["v"].tolist(), np.float64).reshape(-1, dim), part["band"].to_numpy(np.int32)
+                code, best = point_strings(x, band, tops, planes), np.zeros((len(own), len(x)), np.int64)
+                for tree in range(TREES):
+                    shared = BITS - np.frexp((strings[:, tree, None] ^ code[None, :, tree]).astype(np.float64))[1]
+                    best = np.maximum(best, shared)
+                    for b in np.unique(band).tolist():
+                        places = (rows * (BITS + 1) + shared[:, band == b]).ravel()
+                        seen[b] = seen.get(b, 0) + np.bincount(places, minlength=len(own) * (BITS + 1))
+                products = own @ x.T
+                near = np.argpartition(-products, min(k, len(x) - 1), axis=1)[:, : k + 1]
+                yield pd.DataFrame({
+                    "q": np.repeat(np.arange(len(own)), near.shape[1]), "band": band[near].ravel(), "level": best[rows, near].ravel(), "n": 0, "id": part["vec_id"].to_numpy(np.int64)[near].ravel(), "score": products[rows, near].ravel(),
+                })
+        for b, n in seen.items():
+            yield pd.DataFrame({"q": np.repeat(np.arange(len(own)), BITS + 1), "band": b, "level": np.tile(np.arange(BITS + 1), len(own)), "n": n, "id": -1, "score": 0.0})
+
+    held = materialise(points.select("vec_id", "band", "v").mapInPandas(run, "q int, band int, level int, n long, id long, score double"), "sample")
+    counts = {b: np.zeros((len(own), BITS + 1), np.int64) for b in sizes}
+    for r in held.where("n > 0").groupBy("band", "q", "level").agg(F.sum("n").alias("n")).collect():  # SAMPLE * (BITS + 1) a band at most
+        counts[r["band"]][r["q"], r["level"]] = r["n"]
+    counts = {b: c[:, ::-1].cumsum(1)[:, ::-1] for b, c in counts.items()}  # of points that share so many bits or more
+    ids = F.element_at(F.array(*map(F.lit, asked.tolist())), F.col("q") + 1)
+    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    near = held.where("n = 0").where(F.col("id") != ids).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("q", "band", "level").collect()
+    for share in shares:
+        # the deepest level at which enough points share a prefix, -1 where there are too few in all
+        levels = {b: (c >= max(least, share * sizes[b])).sum(1) - 1 for b, c in counts.items()}
+        if sum(r["level"] >= levels[r["band"]][r["q"]] for r in near) >= TARGET * len(near):
+            break
+    return share, {b: max(0, min(int(x.min()) - 1, math.ceil(math.log2(sizes[b] / BLOCK)))) for b, x in levels.items()}
+
+
 def search(
-    vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, least: int = LEAST, seed: int = 11
+    vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", share: float | None = None, least: int = LEAST, seed: int = 11
 ) -> DataFrame:
     """For each row whose id is divisible by every: its k nearest found among all other rows.
 
     Returns query_id, rank (from 1), vec_id, score (inner product in double precision); ties go to the smaller
     id. Rows whose vector is null, zero, of another length than most or holds nulls or non-finite numbers take
-    no part, nor do null ids; rows that repeat an id count once, with one of its vectors. Fewer candidates than
-    k are all returned, and an empty table gives no rows.
+    no part, nor do null ids; rows that repeat an id count once, with the vector of smallest hash. Fewer candidates
+    than k are all returned, and an empty table gives no rows. Other columns, whatever their names, do not come along.
 
-    Equal vectors are searched once: of any vector only the k + 1 smallest ids can appear in a result. Buckets
-    larger than BLOCK are split into blocks, so a task holds BLOCK vectors however common a prefix is.
+    Without a share the forest takes the one that calibrated() fits. Equal vectors are searched once: of any vector only the k + 1 smallest ids can appear in a result. Buckets
+    larger than BLOCK are split into blocks, and so are their queries, so a task holds about BLOCK of either however
+    common a prefix is.
     """
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     sound = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-        .dropDuplicates(["vec_id"]).withColumn("key", F.xxhash64("v", F.lit(1))).withColumn("key2", F.hash("v"))
+        .groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v", F.lit(1))).alias("v"))
+        .withColumn("key", F.xxhash64("v", F.lit(1))).withColumn("key2", F.hash("v"))
     )
     sound = materialise(sound, "vectors")
     dims = sound.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -76,23 +134,17 @@ def search(
     asked = sound.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = asked.groupBy("key", "key2").agg(F.min("vec_id").alias("q"), F.min_by("v", "vec_id").alias("v"))
 
-    # each band of norms has its own forest; SCAN holds the bands of few points, which are scanned whole
-    held = points.groupBy("band").agg(F.count("*").alias("n"), F.max("_s").alias("top")).collect()
-    tops, depths, sizes = {}, {}, {SCAN: 0}
-    for r in held:
-        if r["n"] <= least:
-            sizes[SCAN] += r["n"]
-            continue
-        # the buckets' prefix: one bit shorter than an even spread would need, so that sparse queries can ascend
-        depths[r["band"]] = max(0, min(math.floor(math.log2(TREES / share)) - 1, math.ceil(math.log2(r["n"] / BLOCK))))
+    tops, sizes = {}, {}
+    for r in points.groupBy("band").agg(F.count("*").alias("n"), F.max("_s").alias("top")).collect():  # a row for each halving of norms
         tops[r["band"]], sizes[r["band"]] = r["top"], r["n"]
-    points = points.withColumn("band", F.when(F.col("band").isin(list(tops)), F.col("band")).otherwise(SCAN)).drop("_s")
+    points = points.drop("_s")
+    planes = directions(dim, seed)
+    share, depths = calibrated(points, queries, planes, tops, sizes, [share] if share else SHARES, least, k)
     spark = vectors.sparkSession
     bands = F.broadcast(spark.createDataFrame(
-        [(b, m, -(-m // BLOCK), float(max(least, share * m)), depths.get(b, 0)) for b, m in sizes.items() if m], "band int, _points long, _scan_blocks int, _goal double, _depth int"
+        [(b, -(-m // BLOCK), float(max(least, share * m)), depths[b]) for b, m in sizes.items()], "band int, _scan_blocks int, _goal double, _depth int"
     ))
-    planes = directions(dim, seed)
-    where = ["band", "tree", "prefix", "block"]
+    where = ["band", "tree", "prefix", "block", "part"]
     ids = queries.select(F.col("q").alias("id"))
 
     def rows(band, code: np.ndarray, depth: np.ndarray, own: np.ndarray) -> pd.DataFrame:
@@ -114,10 +166,8 @@ def search(
                         for band, depth in depths.items():
                             yield rows(band, code, np.int64(depth), own)
                         continue
-                    # one more coordinate makes all points of a band equally long, so the nearest in angle has the largest product
                     band = part["band"].to_numpy(np.int32)
-                    top = np.array([tops[b] for b in band.tolist()])
-                    code = hash_strings(np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]), planes)
+                    code = point_strings(x, band, tops, planes)
                     yield rows(band, code, np.array([depths[b] for b in band.tolist()], np.int64)[:, None], own)
         return run
 
@@ -131,36 +181,35 @@ def search(
             out[f"c{j}"] = np.searchsorted(strings, low + (1 << (BITS - level))) - np.searchsorted(strings, low)
         return pd.DataFrame(out)
 
-    flat = ids.select("id", F.lit(SCAN).alias("band"))
-    asks, haves = [], []
-    scanned = [SCAN] if sizes[SCAN] else []
-    if tops:
-        schema = "band int, tree int, prefix long, code long, id long"
-        coded = materialise(points.where(F.col("band") != SCAN).select(F.col("vec_id").alias("id"), "band", "v").mapInPandas(explode(False), schema), "codes")
-        asking = materialise(queries.select(F.col("q").alias("id"), "v").mapInPandas(explode(True), schema), "asking")
-        buckets = coded.groupBy(*where[:3]).agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-        coded = coded.join(buckets, where[:3]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).select(*where, "code", "id")
-        asking = asking.join(buckets, where[:3]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*where, "code", "id")
-        names = [f"c{j}" for j in range(LEVELS + 1)]
-        counts = asking.groupBy(*where).cogroup(coded.groupBy(*where)).applyInPandas(count, "id long, band int, " + ", ".join(f"{c} long" for c in names))
-        total = counts.groupBy("id", "band").agg(*(F.sum(c).alias(c) for c in names))
-        # level -1: all trees' buckets together hold too few, so the query goes on up to the empty prefix
-        level = F.lit(-1)
-        for j, x in enumerate(names):
-            level = F.when(F.coalesce(F.col(x), F.lit(0)) >= F.col("_goal"), F.least(F.col("_depth") + j, F.lit(BITS))).otherwise(level)
-        every_band = ids.crossJoin(bands.where(F.col("band") != SCAN))
-        at = materialise(every_band.join(total, ["id", "band"], "left").select("id", "band", level.alias("level")), "levels")
-        rest = at.where("level < 0").select("id", "band")
-        scanned += [r["band"] for r in rest.select("band").distinct().collect()]
-        flat = flat.unionByName(rest)
-        asks.append(asking.join(at.where("level >= 0"), ["id", "band"]).select(*where, "code", "id", "level"))
-        haves.append(coded.select(*where, "code", "id"))
+    schema = "band int, tree int, prefix long, code long, id long"
+    coded = materialise(points.select(F.col("vec_id").alias("id"), "band", "v").mapInPandas(explode(False), schema), "codes")
+    asking = materialise(queries.select(F.col("q").alias("id"), "v").mapInPandas(explode(True), schema), "asking")
+    # a bucket's points lie in blocks and its queries in parts, so that a task holds one of each
+    cut = lambda c: F.ceil(F.count("*") / BLOCK).cast("int").alias(c)
+    every_one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    buckets = coded.groupBy(*where[:3]).agg(cut("_blocks")).join(asking.groupBy(*where[:3]).agg(cut("_parts")), where[:3])
+    coded = coded.join(buckets, where[:3]).select(*where[:3], one_of("id", "_blocks").alias("block"), every_one("_parts").alias("part"), "code", "id")
+    asking = asking.join(buckets, where[:3]).select(*where[:3], every_one("_blocks").alias("block"), one_of("id", "_parts").alias("part"), "code", "id")
+    names = [f"c{j}" for j in range(LEVELS + 1)]
+    counts = asking.groupBy(*where).cogroup(coded.groupBy(*where)).applyInPandas(count, "id long, band int, " + ", ".join(f"{c} long" for c in names))
+    total = counts.groupBy("id", "band").agg(*(F.sum(c).alias(c) for c in names))
+    # level -1: all trees' buckets together hold too few, so the query goes on up to the empty prefix
+    level = F.lit(-1)
+    for j, x in enumerate(names):
+        level = F.when(F.coalesce(F.col(x), F.lit(0)) >= F.col("_goal"), F.least(F.col("_depth") + j, F.lit(BITS))).otherwise(level)
+    every_band = ids.crossJoin(bands)
+    at = materialise(every_band.join(total, ["id", "band"], "left").select("id", "band", level.alias("level")), "levels")
+    rest = at.where("level < 0").select("id", "band")
+    scanned = [r["band"] for r in rest.select("band").distinct().collect()]
+    asks = [asking.join(at.where("level >= 0"), ["id", "band"]).select(*where, "code", "id", "level")]
+    haves = [coded.select(*where, "code", "id")]
     if scanned:
         whole = [F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("prefix")]
-        blocks = flat.join(bands, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_scan_blocks") - 1)))
-        asks.append(blocks.select("band", *whole, "block", F.lit(0).cast("long").alias("code"), "id", F.lit(0).alias("level")))
-        kept = points.where(F.col("band").isin(scanned)).join(bands, "band")
-        haves.append(kept.select("band", *whole, F.pmod(F.xxhash64("vec_id"), F.col("_scan_blocks")).cast("int").alias("block"), F.lit(0).cast("long").alias("code"), F.col("vec_id").alias("id")))
+        sizes = rest.groupBy("band").agg(cut("_parts")).join(bands.select("band", "_scan_blocks"), "band")
+        code = F.lit(0).cast("long").alias("code")
+        asks.append(rest.join(sizes, "band").select("band", *whole, every_one("_scan_blocks").alias("block"), one_of("id", "_parts").alias("part"), code, "id", F.lit(0).alias("level")))
+        haves.append(points.join(sizes, "band").select("band", *whole, one_of("vec_id", "_scan_blocks").alias("block"), every_one("_parts").alias("part"), code, F.col("vec_id").alias("id")))
     asking, coded = functools.reduce(DataFrame.unionByName, asks), functools.reduce(DataFrame.unionByName, haves)
     asking = asking.join(queries.select(F.col("q").alias("id"), "v"), "id").select(*where, "code", "id", "level", "v")
     coded = coded.join(points.select(F.col("vec_id").alias("id"), "v"), "id").select(*where, "code", "id", "v")
