@@ -2,8 +2,9 @@
 
 A line goes down the tree by its number of tokens; a token with a digit is a variable field and counts as '<*>'.
 At the leaf the line stands for its exact template and, if it has at least WILD_TOKENS tokens, for wider ones that
-each leave any two of its eight blocks of tokens open, the leading tokens being part of the first. Lines of one
-template so agree in number of tokens and, but for the leading ones, in at least three quarters of their places.
+each leave some of its eight blocks of tokens open, the leading tokens being part of the first: any one block, from
+LONG_TOKENS tokens on any two. Lines of one template so agree in number of tokens and, but for the leading ones, in
+at least three quarters of their places.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise, slices
+from cohortrank.llm.common import filtered, free_name, materialise, slices
 
-#: Lines of fewer tokens count only where short lines are asked for; leading tokens beside the eighths; tokens from which blocks open.
-MIN_TOKENS, DEPTH, WILD_TOKENS = 5, 2, 12
+#: Lines of fewer tokens count only where short lines are asked for; leading tokens beside the eighths; tokens from
+#: which one block opens, and two.
+MIN_TOKENS, DEPTH, WILD_TOKENS, LONG_TOKENS = 5, 2, 6, 12
 BLOCKS = 8
-#: The pairs of blocks that are left open, and three groups of blocks of which any such pair leaves one untouched.
-OPEN = list(itertools.combinations(range(BLOCKS), 2))
+#: How many blocks may open, and the hashes of the blocks.
+PACKED = struct.Struct("<b8q")
+#: The blocks that are left open, and three groups of blocks of which any such choice leaves one untouched.
+OPEN = {n: list(itertools.combinations(range(BLOCKS), n)) for n in (1, 2)}
 GROUPS = [(0, 1, 2), (3, 4, 5), (6, 7)]
 VARIABLE = re.compile(rb"\S*[0-9]\S*")
 
@@ -34,9 +39,9 @@ def number(data: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True)
 
 
-def parse(line: bytes, short: bool = False) -> tuple[int, list[int]] | None:
-    """The code of a line's exact template, and the codes of its blocks if these may vary; None for a blank line and,
-    unless short, for one of under MIN_TOKENS tokens."""
+def parse(line: bytes, short: bool = False) -> tuple[int, bytes | None] | None:
+    """The code of a line's exact template, and its PACKED blocks if these may vary; None for a blank line and, unless
+    short, for one of under MIN_TOKENS tokens."""
     if any(d in line for d in b"0123456789"):
         line = VARIABLE.sub(b"<*>", line)
     tokens = line.split()
@@ -46,14 +51,16 @@ def parse(line: bytes, short: bool = False) -> tuple[int, list[int]] | None:
     head = b"%d\0" % n
     exact = number(head + b" ".join(tokens))
     if n < WILD_TOKENS:
-        return exact, []
+        return exact, None
     cut = [0, *(DEPTH + (n - DEPTH) * k // BLOCKS for k in range(1, BLOCKS + 1))]
-    return exact, [number(b"%d\0%s%s" % (k, head, b" ".join(tokens[a:b]))) for k, (a, b) in enumerate(itertools.pairwise(cut))]
+    blocks = [number(b"%d\0%s%s" % (k, head, b" ".join(tokens[a:b]))) for k, (a, b) in enumerate(itertools.pairwise(cut))]
+    return exact, PACKED.pack(2 if n >= LONG_TOKENS else 1, *blocks)
 
 
-def wide(blocks: list[int]) -> list[int]:
-    """Codes of the templates that leave two blocks open."""
-    return [number(struct.pack("<8q", *(0 if k in pair else x for k, x in enumerate(blocks)))) for pair in OPEN]
+def wide(packed: bytes) -> list[int]:
+    """Codes of the templates that leave blocks open."""
+    n, *blocks = PACKED.unpack(packed)
+    return [number(struct.pack("<8q", *(0 if k in some else x for k, x in enumerate(blocks)))) for some in OPEN[n]]
 
 
 def templates(line: bytes, short: bool = False) -> list[int]:
@@ -75,7 +82,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, short: bool = False)
                         rows.append(row)
                         numbers.append(i)
                         codes.append(found[0])
-                        blocks.append(struct.pack("<8q", *found[1]) if found[1] else None)
+                        blocks.append(found[1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(numbers, pa.int32()), pa.array(codes, pa.int64()), pa.array(blocks, pa.binary())],
                 ["_id", "number", "code", "blocks"],
@@ -90,9 +97,9 @@ def wide_codes(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [x for b in batch.column(2).to_pylist() for x in wide(list(struct.unpack("<8q", b)))]
-            at = pa.array([i for i in range(batch.num_rows) for _ in OPEN], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int64())], ["code", "first", "wide"])
+            found = list(map(wide, batch.column(2).to_pylist()))
+            at = pa.array(np.repeat(np.arange(batch.num_rows, dtype=np.int32), [len(own) for own in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for own in found for x in own], pa.int64())], ["code", "first", "wide"])
 
     return lines.select("code", "first", "blocks").mapInArrow(run, T.StructType([lines.schema["code"], lines.schema["first"], T.StructField("wide", T.LongType())]))
 
@@ -107,7 +114,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each distinct line once, in its document of smallest id: the others go by their exact template
     distinct = materialise(held.groupBy("code").agg(F.min("_id").alias("first"), F.max("_id").alias("_last"), F.first("blocks").alias("blocks")), "templates")
     # two lines of one wide template share a group of blocks, so only lines that share one need wide codes
-    group = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("blocks", 8 * g[0] + 1, 8 * len(g))) for k, g in enumerate(GROUPS)))).alias("group")
+    group = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("blocks", 8 * g[0] + 2, 8 * len(g))) for k, g in enumerate(GROUPS)))).alias("group")
     grouped = distinct.where("blocks IS NOT NULL").select("code", "first", "blocks", group)
     met = grouped.groupBy("group").agg(F.min("code").alias("_a"), F.max("code").alias("_b")).where("_a < _b").select("group")
     near = grouped.join(met, "group", "left_semi").dropDuplicates(["code"])
@@ -123,21 +130,27 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Drop lines of recurring templates; one row per input row, all columns stay.
 
     length_col, if given, becomes the length of the new text where lines were dropped. With report, _lines and
-    _dropped (numbers of lines before, and of those dropped) are added. With short, lines of fewer than
-    MIN_TOKENS tokens recur by their exact template, else they stay. Blank lines and repeats within one document stay. Null texts stay null, and rows with a null id are
-    left as they are. The texts cross one shuffle, keyed by id.
+    _dropped (numbers of lines before, and of those dropped) are added; docs must have no such columns then, other
+    columns may have any name. With short, lines of fewer than MIN_TOKENS tokens recur by their exact template, else
+    they stay. Blank lines and repeats within one document stay. Null texts stay null, and rows with a null id are left
+    as they are. Texts of any length are taken whole. Of documents only those that lose a line cross the shuffle. An
+    empty table gives no rows.
     """
-    gone = recurring_lines(docs, id_col, text_col, short)
-    joined = docs.join(gone.select(F.col("_id").alias("_key"), F.struct("dropped", "dropped_codes").alias("_gone")), F.col(id_col) == F.col("_key"), "left")
+    gone = materialise(recurring_lines(docs, id_col, text_col, short), "gone")
+    names, own_name = docs.columns, free_name(docs, "_gone")
+    keys, report_as = gone.select(F.col("_id").alias(id_col)), ["_lines", "_dropped"]
     # rows that repeat an id with other texts share line numbers, not codes
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.IntegerType()), T.StructField("_dropped", T.IntegerType())])
-    names = docs.columns
+    found = gone.select(F.col("_id"), F.struct("dropped", "dropped_codes").alias("_gone")).alias("g")
+    rows = filtered(docs, keys, id_col).alias("d").join(found, F.col(f"d.`{id_col}`") == F.col("g._id"), "left")
+    rows = rows.select(*(F.col(f"d.`{c}`") for c in names), F.col("g._gone").alias(own_name))
+    others = filtered(docs, keys, id_col, rest=True).select(*names)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.IntegerType()) for c in report_as)] if report else docs.schema.fields)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, before, count = batch.column(text_col).to_pylist(), [], []
             changed = [False] * len(texts)
-            for i, own in enumerate(batch.column("_gone").to_pylist()):
+            for i, own in enumerate(batch.column(own_name).to_pylist()):
                 parts = [] if texts[i] is None else texts[i].split("\n")
                 before.append(len(parts))
                 kept = parts
@@ -151,7 +164,10 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if length_col:
                 old = columns[length_col].to_pylist()
                 columns[length_col] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, old, strict=True)], columns[length_col].type)
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(before, pa.int32()), pa.array(count, pa.int32())], schema.names)
+            yield pa.RecordBatch.from_arrays([*columns.values(), *([pa.array(before, pa.int32()), pa.array(count, pa.int32())] if report else [])], schema.names)
 
-    out = joined.select(*(docs[c] for c in names), "_gone").mapInArrow(strip, schema)
-    return out if report else out.select(*names)
+    out = rows.mapInArrow(strip, schema)
+    if not report:
+        return out.unionByName(others)
+    whole = F.coalesce(F.size(F.split(F.col(f"`{text_col}`"), "\n")), F.lit(0))
+    return out.unionByName(others.withColumns({"_lines": F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(whole).cast("int"), "_dropped": F.lit(0).cast("int")}))

@@ -116,7 +116,8 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, max_pairs: int = MAX_PAIRS, ridge
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most max_rows labelled rows, those of the smallest hash of their id, ids divided as held_out()
-    has it. Rows whose id or label is null are left out; an id with both labels counts for both."""
+    has it. Rows whose id or label is null are left out; an id with both labels counts for both, and of the texts of
+    a repeated id the one of smallest features is taken. Without rows of both labels every score is 0.5."""
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_good")).distinct()
@@ -124,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = with_features(texts.join(F.broadcast(sample), "_id").select("_id", "_good", "_text"), "_text").toPandas()  # max_rows bounds both
-    rows = rows.sort_values(["_id", "_good"], kind="stable").drop_duplicates(["_id", "_good"])
+    rows = rows.assign(features=rows["features"].map(tuple)).sort_values(["_id", "_good", "features"]).drop_duplicates(["_id", "_good"])
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), N_FEATURES)
     return fit_pairs(x, rows["_good"].to_numpy(bool))
 
@@ -152,7 +153,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """The documents that score at least cut, with all their columns."""
+    """The documents that score at least cut, with all their columns, whatever their names. A null or empty text is
+    scored as a text without words; repeated rows stay or go together; an empty table gives no rows. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import materialise, slices
+from cohortrank.llm.common import filtered, free_name, materialise, slices
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed where more distinct texts of its host hold it than MIN_DOCS, or than SHARE of them all and FLOOR.
@@ -114,35 +114,45 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None) -> DataFrame:
-    """The documents that judge() keeps, without their removed lines. All columns stay; length_col, if given,
-    follows the new text. Rows come back by id and text, so repeated rows all return."""
-    own = judge(docs, id_col, text_col, host_col).where("kept").select(
-        F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("code_a").alias("_a"), F.col("code_b").alias("_b"), F.col("removed").alias("_removed")
-    ).dropDuplicates(["_id", "_host", "_a", "_b"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_host", T.StringType()), T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])
+    """The documents that judge() keeps, without their removed lines. All columns stay, whatever their names;
+    length_col, if given, follows the new text. Rows go by id, host and text, so repeated rows all return. Only the
+    texts that are rejected or lose a line are shuffled. A null text is rejected, as it has no words; a text of any
+    length is taken whole; an empty table gives no rows."""
+    verdicts = judge(docs, id_col, text_col, host_col)
+    touched = verdicts.where(~F.col("kept") | (F.size("removed") > 0)).select(
+        F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("code_a").alias("_a"), F.col("code_b").alias("_b"), F.struct("kept", "removed").alias("_verdict")
+    )
+    touched = materialise(touched.dropDuplicates(["_id", "_host", "_a", "_b"]), "touched")
+    host, a, b, verdict = (free_name(docs, x) for x in ("_host", "_a", "_b", "_verdict"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(host, T.StringType()), T.StructField(a, T.LongType()), T.StructField(b, T.LongType())])
+    keys = touched.select(F.col("_id").alias(id_col))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             codes = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(text_col).to_pylist()]
-            a, b = ([int.from_bytes(c[s], "big", signed=True) for c in codes] for s in (slice(0, 8), slice(8, 16)))
+            own = [[int.from_bytes(c[s], "big", signed=True) for c in codes] for s in (slice(0, 8), slice(8, 16))]
             hosts = pa.array([x or "" for x in batch.column(host_col).cast(pa.string()).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, hosts, pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hosts, *(pa.array(x, pa.int64()) for x in own)], schema.names)
 
-    rows = docs.mapInArrow(coded, schema)
-    same = rows[id_col].eqNullSafe(own["_id"]) & (rows["_a"] == own["_a"]) & (rows["_b"] == own["_b"]) & (rows["_host"] == own["_host"])
-    kept = rows.join(own, same).select(*(rows[c] for c in docs.columns), own["_removed"])
+    rows = filtered(docs, keys, id_col).select(*docs.columns).mapInArrow(coded, schema).alias("d")
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("t._id")) & (F.col(f"d.`{a}`") == F.col("t._a")) & (F.col(f"d.`{b}`") == F.col("t._b")) & (F.col(f"d.`{host}`") == F.col("t._host"))
     names = docs.columns
+    found = rows.join(touched.alias("t"), same, "left").select(*(F.col(f"d.`{c}`") for c in names), F.col("t._verdict").alias(verdict))
+    found = found.where(F.col(verdict).isNull() | F.col(f"`{verdict}`.kept")).withColumn(verdict, F.col(f"`{verdict}`.removed"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(text_col).to_pylist()
-            for i, codes in enumerate(batch.column("_removed").to_pylist()):
+            changed = np.zeros(len(texts), bool)
+            for i, codes in enumerate(batch.column(verdict).to_pylist()):
                 if codes:
                     gone = set(codes)
                     texts[i] = "\n".join(x for x in texts[i].split("\n") if not (w := x.encode().split()) or line_code(w) not in gone)
+                    changed[i] = True
             columns = {c: batch.column(c) for c in names} | {text_col: pa.array(texts, pa.string())}
             if length_col:
-                columns[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(length_col).type)
+                old = batch.column(length_col).to_pylist()
+                columns[length_col] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, old, strict=True)], batch.column(length_col).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return kept.mapInArrow(strip, docs.schema)
+    return found.mapInArrow(strip, docs.schema).unionByName(filtered(docs, keys, id_col, rest=True).select(*names))

@@ -160,3 +160,98 @@ def test_either_limit_alone_removes_a_line(spark):
     assert {i for i, n in out.items() if n} == {i for i in range(100, 201)}  # above the count, below the share
     out = {r.doc_id: r.removed_words for r in quality_rules.judge(df, min_docs=1000).collect()}
     assert {i for i, n in out.items() if n} == {*range(12), *range(100, 201)}  # the other way round
+
+
+def brute_verdicts(rows):
+    """removed_words and kept by the rules' words alone: frequent lines of a host go, depleted documents are rejected."""
+    norm = lambda w: re.sub("[0-9]", "0", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in " ".join(w)))
+    split = lambda t: [w for line in (t or "").split("\n") if (w := re.findall(r"[^\x20\x09-\x0D]+", line))]
+    texts = defaultdict(set)
+    for _, t, h in rows:
+        texts[h or ""].add(t or "")
+    frequent = defaultdict(set)
+    for h, own in texts.items():
+        n = Counter(x for t in own for x in set(map(norm, split(t))))
+        frequent[h] = {x for x, c in n.items() if c > 100 or (c > 10 and c > 0.01 * len(own))}
+    out = Counter()
+    for i, t, h in rows:
+        b = brute_base(t)
+        gone = sum(len(w) for w in split(t) if norm(w) in frequent[h or ""])
+        failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
+        depleted = gone > 0 and (b[0] - gone < 10 or 100 * (b[0] - gone) < 20 * b[0])
+        out[(i, gone, failed, not failed and not depleted)] += 1
+    return out
+
+
+def test_verdicts_equal_the_plain_version_at_the_querys_limits(spark, tmp_path):
+    from cohortrank.llm.queries import queries
+
+    rng = random.Random(14)
+    common = [f"{words(rng, rng.randint(3, 9))} {k}" for k in range(6)]
+    rows = []
+    for i in range(600):
+        lines = [words(rng, rng.randint(4, 30)) for _ in range(rng.randint(0, 3))] + [x for x in common if rng.random() < 0.05] + ([words(rng, 2)] if rng.random() < 0.1 else [])
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["hot", "hot", "b", None])))
+    rows += [(600 + i, rows[i][1], rows[i][2]) for i in range(40)] + [(700, None, "b"), (None, common[0], "hot"), (701, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["op5_line_frequency"](spark, str(tmp_path)).collect()
+    got = Counter((r.doc_id, r.removed_words, r.base_failed, r.kept) for r in out)
+    assert got == brute_verdicts(rows) and sum(n for (_, gone, *_), n in got.items() if gone) > 20 and any(gone and not failed and not kept for _, gone, failed, kept in got)
+
+
+def test_preferences_fit_as_plain_gradient_descent_does():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    good = x @ np.array([1.0, -2.0, 0.5, 0.0]) + rng.normal(size=300) > -1
+    model = quality_model.fit_pairs(x, good)
+    z = (x - x.mean(0)) / x.std(0)
+    pick = np.random.default_rng(7)
+    d = z[pick.choice(np.flatnonzero(good), 6000)] - z[pick.choice(np.flatnonzero(~good), 6000)]
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w)
+    assert np.allclose(model.weights, w, atol=1e-4)
+    assert np.isclose(model.threshold, np.quantile(z @ w, 1 - good.mean()), atol=1e-3)
+
+
+def test_clashing_columns_come_through(spark):
+    rng = random.Random(3)
+    names = ["_gone", "_lines", "_dropped", "_host", "_a", "_b", "_removed", "_verdict", "_bucket", "_bits", "_key", "_id"]
+    rows = [(i, f"a line that they all have in common here\n{words(rng, 20)}", "s", *range(len(names))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for out in (line_templates.drop_recurring_lines(df), quality_rules.apply_rules(df)):
+        assert out.schema == df.schema
+        assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def lines_match(a, b):
+    """Whether two lines share a template, by the rule's words: equally many tokens, those with digits alike, and at most
+    one of eight stretches (two from twelve tokens on) that differs, the first two tokens belonging to the first."""
+    a, b = (["#" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", x)] for x in (a, b))
+    if len(a) != len(b) or not a:
+        return False
+    n = len(a)
+    stretch = [0 if k < 2 else next(s for s in range(8) if k < 2 + (n - 2) * (s + 1) // 8) for k in range(n)]
+    return len({s for s, x, y in zip(stretch, a, b, strict=True) if x != y}) <= (0 if n < 6 else 1 if n < 12 else 2)
+
+
+def test_line_dedup_equals_pairwise_comparison(spark):
+    rng = random.Random(21)
+    pool = [words(rng, n).split() for n in (1, 2, 4, 5, 6, 7, 9, 11, 12, 13, 20, 40) for _ in range(2)]
+
+    def line():
+        own = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            own[rng.randrange(len(own))] = rng.choice(["x1", "y22", "other", "word"])
+        return " ".join(own)
+
+    rows = [(i, "\n".join(line() if rng.random() < 0.7 else words(rng, rng.randint(1, 14)) for _ in range(rng.randint(1, 5)))) for i in range(50)] + [(60, None), (61, "\n \n")]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), short=True)
+    earlier, want = [], {}
+    for i, t in rows:
+        want[i] = None if t is None else "\n".join(x for x in t.split("\n") if not any(lines_match(x, y) for y in earlier))
+        earlier += (t or "").split("\n")
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    a, b = b"User alice logged in from home", b"User bob logged in from home"
+    assert set(line_templates.templates(a)) & set(line_templates.templates(b)) and lines_match(a.decode(), b.decode())
