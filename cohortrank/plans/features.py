@@ -131,3 +131,29 @@ def value_rows(units: DataFrame, current: DataFrame, levels: DataFrame, as_of: C
         "entity", S.age_years(F.col("born"), as_of).alias("age"), F.coalesce("position_group", F.lit("U")).alias("position_group"), F.coalesce("_a", "_b", F.lit(3.0)).alias("level"), F.coalesce(years, F.lit(0.0)).alias("contract_years"),
         F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.coalesce(mean, F.lit(0.0)).alias("rate"), F.coalesce("trajectory", F.lit(0.0)).alias("trajectory"),
     )
+
+
+#: Nationalities that need no registration.
+EXEMPT = ["england", "scotland", "wales", "northern ireland", "ireland", "republic of ireland"]
+
+
+def registration(df: DataFrame, exempt: list[str] = EXEMPT) -> DataFrame:
+    """Registration points from nationality, level, starts, appearances, continental and international matches; a null
+    count was not tracked. Adds points, gaps and status: 15 or more are green, 10 or more amber. The exempt have 15;
+    without appearances or a level's unit there are none."""
+    share = F.when(F.col("appearances") > 0, F.col("starts") / F.col("appearances")).otherwise(0.0)
+    level = F.coalesce(F.col("level"), F.lit(5))
+    # Points by level and share of starts, by continental and by international matches.
+    domestic = (
+        F.when(level <= 1, F.when(share >= 0.7, 10).otherwise(8)).when(level == 2, F.when(share >= 0.7, 8).otherwise(6)).when(level == 3, F.when(share >= 0.7, 4).otherwise(2))
+        .when(level == 4, F.when(share >= 0.5, 2).otherwise(1)).otherwise(0)
+    )
+    abroad = F.when(F.col("continental") >= 10, 5).when(F.col("continental") > 0, 3).otherwise(0)
+    caps = F.when(F.col("international") >= 10, 5).when(F.col("international") >= 3, 3).when(F.col("international") > 0, 1).otherwise(0)
+    free = F.coalesce(F.lower(F.trim("nationality")).isin(exempt), F.lit(False))
+    seen = F.coalesce(F.col("appearances") > 0, F.lit(False))
+    points = F.when(free, 15).when(seen, domestic + abroad + caps).otherwise(0)
+    untracked = F.array_compact(F.array(F.when(F.col("continental").isNull(), F.lit("continental")), F.when(F.col("international").isNull(), F.lit("international"))))
+    gaps = F.when(free, F.array().cast("array<string>")).when(~seen, F.array(F.lit("appearances"))).otherwise(untracked)
+    out = df.withColumns({"points": points, "gaps": gaps})
+    return out.withColumn("status", F.when(F.col("points") >= 15, "green").when(F.col("points") >= 10, "amber").otherwise("red"))

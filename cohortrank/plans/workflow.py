@@ -93,3 +93,33 @@ def review_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: rows, those with candidates and without, and those with a suggested team."""
     some = F.coalesce(F.size("candidates") > 0, F.lit(False))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(some).alias("with_candidates"), F.count_if(~some).alias("without_candidates"), F.count_if(F.col("team").isNotNull()).alias("with_team"))
+
+
+def windowed_backtest(df: DataFrame, dates: list[str], day: str, score: str, hit: str, order: list, k: int = 20) -> DataFrame:
+    """Per window date, over the rows up to it: area under the curve and precision of the k best; null where there are
+    no rows or only one class. The dates are few, so a row is repeated for each window that it is in."""
+    windows = df.sparkSession.createDataFrame([(x,) for x in dates], "window string").select(F.to_date("window").alias("window"))
+    ends = F.array(*(F.lit(x).cast("date") for x in dates))
+    rows = df.withColumn("window", F.explode(F.filter(ends, lambda x: x >= F.col(day)))).withColumn(score, F.coalesce(F.col(score), F.lit(0)))
+    both = rank_auc(rows, ["window"], score, hit).join(precision_at(rows, ["window"], order, hit, k).select("window", "precision"), "window")
+    known = F.col("auc").isNotNull()
+    return windows.join(both, "window", "left").select("window", "auc", F.when(known, F.col("precision")).alias("precision"))
+
+
+#: What a review needs, and the archetypes that need imports too.
+NOTES_NEEDED, IMPORTS_NEEDED, SURE_RATING = 3, 6, 4
+IMPORT_ARCHETYPES = ["championship_transition", "emerging_asset"]
+
+
+def readiness(targets: DataFrame, notes: DataFrame, imports: DataFrame) -> DataFrame:
+    """targets (entity, archetype) with missing, the names of what a review still lacks, and ready.
+
+    notes: entity, text, rating; imports: entity. Notes count by number, one must name a top-6 side, and one must say that
+    the entity fits the system or rate it so.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    n = notes.groupBy("entity").agg(F.count("*").alias("_n"), F.bool_or(text.contains("top-6")).alias("_top"), F.bool_or(text.contains("fits our system") | F.coalesce(F.col("rating") >= SURE_RATING, F.lit(False))).alias("_fit"))
+    held = targets.join(n, "entity", "left").join(imports.groupBy("entity").agg(F.count("*").alias("_i")), "entity", "left")
+    need = F.coalesce(F.col("archetype").isin(IMPORT_ARCHETYPES), F.lit(False))
+    missing = unmet({"notes": F.col("_n") >= NOTES_NEEDED, "top-6": F.col("_top"), "system fit": F.col("_fit"), "imports": ~need | (F.coalesce("_i", F.lit(0)) >= IMPORTS_NEEDED)})
+    return held.withColumn("missing", missing).withColumn("ready", F.size("missing") == 0).drop("_n", "_top", "_fit", "_i")

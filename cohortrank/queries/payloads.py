@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortrank.plans import features as P
 from cohortrank.plans import workflow as V
-from cohortrank.queries.adapters import AS_OF, EVENTS_SQL, UNITS_SQL, events, table, units
+from cohortrank.queries.adapters import AS_OF, EVENTS_SQL, OUTCOMES_SQL, UNITS_SQL, events, outcomes, table, units
 from cohortrank.registry import query, round_up
 from cohortrank.sources import files as L
 from cohortrank.sources import payloads as Y
@@ -164,3 +164,45 @@ def value_model_rows(spark, d):
     current = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), start.alias("born"), F.col("c_nationkey").alias("cohort"), F.date_add(start, (F.col("c_custkey") % 1500).cast("int")).alias("contract_end"), F.col("c_acctbal").alias("value"))
     rows = P.value_rows(units(spark, d), current, levels, F.lit(AS_OF).cast("date"), ["m1", "m3"])
     return rows.select("entity", "position_group", "level", "contract_years", round_up("rate", 2).alias("rate"), round_up("trajectory", 2).alias("trajectory"))
+
+
+@query(U + """, g AS (SELECT entity, cohort % 6 AS lvl, count(*) FILTER (label <> '5-LOW') st, count(*) n, count(*) FILTER (label = '2-HIGH') co, count(*) FILTER (label = '3-MEDIUM') it FROM u GROUP BY 1, 2),
+c AS (SELECT c_custkey entity, CASE WHEN c_custkey % 10 = 0 THEN ' Wales' ELSE 'elsewhere' END nat, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1 END tracked FROM customer),
+p AS (SELECT c.entity, tracked, nat, n, CASE WHEN nat = ' Wales' THEN 15 WHEN coalesce(n, 0) = 0 THEN 0 ELSE
+ CASE WHEN lvl <= 1 THEN CASE WHEN st / n >= 0.7 THEN 10 ELSE 8 END WHEN lvl = 2 THEN CASE WHEN st / n >= 0.7 THEN 8 ELSE 6 END WHEN lvl = 3 THEN CASE WHEN st / n >= 0.7 THEN 4 ELSE 2 END WHEN lvl = 4 THEN CASE WHEN st / n >= 0.5 THEN 2 ELSE 1 END ELSE 0 END
+ + CASE WHEN tracked IS NULL THEN 0 WHEN co >= 10 THEN 5 WHEN co > 0 THEN 3 ELSE 0 END + CASE WHEN it >= 10 THEN 5 WHEN it >= 3 THEN 3 WHEN it > 0 THEN 1 ELSE 0 END END points FROM c LEFT JOIN g USING (entity))
+SELECT entity, points, CASE WHEN points >= 15 THEN 'green' WHEN points >= 10 THEN 'amber' ELSE 'red' END AS status, CASE WHEN nat = ' Wales' THEN 0 WHEN coalesce(n, 0) = 0 THEN 1 WHEN tracked IS NULL THEN 1 ELSE 0 END AS n_gaps FROM p""")
+def registration_points(spark, d):
+    """Orders but the lowest priority as starts, two priorities as continental and international matches; every tenth
+    customer is exempt, every third has no continental tracking."""
+    k = F.col("c_custkey")
+    seen = units(spark, d).groupBy("entity", (F.col("cohort") % 6).alias("level")).agg(F.count_if(F.col("label") != "5-LOW").alias("starts"), F.count("*").alias("appearances"), F.count_if(F.col("label") == "2-HIGH").alias("continental"), F.count_if(F.col("label") == "3-MEDIUM").alias("international"))
+    named_ = table(spark, d, "customer").select(k.alias("entity"), F.when(k % 10 == 0, " Wales").otherwise("elsewhere").alias("nationality"))
+    rows = named_.join(seen, "entity", "left").withColumn("continental", F.when(F.col("entity") % 3 != 0, F.col("continental")))
+    rows = rows.withColumn("international", F.coalesce("international", F.lit(0)))
+    return P.registration(rows).select("entity", "points", "status", F.size("gaps").alias("n_gaps"))
+
+
+@query(f"WITH {OUTCOMES_SQL}" + """, w AS (SELECT o.*, d AS "window" FROM (SELECT *, DATE '2024-01-01' + CAST(entity % 300 AS INT) AS made FROM o) o JOIN (VALUES (DATE '2023-12-31'), (DATE '2024-03-01'), (DATE '2024-12-31')) v(d) ON made <= d),
+k AS (SELECT *, rank() OVER (PARTITION BY "window" ORDER BY score) + (count(*) OVER (PARTITION BY "window", score) - 1) / 2.0 r, row_number() OVER (PARTITION BY "window" ORDER BY score DESC, entity) n FROM w),
+a AS (SELECT "window", CASE WHEN sum(hit) > 0 AND sum(1 - hit) > 0 THEN (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit)) END auc, avg(hit) FILTER (n <= 20) p FROM k GROUP BY 1)
+SELECT d AS "window", rup(auc, 4) AS auc, CASE WHEN auc IS NOT NULL THEN rup(p, 4) END AS precision FROM (VALUES (DATE '2023-12-31'), (DATE '2024-03-01'), (DATE '2024-12-31')) v(d) LEFT JOIN a ON a."window" = d""")
+def backtest_windows(spark, d):
+    """Outcomes dated by their id, over three windows, the first without any."""
+    o = outcomes(spark, d).withColumn("made", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("entity") % 300).cast("int")))
+    out = V.windowed_backtest(o, ["2023-12-31", "2024-03-01", "2024-12-31"], "made", "score", "hit", [F.desc("score"), "entity"])
+    return out.select("window", round_up("auc", 4).alias("auc"), round_up("precision", 4).alias("precision"))
+
+
+@query(E + """, n AS (SELECT entity, count(*) FILTER (event_type = 'view') c, bool_or(event_type = 'view' AND unit % 5 = 0) t, bool_or(event_type = 'view' AND (unit % 7 = 0 OR unit % 6 = 4 OR unit % 6 = 5)) f, count(*) FILTER (event_type = 'click') i FROM e GROUP BY 1),
+m AS (SELECT entity, list_filter([CASE WHEN c < 3 THEN 'notes' END, CASE WHEN NOT t THEN 'top-6' END, CASE WHEN NOT f THEN 'system fit' END, CASE WHEN entity % 2 = 0 AND i < 6 THEN 'imports' END], lambda x: x IS NOT NULL) l FROM n)
+SELECT entity, array_to_string(l, ';') AS missing, len(l) = 0 AS ready FROM m""")
+def readiness_conditions(spark, d):
+    """Views as notes and clicks as imports; every second entity is of an archetype that needs imports."""
+    e = events(spark, d)
+    k = F.col("unit")
+    text = F.when(k % 5 == 0, "Seen at a TOP-6 side").otherwise("note")
+    notes = e.where("event_type = 'view'").select("entity", F.concat_ws(", ", text, F.when(k % 7 == 0, F.lit("fits our System"))).alias("text"), (k % 6).alias("rating"))
+    targets = e.select("entity", F.when(F.col("entity") % 2 == 0, "emerging_asset").otherwise("squad").alias("archetype")).distinct()
+    out = V.readiness(targets, notes, e.where("event_type = 'click'").select("entity"))
+    return out.select("entity", F.array_join("missing", ";").alias("missing"), "ready")
