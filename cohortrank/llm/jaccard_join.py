@@ -155,19 +155,20 @@ def owner_of(code: str) -> F.Column:
 
 
 def shared_cells(held: DataFrame) -> DataFrame:
-    """cell, owner, hub and heavy for all cells that several sets have; held: digest().
+    """cell, owner, hub and part for all cells that several sets have; held: digest().
 
     The hub is the smallest owner of the cell, of a heavy cell the smallest of one of its parts: heavy cells are dealt
-    to as many parts as there are shuffle partitions, by owner.
+    to as many parts as there are shuffle partitions, by owner. Other cells have no part.
     """
-    common = held.where("kind = 1").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(HEAVY).select("cell", F.lit(True).alias("heavy"))
+    parts = shuffle_partitions(held.sparkSession)
+    common = held.where("kind = 1").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(HEAVY).select("cell", F.lit(True).alias("_heavy"))
     rows = held.where("kind = 0 AND cells IS NOT NULL").select(owner_of("code").alias("owner"), F.explode("cells").alias("cell"))
     rows = rows.join(F.broadcast(materialise(common, "heavy")), "cell", "left")  # HEAVY bounds it
-    part = F.when(F.col("heavy"), F.pmod(F.xxhash64("owner"), F.lit(shuffle_partitions(held.sparkSession)))).otherwise(0)
+    rows = rows.select("cell", "owner", F.when(F.col("_heavy"), F.pmod(F.xxhash64("owner"), F.lit(parts)).cast("int")).alias("part"))
     by = W.partitionBy("cell", "part").orderBy("owner")
     met = (F.lag("owner").over(by) != F.col("owner")) | (F.lead("owner").over(by) != F.col("owner"))
-    rows = rows.withColumn("part", part.cast("int")).select("cell", "owner", "heavy", F.first("owner").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"), met.alias("met"))
-    return rows.where("heavy OR met").select("cell", "owner", "hub", "heavy")
+    rows = rows.select("cell", "owner", "part", F.first("owner").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"), met.alias("met"))
+    return rows.where("part IS NOT NULL OR met").select("cell", "owner", "hub", "part")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     counts = shared.groupBy("owner").agg(*counted_cells())
     able = materialise(classes.join(counts, "owner").where(ENOUGH).select("owner", F.col("code").alias("node"), "rep", "n", "need0", "need1"), "able")
     near = materialise(shared.join(able.select("owner"), "owner"), "near")
-    parts = near.where("heavy").select("cell", F.col("hub").alias("owner")).distinct()
+    parts = near.where("part IS NOT NULL").select("cell", F.col("hub").alias("owner")).distinct()
     hubs = parts.join(parts.groupBy("cell").agg(F.min("owner").alias("hub")), "cell")
     clumps = components(near.select("owner", "hub").unionByName(hubs.select("owner", "hub")), "owner", "hub")
     members = able.join(clumps.select(F.col("node").alias("owner"), F.col("component").alias("clump")), "owner")
@@ -341,22 +342,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     main = labels.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
     spread_out = labels.groupBy("clump").agg((F.min(F.struct("band", "block")) < F.max(F.struct("band", "block"))).alias("_wide")).where("_wide")
     labels = labels.join(main.where("_labels > 1"), "clump").join(spread_out, "clump").withColumn("minor", F.col("label") != F.col("_main"))
-    labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), "label", "minor"), "labels")
+    labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), owner_of("label").alias("label"), "minor"), "labels")
     if labels.limit(1).count():
+        among = W.partitionBy("cell")
         cells = near.select("cell", "owner").join(labels.select("owner", "label"), "owner")
-        mixed = cells.groupBy("cell").agg((F.min("label") < F.max("label")).alias("_mixed")).where("_mixed").select("cell")
-        foreign = materialise(cells.join(mixed, "cell").select("cell", "owner"), "foreign")
+        foreign = cells.withColumn("_mixed", F.min("label").over(among) < F.max("label").over(among)).where("_mixed").select("cell", "owner")
+        foreign = materialise(foreign, "foreign")
         again = foreign.groupBy("owner").agg(*counted_cells()).join(able.select("owner", "need0", "need1"), "owner").where(ENOUGH).select("owner")
         again = materialise(again.join(labels, "owner"), "again")
-        cells = foreign.join(again, "owner").select("cell", "band", "block", "label", "node", "minor")
+        cells = materialise(foreign.join(again, "owner").select("cell", "band", "block", "label", "owner", "minor"), "cells")
         spots = cells.groupBy("cell", F.col("band").alias("_band"), F.col("block").alias("_block")).agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
         apart = ((F.col("label") != F.col("_a")) | (F.col("label") != F.col("_b"))) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
-        visits = cells.where("minor").join(spots, "cell").where(apart).select("node", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()
+        visits = cells.where("minor").join(spots, "cell").where(apart).select("owner", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()
         visits = materialise(visits, "visits")
-        sets = filtered(placed.select("node", "shingles"), again.select("node"), "node").join(again.select(*TILE, "node", "label"), "node").dropDuplicates(["node"])
+        sets = filtered(placed.select("node", "shingles"), again.select("node"), "node").join(again.select(*TILE, "node", "owner", "label"), "node")
         sets = materialise(sets, "sets")
-        guests = sets.drop("band", "block").join(visits, "node").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
-        asked = sets.select("node", "clump").join(visits, "node").select(*TILE).distinct()
+        guests = sets.drop("band", "block").join(visits, "owner").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
+        asked = again.select("owner", "clump").join(visits, "owner").select(*TILE).distinct()
         hosts = sets.join(asked, TILE, "left_semi").select(*TILE, "node", "label", F.lit(False).alias("guest"), "shingles")
         so_far = components(links.unionAll(join_tiles(guests.unionByName(hosts), percent))).withColumnRenamed("component", "label")
     groups = so_far.select(F.col("node").alias("code"), F.col("label").alias("component"))

@@ -96,3 +96,28 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (5, 4)]
     out = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {(r.node, r.component) for r in out} == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(30)}
+
+
+def test_odd_rows_of_a_group_stay_or_go_as_stated(spark):
+    text = "one text of several words that two rows of the same id have"
+    rows = [(None, text), (None, text), (5, text), (5, text), (5, "another text of that id, quite unlike the first one"), (6, text), (7, None), (8, ""), (8, "")]
+    df = spark.createDataFrame([(*r, 1, {"k": "v"}) for r in rows], "doc_id long, text string, _bucket int, _bits map<string,string>")
+    out = keep_one(df)
+    assert out.schema == df.schema
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, text), (None, text), (5, text), rows[4], (7, None), (8, "")], key=str)
+
+
+def test_linked_sets_share_a_cell_and_as_many_as_needed():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+        lost = int(rng.integers(0, len(a) // 5 + 1))
+        b = np.union1d(rng.choice(a, len(a) - lost, replace=False), rng.integers(0, 2**63, int(rng.integers(0, len(a) // 5 + 1))).astype(np.uint64) * np.uint64(2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        (x, needs), (y, other) = (jaccard_join.cell_signatures(s, 80) for s in (a, b))
+        shared = np.intersect1d(x, y)
+        counts = [int((shared % np.uint64(2) == p).sum()) for p in (0, 1)]
+        assert any(n and c >= n for c, n in zip(counts, needs, strict=True)) and any(n and c >= n for c, n in zip(counts, other, strict=True))
