@@ -296,9 +296,16 @@ class Encoder(UnitEncoder):
         self.merged = Memory()
         self.trees = MergeTrees(self.ranks)
         self.pieces = regex.compile(pattern).findall
+        # letters with or without a space before them are one match, as what might match earlier starts with a quote
+        earlier, found, _ = pattern.partition(r"| ?\p{L}+|")
+        self.letters = bool(found) and all(x.startswith("'") for x in earlier.split("|"))
+
+    def one_piece(self, unit: str) -> bool:
+        word = unit[1:] if unit[:1] == " " else unit
+        return self.letters and word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
     def learn(self, units: list[str]) -> list[bytes]:
-        split = [[p.encode() for p in self.pieces(u)] for u in units]
+        split = [(u.encode(),) if self.one_piece(u) else [p.encode() for p in self.pieces(u)] for u in units]
         whole = self.whole
         self.merged.settle()
         new = self.merged.recall({p for own in split for p in own if p not in whole and p not in self.merged})
