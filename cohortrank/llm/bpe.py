@@ -351,7 +351,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """Encode whole texts by the ranks in the file at path, each match of pattern on its own.
 
     Returns id_col, n_tokens long and ids binary (little-endian unsigned 32-bit). A null text counts as empty:
-    no tokens, empty ids. One row per input row, repeated rows and null ids included; other columns, whatever
+    no tokens, empty ids. Texts of any length are encoded whole. One row per input row, repeated rows and null ids included; other columns, whatever
     their names, do not come along. No shuffle.
     """
     id_type = docs.schema[id_col]

@@ -332,6 +332,8 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into few sequences of at most capacity tokens; the pieces carry a checksum, not ids.
 
-    Returns id_col, piece, start, length, ids_crc32, sequence_id, offset.
+    Returns id_col, piece, start, length, ids_crc32, sequence_id, offset. A null, empty or blank text is end_id alone;
+    repeated rows and null ids are packed each; texts of any length are cut into pieces; other columns, whatever their
+    names, do not come along; an empty table gives no rows.
     """
     return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col, checksums=True), capacity, id_col)

@@ -17,7 +17,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
 
     Returns id_col, size (UTF-8 bytes of the text plus 8; 8 for a null text), text_crc32 (0 for a null or empty
     text), shard and slot (0, 1, 2... within the shard). Repeated rows each keep a slot of their own; an empty
-    table gives no rows. Other columns do not come along.
+    table gives no rows. Texts of any length count whole. Other columns do not come along.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sized = materialise(

@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, separator: str = "\n"
 
     Returns id_col, section (from 0), start and length (bytes of the UTF-8 text), n_tokens, n_crossing (of
     these, tokens that cross the section's end). A null or empty text has one section without bytes or tokens.
-    Repeated rows are counted each. Other columns do not come along. No shuffle: a document's spans are sorted,
+    Repeated rows are counted each, texts of any length whole. Other columns do not come along. No shuffle: a document's spans are sorted,
     so the interval join is a merge within its row.
     """
     if rule not in ("first", "most"):

@@ -97,7 +97,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     Of rows with equal payloads of at least REVISIT_BYTES, those with the largest id become responses and the
     others revisits of it. A null payload is an empty one. Null urls become empty. Rows with a null id are never
     revisits and never referred to. Rows that repeat id and payload all get records. The payload crosses one
-    shuffle, keyed by id, so equal payloads don't meet in one task.
+    shuffle, keyed by id, so equal payloads don't meet in one task. Payloads of any length are taken whole, other
+    columns, whatever their names, do not come along, and an empty table gives archives without records.
     """
     spark = pages.sparkSession
     page = pages.select(
@@ -131,6 +132,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Returns record_id, page_id, url, record_type, payload binary (null for revisits), payload_bytes,
     payload_digest, refers_to, and intact: false if segments are missing, a length or digest differs or the
     framing is broken. Records without segments cross no shuffle; segments are grouped by their record only.
+    Records are told apart by the line that starts them, which write_warc() never lets stand inside a block. So this
+    reads archives of that writer: a foreign one whose blocks hold that line, or of another version, is misread.
     """
     raw = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
 
