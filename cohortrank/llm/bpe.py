@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import slices
+from cohortrank.llm.common import slices, small_batches
 
 #: Unicode White_Space, as the tokenizer's own \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,7 +29,7 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Without this, splitting at each space gives units.
 SPACED = re.compile(f"[{SPACE}] | $")
 #: Units, and as many pieces, that a Python worker remembers at most; the longest unit that it remembers.
-CACHE_UNITS, CACHE_CHARS = 240_000, 40
+CACHE_UNITS, CACHE_CHARS = 160_000, 40
 #: Units encoded together at most, and the length from which a text is split into units piecemeal.
 GROUP_UNITS, LONG_TEXT = 100_000, 1_000_000
 #: Pieces of up to 2**TREE_BITS bytes are merged TREE_ROWS at a time.
@@ -354,6 +354,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     no tokens, empty ids. Texts of any length are encoded whole. One row per input row, repeated rows and null ids included; other columns, whatever
     their names, do not come along. No shuffle.
     """
+    small_batches(docs)
     id_type = docs.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

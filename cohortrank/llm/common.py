@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
     for batch in batches:
         for at in range(0, max(batch.num_rows, 1), rows):
             yield from halves(batch.slice(at, rows))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and stages of other kinds follow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches hold at most SLICE_ROWS rows in df's session, so that long texts fill neither the buffers of the
+    JVM nor those of a worker. A lower setting stays as it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= SLICE_ROWS:
+        conf.set(name, SLICE_ROWS)
 
 
 def free_name(df: DataFrame, name: str) -> str:

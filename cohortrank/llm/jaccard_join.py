@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import filtered, free_name, materialise, shuffle_partitions, slices
+from cohortrank.llm.common import filtered, free_name, materialise, shuffle_partitions, slices, small_batches
 from cohortrank.llm.components import components
 
 WORDS = 5
@@ -28,7 +28,7 @@ WORDS = 5
 #: them and not in a task each. The list decides where the work is done, never which documents link.
 HEAVY = 65_536
 #: Sets in a block and shingles in a block, about; bits of a bitmap at most; words that a worker remembers.
-BLOCK, SHINGLES, BITS, CACHE_WORDS = 1024, 1 << 20, 1 << 17, 100_000
+BLOCK, SHINGLES, BITS, CACHE_WORDS = 1024, 1 << 20, 1 << 17, 50_000
 #: Numbers of cells double from class to class; a class has this many times the cells that its sets can differ in.
 SLACK = 1.15
 #: How often a class's cells are halved for a set that fills too few of them, before its shingles stand alone.
@@ -114,6 +114,7 @@ DIGEST = "kind byte, n long, code binary, cells array<bigint>, need_even int, ne
 def digest(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Rows of kind 0: id, set size, code and cell signatures of each document; the signatures stand on the first of
     equal sets of a partition only. Rows of kind 1: a cell that several sets of one slice share, and how many."""
+    small_batches(docs)
     ids = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", ids), *T.StructType.fromDDL(DIGEST)])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import filtered, free_name, materialise, slices
+from cohortrank.llm.common import filtered, free_name, materialise, slices, small_batches
 
 #: Lines of fewer tokens count only where short lines are asked for; leading tokens beside the eighths; tokens from
 #: which one block opens, and two.
@@ -71,6 +71,7 @@ def templates(line: bytes, short: bool = False) -> list[int]:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """One row for each line that has templates: _id, number of the line, code of its exact template, its blocks."""
+    small_batches(docs)
     own = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +137,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     as they are. Texts of any length are taken whole. Of documents only those that lose a line cross the shuffle. An
     empty table gives no rows.
     """
+    small_batches(docs)
     gone = materialise(recurring_lines(docs, id_col, text_col, short), "gone")
     names, own_name = docs.columns, free_name(docs, "_gone")
     keys, report_as = gone.select(F.col("_id").alias(id_col)), ["_lines", "_dropped"]

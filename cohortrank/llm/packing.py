@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortrank.llm.bpe import SPACE, UnitEncoder
-from cohortrank.llm.common import materialise, slices, with_global_order
+from cohortrank.llm.common import materialise, slices, small_batches, with_global_order
 
 #: Byte-level tokenizers write bytes that don't print as the characters from 256 on, in order.
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
@@ -203,6 +203,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     checksums ids_crc32 in place of ids.
     A null or empty text is end_id alone.
     """
+    small_batches(docs)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import slices
+from cohortrank.llm.common import slices, small_batches
 
 #: At most so many labelled rows are learned from (those of smallest hash), and so many preference pairs drawn.
 MAX_ROWS, MAX_PAIRS = 20_000, 200_000
@@ -65,6 +65,7 @@ N_FEATURES = 34
 
 
 def with_features(rows: DataFrame, text_col: str) -> DataFrame:
+    small_batches(rows)
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != text_col), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +142,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     A null or empty text is scored as a text without words. Repeated rows get equal scores; other columns do
     not come along. No shuffle.
     """
+    small_batches(docs)
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """The documents that score at least cut, with all their columns, whatever their names. A null or empty text is
     scored as a text without words; repeated rows stay or go together; an empty table gives no rows. No shuffle."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortrank.llm.common import filtered, free_name, materialise, slices
+from cohortrank.llm.common import filtered, free_name, materialise, slices, small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed where more distinct texts of its host hold it than MIN_DOCS, or than SHARE of them all and FLOOR.
@@ -48,6 +48,7 @@ def line_code(words: list[bytes]) -> int:
 
 def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Per row: the base counts, a 128-bit code of the text, and the codes and word counts of its lines."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -118,6 +119,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length_col, if given, follows the new text. Rows go by id, host and text, so repeated rows all return. Only the
     texts that are rejected or lose a line are shuffled. A null text is rejected, as it has no words; a text of any
     length is taken whole; an empty table gives no rows."""
+    small_batches(docs)
     verdicts = judge(docs, id_col, text_col, host_col)
     touched = verdicts.where(~F.col("kept") | (F.size("removed") > 0)).select(
         F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("code_a").alias("_a"), F.col("code_b").alias("_b"), F.struct("kept", "removed").alias("_verdict")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cohortrank.llm.bpe import encoder
-from cohortrank.llm.common import slices
+from cohortrank.llm.common import slices, small_batches
 
 
 def section_starts(data: bytes, separator: bytes) -> np.ndarray:
@@ -36,6 +36,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, separator: str = "\n"
     Repeated rows are counted each, texts of any length whole. Other columns do not come along. No shuffle: a document's spans are sorted,
     so the interval join is a merge within its row.
     """
+    small_batches(docs)
     if rule not in ("first", "most"):
         raise ValueError("rule is 'first' or 'most'")
     mark = separator.encode()
