@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortrank.llm import bpe, jaccard_join, line_templates, packing, prefix_forest, quality_model, quality_rules, resampling, sharding, token_counts, value_dictionaries, warc
+from cohortrank.llm import bpe, flat_graph, jaccard_join, line_templates, packing, prefix_forest, quality_model, quality_rules, resampling, sharding, token_counts, value_dictionaries, warc
 from cohortrank.llm.common import read_table
 
 SHARDS, SEQUENCE, END_ID = 24, 4096, 1
@@ -75,12 +75,16 @@ def op11_regular_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value_dictionaries.compress(read_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_line_templates, op3_byte_shards, op4_best_fit_packing, op5_line_frequency, op6_token_counts, op7_jaccard_join, op8_bradley_terry, op9_warc, op10_prefix_forest, op11_regular_sampling, op13_value_dictionaries)
+    own = (op1_byte_bpe, op2_line_templates, op3_byte_shards, op4_best_fit_packing, op5_line_frequency, op6_token_counts, op7_jaccard_join, op8_bradley_terry, op9_warc, op10_prefix_forest, op11_regular_sampling, op12_flat_graph, op13_value_dictionaries)
     return {f.__name__: f for f in own}
 
 
