@@ -24,7 +24,7 @@ from cohortrank.llm.common import materialise
 from cohortrank.llm.components import components
 
 #: Nodes of a shard at most; rows that are dealt to clusters at once; clusters that a large one is cut into at most.
-SHARD, DEALT, FAN = 2048, 8192, 64
+SHARD, DEALT, FAN = 512, 8192, 64
 #: Near candidates of a node, neighbours that it keeps of them, far neighbours, and how much nearer a kept one must be.
 NEAR, DEGREE, FAR, ALPHA = 48, 20, 4, 1.2
 #: Nodes beyond the range that a search expands at most; queries searched at once.
