@@ -339,15 +339,16 @@ def audited(points: DataFrame, result: DataFrame, least: float) -> float | None:
     sample = points.join(chosen, "node").select("node", "label", "v", "weight").toPandas().sort_values("node")  # 2 * SAMPLE rows
     if not len(sample):
         return None
-    asked, label = matrix(sample["v"]), sample["label"].to_numpy()
+    places = sample.reset_index(drop=True).groupby("label").indices
+    asked = {label: matrix(sample["v"].iloc[at]) for label, at in places.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(asked), np.int64)
+        total = np.zeros(len(sample), np.int64)
         for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                some = pdf.iloc[at : at + 4096]
-                hit = (asked @ matrix(some["v"]).T >= least) & (label[:, None] == some["label"].to_numpy()[None, :])
-                total += hit @ some["weight"].to_numpy(np.int64)
+            for label, some in pdf[pdf["label"].isin(list(asked))].groupby("label"):
+                for at in range(0, len(some), 4096):
+                    part = some.iloc[at : at + 4096]
+                    total[places[label]] += (asked[label] @ matrix(part["v"]).T >= least) @ part["weight"].to_numpy(np.int64)
         yield pd.DataFrame({"node": sample["node"].to_numpy(np.int64), "n": total})
 
     true = points.select("label", "v", "weight").mapInPandas(run, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("n"))
