@@ -17,6 +17,12 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(value.isNull(), None).otherwise(F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
+def settled(value: Column) -> Column:
+    """value to nine digits. Sums of doubles depend on their order in the last bits, so what is held against a threshold is
+    settled first."""
+    return F.floor(value * 1e9 + 0.5001) / 1e9
+
+
 @F.pandas_udf(T.StringType())
 def fold_text(values: pd.Series) -> pd.Series:
     """HTML entities resolved, compatibility forms taken apart and combining marks dropped."""

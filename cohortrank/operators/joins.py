@@ -105,3 +105,23 @@ def resolve_in_stages(records: DataFrame, record_id: str, stages: list) -> DataF
 def prefer_then_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All of first, and what second has of keys that first lacks."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+def count_within(spans: DataFrame, points: DataFrame, span_id: list[str], keys: list[str], start: str, end: str, day: str, out: str, width: int = 32) -> DataFrame:
+    """Per span the number of points of its key whose day lies in it, both ends included; 0 where there are none.
+
+    Spans are cut at the borders of stretches of `width` days. A stretch that a span covers meets one total, one at its
+    border meets the counts of its days, so all joins are by key and stretch, and a span of years takes one row a stretch
+    however many points lie in it. A span with a null end or one before its start holds nothing. `span_id` is distinct.
+    """
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    days = points.where(F.col(day).isNotNull()).groupBy(*keys, number(day).alias("_day")).agg(F.count("*").alias("_n")).withColumn("_stretch", F.floor(F.col("_day") / width))
+    totals = days.groupBy(*keys, "_stretch").agg(F.sum("_n").alias("_n"))
+    sound = spans.where(F.col(start) <= F.col(end)).select(*span_id, *(k for k in keys if k not in span_id), number(start).alias("_a"), number(end).alias("_b"))
+    cut = sound.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))))
+    whole = (F.col("_a") <= F.col("_stretch") * width) & (F.col("_b") >= F.col("_stretch") * width + width - 1)
+    on = [*keys, "_stretch"]
+    covered = cut.where(whole).join(totals, on).groupBy(*span_id).agg(F.sum("_n").alias("_n"))
+    border = cut.where(~whole).join(days, on).where(F.col("_day").between(F.col("_a"), F.col("_b"))).groupBy(*span_id).agg(F.sum("_n").alias("_n"))
+    found = covered.unionByName(border).groupBy(*span_id).agg(F.sum("_n").alias(out))
+    return spans.join(found, span_id, "left").withColumn(out, F.coalesce(out, F.lit(0)))

@@ -64,8 +64,8 @@ class Composite:
 
     def columns(self, role_fit: Column, current: Column, projection: Column, financial: Column, evidence: Column, availability: Column) -> dict[str, Column]:
         """Missing parts count as 50 (availability as 0.75) and are named in fallbacks. A weak fit caps the sum at 60
-        before the evidence and availability multipliers."""
-        neutral = lambda x: F.coalesce(x, F.lit(50.0))
+        before the evidence and availability multipliers. Parts and composite are settled to nine digits."""
+        neutral = lambda x: S.settled(F.coalesce(x, F.lit(50.0)))
         fit, now, ahead, money = map(neutral, (role_fit, current, projection, financial))
         counted = F.when(F.lit(self.emerging) & (ahead >= 70), F.greatest(F.lit(30.0), now)).otherwise(now)
         w = self.weights
@@ -73,7 +73,7 @@ class Composite:
         capped = F.when(fit < 40, F.least(raw, F.lit(60.0))).otherwise(raw)
         missing = {"role_fit": role_fit, "current": current, "projection": projection, "financial": financial, "availability": availability}
         return {
-            "composite": capped * F.coalesce(evidence, F.lit(1.0)) * F.coalesce(availability, F.lit(0.75)),
+            "composite": S.settled(capped * F.coalesce(evidence, F.lit(1.0)) * F.coalesce(availability, F.lit(0.75))),
             "capped": fit < 40,
             "fallbacks": F.array_compact(F.array(*(F.when(x.isNull(), F.lit(k)) for k, x in missing.items()))),
         }

@@ -1,6 +1,6 @@
 """All registered queries and the SQL that they must agree with."""
 
-from cohortrank.queries import learned, payloads, plans, relational, shapes  # noqa: F401  they register their queries
+from cohortrank.queries import availability, learned, payloads, plans, relational, shapes  # noqa: F401  they register their queries
 from cohortrank.registry import QUERIES, SQL
 
 

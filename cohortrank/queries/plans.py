@@ -123,8 +123,8 @@ def profile_fit(spark, d):
 CURRENT = LONG + """, mp AS (SELECT entity, avg(p) a FROM pc GROUP BY 1),
 rk AS (SELECT entity, m1, label, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, unit DESC) n FROM u),
 fm AS (SELECT entity, avg(m1) FILTER (n <= 10) a10, stddev_pop(m1) FILTER (n <= 10) s10, avg(m1) base, avg(m1) FILTER (label = '1-URGENT') top, count(*) c, regr_slope(m1 / 100000, -n) FILTER (n <= 10) sl FROM rk GROUP BY 1),
-cur AS (SELECT entity, 0.5 * a + 0.2 * coalesce(least(greatest(100 / (1 + s10 / a10), 0), 100), 50) + 0.15 * CASE WHEN c >= 2 THEN least(greatest(50 + 50 * sl, 0), 100) ELSE 50 END
- + 0.15 * CASE WHEN top IS NULL THEN 50 ELSE least(greatest(50 * top / base, 0), 100) END AS score FROM mp JOIN fm USING (entity)) """
+cur AS (SELECT entity, rup(0.5 * a + 0.2 * coalesce(least(greatest(100 / (1 + s10 / a10), 0), 100), 50) + 0.15 * CASE WHEN c >= 2 THEN least(greatest(50 + 50 * sl, 0), 100) ELSE 50 END
+ + 0.15 * CASE WHEN top IS NULL THEN 50 ELSE least(greatest(50 * top / base, 0), 100) END, 9) AS score FROM mp JOIN fm USING (entity)) """
 
 
 def current_frame(u):
@@ -142,11 +142,11 @@ def current_performance(spark, d):
 
 
 WEIGHTS = C.layer_weights("emerging_asset", "championship_transition")
-FITS = """, f AS (SELECT entity, least(greatest(avg(z), 0), 100) fit FROM (SELECT entity, period, sum(p * CASE metric WHEN 'm1' THEN 0.5 WHEN 'm2' THEN 0.3 ELSE 0.2 END) z FROM pc GROUP BY 1, 2) GROUP BY 1) """
+FITS = """, f AS (SELECT entity, rup(least(greatest(avg(z), 0), 100), 9) fit FROM (SELECT entity, period, sum(p * CASE metric WHEN 'm1' THEN 0.5 WHEN 'm2' THEN 0.3 ELSE 0.2 END) z FROM pc GROUP BY 1, 2) GROUP BY 1) """
 COMPOSITE = U + CURRENT + FITS + f""", b AS (SELECT entity, cohort, sum(exposure) x, avg(m1) / 20000 pr, avg(CAST(status = 'F' AS INT)) share, count(*) c, greatest(0.35, sqrt(least(1, sum(exposure) / 900))) ev FROM u GROUP BY 1, 2),
-pj AS (SELECT *, CASE WHEN pr <= 0 THEN 0 WHEN pr <= 2.7 THEN 30 * pr / 2.7 WHEN pr <= 3.88 THEN 30 + 20 * (pr - 2.7) / (3.88 - 2.7) WHEN pr <= 6.29 THEN 50 + 30 * (pr - 3.88) / (6.29 - 3.88) ELSE 80 + 20 * (1 - exp(-(pr - 6.29) / 3.0)) END proj,
- least(greatest(50 + 50 * (share - 0.5), 0), 100) fin, least(0.95, 0.5 + share / 2) av FROM b),
-cs AS (SELECT entity, cohort, c, fit, score, proj, fin, ev, av, (CASE WHEN fit < 40 THEN least(raw, 60) ELSE raw END) * ev * av AS composite FROM (
+pj AS (SELECT *, rup(CASE WHEN pr <= 0 THEN 0 WHEN pr <= 2.7 THEN 30 * pr / 2.7 WHEN pr <= 3.88 THEN 30 + 20 * (pr - 2.7) / (3.88 - 2.7) WHEN pr <= 6.29 THEN 50 + 30 * (pr - 3.88) / (6.29 - 3.88) ELSE 80 + 20 * (1 - exp(-(pr - 6.29) / 3.0)) END, 9) proj,
+ rup(least(greatest(50 + 50 * (share - 0.5), 0), 100), 9) fin, rup(least(0.95, 0.5 + share / 2), 9) av FROM b),
+cs AS (SELECT entity, cohort, c, fit, score, proj, fin, ev, av, rup((CASE WHEN fit < 40 THEN least(raw, 60) ELSE raw END) * ev * av, 9) AS composite FROM (
  SELECT pj.*, fit, score, fit * {WEIGHTS['role_fit']!r} + (CASE WHEN proj >= 70 THEN greatest(30, score) ELSE score END) * {WEIGHTS['current']!r} + proj * {WEIGHTS['projection']!r} + fin * {WEIGHTS['financial']!r} AS raw FROM pj JOIN f USING (entity) JOIN cur USING (entity))) """
 
 
@@ -157,6 +157,7 @@ def composite_frame(u):
     b = u.groupBy("entity", "cohort").agg(F.sum("exposure").alias("x"), (F.avg("m1") / 20000).alias("rate"), F.avg((F.col("status") == "F").cast("int")).alias("share"), F.count("*").alias("n"))
     j = b.join(fit, "entity").join(current_frame(u), "entity")
     j = j.withColumns({"projection": S.calibrated(F.col("rate"), 2.7, 3.88, 6.29), "financial": C.financial_score(F.col("share") - 0.5), "evidence": S.evidence_multiplier(F.col("x")), "available": F.least(F.lit(0.95), 0.5 + F.col("share") / 2)})
+    j = j.withColumns({c: S.settled(F.col(c)) for c in ("fit", "score", "projection", "financial", "available")})
     columns = C.Composite(WEIGHTS, True).columns(*(F.col(c) for c in ("fit", "score", "projection", "financial", "evidence", "available")))
     return j.withColumns(columns)
 
@@ -266,14 +267,14 @@ BRIEF = G.Brief("BUILDING", budget_fee=120000.0, budget_wage=9000.0, age_min=1.5
 CONTEXT = COMPOSITE + f""", ct AS (SELECT u.entity, u.cohort, min(segment) seg, round(date_diff('day', CAST(min(ts) AS DATE), DATE '{AS_OF}') / 365.25, 2) age, round(avg(m1), 2) v, round(avg(m1), 2) * 0.06 w, count(*) n FROM u GROUP BY 1, 2),
 gt AS (SELECT ct.entity, composite, CASE WHEN ct.n < 3 THEN 'fail' ELSE 'pass' END registration, CASE WHEN v + w * 3 <= 120000.0 + 9000.0 * 3 THEN 'pass' ELSE 'fail' END affordability, CASE WHEN seg = 'BUILDING' THEN 'pass' ELSE 'fail' END segment, 'pass' profile, 'pass' pathway,
  CASE WHEN age BETWEEN 1.5 AND 6 THEN 'pass' WHEN age BETWEEN -0.5 AND 8 THEN 'caution' ELSE 'fail' END age_band, CASE WHEN w > 1.2 * 6000 THEN 'caution' ELSE 'pass' END wage_discipline, CASE WHEN age > 5 THEN 'caution' ELSE 'pass' END age_profile,
- CASE WHEN 1 - av <= 0.4 THEN 'pass' ELSE 'caution' END availability, CASE WHEN ct.n < 20 THEN 'caution' ELSE 'pass' END confidence, CASE WHEN proj >= 40 THEN 'pass' ELSE 'exception' END projection, 'pass' pathway_soft FROM ct JOIN cs USING (entity)) """
+ CASE WHEN rup(1 - av, 9) <= 0.4 THEN 'pass' ELSE 'caution' END availability, CASE WHEN ct.n < 20 THEN 'caution' ELSE 'pass' END confidence, CASE WHEN proj >= 40 THEN 'pass' ELSE 'exception' END projection, 'pass' pathway_soft FROM ct JOIN cs USING (entity)) """
 
 
 def gate_context(spark, d):
     held = held_units(spark, d)
     u = held.groupBy("entity").agg(F.min("segment").alias("seg"), S.age_years(F.to_date(F.min("ts")), F.lit(AS_OF).cast("date")).alias("age"), F.round(F.avg("m1"), 2).alias("value"), F.count("*").alias("caps"))
     u = u.withColumns({"wage": F.col("value") * 0.06, "segments": F.array("seg"), "status": F.when(F.col("caps") < 3, "red").otherwise("green"), "confidence_tier": S.sample_tier(F.col("caps"))})
-    c = composite_frame(held).select("entity", "composite", "projection", "available", "fit", (1 - F.col("available")).alias("risk"))
+    c = composite_frame(held).select("entity", "composite", "projection", "available", "fit", S.settled(1 - F.col("available")).alias("risk"))
     return u.join(c, "entity")
 
 
