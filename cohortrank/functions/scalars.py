@@ -62,6 +62,33 @@ def name_similarity(name_a: Column, name_b: Column, team_a: Column | None = None
     return F.greatest(*parts)
 
 
+def source_similarity(name_a: Column, name_b: Column, team_a: Column | None = None, team_b: Column | None = None) -> Column:
+    """The ratio of two name keys, or four fifths of it and a fifth of the teams' where that is more; a missing team on the
+    second side counts 0."""
+    ratio = text_similarity(name_a, name_b)
+    return ratio if team_a is None else F.greatest(ratio, F.when(team_a != "", 0.8 * ratio + 0.2 * text_similarity(team_a, team_b)))
+
+
+def roster_similarity(name_a: Column, name_b: Column) -> Column:
+    """The ratio of two name keys, raised to the strongest of the rules that hold: names in a club's list are short for each
+    other, turned round or lack a part."""
+    a, b = F.split(name_a, " "), F.split(name_b, " ")
+    first = lambda x: F.element_at(x, 1)
+    last = lambda x: F.element_at(x, -1)
+    long = lambda x: F.filter(x, lambda t: F.length(t) > 1)
+    initial = F.substring(name_a, 1, 1) == F.substring(name_b, 1, 1)
+    shared = F.arrays_overlap(long(a), long(b))
+    same_last, held_last = last(a) == last(b), F.array_contains(b, last(a)) | F.array_contains(a, last(b))
+    turned = (F.size(a) >= 2) & (F.size(b) >= 2) & (first(a) == last(b)) & (last(a) == first(b))
+    # Scores of the rules.
+    rules = [
+        (F.sort_array(a) == F.sort_array(b), 0.95), (shared & initial, 0.90), (shared, 0.83), (same_last & initial, 0.90), (same_last, 0.82),
+        (~same_last & held_last & initial, 0.89), (~same_last & held_last & ~initial, 0.84), (turned, 0.88),
+    ]
+    known = (F.coalesce(name_a, F.lit("")) != "") & (F.coalesce(name_b, F.lit("")) != "")
+    return F.when(known, F.greatest(text_similarity(name_a, name_b), *(F.when(rule, score) for rule, score in rules))).otherwise(0.0)
+
+
 def money_to_eur(value: Column, rates: dict[str, float]) -> Column:
     """Amount text such as '£1.2m' as EUR decimal(14,2). A comma is a decimal point; suffixes are bn, m, th and k;
     a currency sign without a rate, and text without a number, give null."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortrank.storage import written_once
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value_cols: list[str], tie: list[str] = (), span: Callable[[Column], Column] | None = None) -> DataFrame:
     """left plus, of the right rows of its key with right_ts <= left_ts, the value columns of the latest (null if none).
@@ -93,12 +95,14 @@ def top2_gap(df: DataFrame, key: str, choice: str, score: str, least: float, sur
 
 def resolve_in_stages(records: DataFrame, record_id: str, stages: list) -> DataFrame:
     """Entity resolution with fall-through. Each stage gets the records that none before resolved and returns
-    candidates (record_id, entity_id, score); the best by (score, entity_id) counts. Adds the stage's number."""
+    candidates (record_id, entity_id, score); the best by (score, entity_id) counts. Adds the stage's number. Each stage is
+    written once, so no stage plans those before it again."""
     left, found = records, None
     for k, stage in enumerate(stages, 1):
         best = latest_per_key(stage(left), [record_id], [F.desc("score"), "entity_id"]).select(record_id, "entity_id", "score", F.lit(k).alias("stage"))
+        best = written_once(best, "resolved")
         found = best if found is None else found.unionByName(best)
-        left = left.join(best, record_id, "left_anti")
+        left = written_once(left.join(best, record_id, "left_anti"), "unresolved")
     return found
 
 

@@ -324,12 +324,15 @@ def strength_adjust(spark, d):
 
 @query()
 def fuzzy_match(spark, d):
-    """Perturbed part names against all names of their brand and size: the block bounds the comparisons."""
+    """Perturbed part names against all names of their brand and size, through the block's index of words."""
+    from cohortrank.operators.names import best_names
+
     part = table(spark, d, "part")
-    asked = part.select(F.col("p_partkey").alias("asked"), F.concat(F.reverse(F.substring("p_name", 1, 2)), F.substring("p_name", 3, 100)).alias("q"), "p_brand", "p_size")
-    pairs = asked.join(part.select("p_partkey", "p_name", "p_brand", "p_size"), ["p_brand", "p_size"])
-    rated = pairs.withColumn("similarity", F.round(S.name_similarity(S.text_key(F.col("q")), S.text_key(F.col("p_name"))), 4))
-    return J.latest_per_key(rated, ["asked"], [F.desc("similarity"), "p_partkey"]).select("asked", "p_partkey", "similarity")
+    block = ["p_brand", "p_size"]
+    twisted = F.concat(F.reverse(F.substring("p_name", 1, 2)), F.substring("p_name", 3, 100))
+    asked = written_once(part.select(F.col("p_partkey").alias("asked"), S.text_key(twisted).alias("name"), *block), "asked")
+    known = written_once(part.select("p_partkey", S.text_key(F.col("p_name")).alias("name"), *block), "known")
+    return best_names(asked, known, "asked", "p_partkey", block, S.name_similarity, 0.0).select("asked", "p_partkey", F.col("score").alias("similarity"))
 
 
 @query(U + """, g AS (SELECT entity, cohort % 4 + 1 AS lvl, avg(CAST(label IN ('1-URGENT', '2-HIGH') AS DOUBLE)) share, count(*) n FROM u GROUP BY 1, 2)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortrank.operators import aggregates as A
 from cohortrank.operators import joins as J
+from cohortrank.operators import names as K
 from cohortrank.operators import windows as N
 from cohortrank.queries.adapters import AS_OF, EVENTS_AS_OF, EVENTS_SQL, OUTCOMES_SQL, SNAPSHOTS_SQL, SUPPLY_SQL, UNITS_SQL, events, outcomes, snapshots, supply, table, units
 from cohortrank.queries.relational import r4
 from cohortrank.registry import query, round_up
+from cohortrank.storage import written_once
 
 U, E, SU, SN, O = (f"WITH {x} " for x in (UNITS_SQL, EVENTS_SQL, SUPPLY_SQL, SNAPSHOTS_SQL, OUTCOMES_SQL))
 
@@ -66,38 +68,42 @@ def either_side_join(spark, d):
     return hits.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("matched_sides").alias("sides"))
 
 
+def keyed_names(df, name, id_name, id_col, block):
+    """id, name key and block columns. Keys are written once, as folding runs in Python."""
+    from cohortrank.functions import scalars as S
+
+    return written_once(df.select(F.col(id_col).alias(id_name), S.text_key(F.col(name)).alias("name"), *block), "keys")
+
+
 @query()
 def unit_reconcile(spark, d):
-    """Units of two sources matched by equal day and best name similarity of at least 0.65."""
+    """Units of two sources matched by equal day and best name similarity of at least 0.65, through the day's index of words."""
     from cohortrank.functions import scalars as S
 
-    e = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    a = e.select(F.col("o_orderkey").alias("a"), F.to_date("o_orderdate").alias("day"), F.concat(F.lower("c_name"), F.lit(" fc")).alias("name_a"))
-    b = e.select(F.col("o_orderkey").alias("b"), F.to_date("o_orderdate").alias("day"), F.col("c_name").alias("name_b"))
-    rated = a.join(b, "day").withColumn("score", F.round(S.name_similarity(S.text_key(F.col("name_a")), S.text_key(F.col("name_b"))), 4)).where("score >= 0.65")
-    return J.latest_per_key(rated, ["a"], [F.desc("score"), "b"]).select("a", "b", "score")
+    e = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumns({"day": F.to_date("o_orderdate"), "other": F.concat(F.lower("c_name"), F.lit(" fc"))})
+    a, b = keyed_names(e, "other", "a", "o_orderkey", ["day"]), keyed_names(e, "c_name", "b", "o_orderkey", ["day"])
+    return K.best_names(a, b, "a", "b", ["day"], S.name_similarity, 0.65).select("a", "b", "score")
+
+
+def resolution_sources(spark, d):
+    """Perturbed names as records, the customers as entities, and a saved cross-walk."""
+    c = table(spark, d, "customer").withColumns({"cohort": F.col("c_nationkey"), "segment": F.col("c_mktsegment")})
+    entities = keyed_names(c, "c_name", "entity_id", "c_custkey", ["cohort", "segment"])
+    twisted = F.when(F.col("c_custkey") % 3 == 0, F.translate(F.lower("c_name"), "#", " ")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("cstomer "), F.substring("c_name", -9, 9))).otherwise(F.concat(F.col("c_name"), F.lit("x")))
+    asked = c.withColumns({"twisted": twisted, "cohort": F.when(F.col("c_custkey") % 8 != 0, F.col("c_nationkey"))})
+    return keyed_names(asked, "twisted", "record", "c_custkey", ["cohort", "segment"]), entities, table(spark, d, "customer").where("c_custkey % 12 = 0").select(F.col("c_custkey").alias("entity_id"))
 
 
 @query()
 def entity_resolution(spark, d):
-    """Perturbed names: saved cross-walk, then names within the nation, then within the segment, first with equal ends, last whole segments for the rest."""
+    """Perturbed names: saved cross-walk, then names within the nation, then within the segment, each by surname and initial,
+    surname, rarest words and rarest runs of characters."""
     from cohortrank.functions import scalars as S
 
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name", "c_nationkey", "c_mktsegment")
-    key = S.text_key(F.col("c_name"))
-    records = c.select(F.col("entity_id").alias("record"), F.translate(F.lower("c_name"), "#", " ").alias("name"), F.when(F.col("entity_id") % 8 != 0, F.col("c_nationkey")).alias("nation"), F.col("c_mktsegment").alias("segment"))
-    walk = c.where("entity_id % 12 = 0").select("entity_id")
+    records, entities, walk = resolution_sources(spark, d)
     saved = lambda left: left.join(walk, F.col("record") == F.col("entity_id")).select("record", "entity_id", F.lit(1.0).alias("score"))
-    tail = lambda x: F.substring(x, -4, 4)
-
-    def within(on_left, on_right, ends=True):
-        def stage(left):
-            same = F.col(on_left) == F.col(on_right)
-            pairs = left.join(c, same & (tail(F.col("name")) == tail(F.col("c_name"))) if ends else same)
-            return pairs.select("record", "entity_id", F.round(S.name_similarity(S.text_key(F.col("name")), key), 4).alias("score")).where("score >= 0.72")
-        return stage
-
-    return J.resolve_in_stages(records, "record", [saved, within("nation", "c_nationkey"), within("segment", "c_mktsegment"), within("segment", "c_mktsegment", ends=False)])
+    within = lambda block: lambda left: K.best_names(left, entities, "record", "entity_id", [block], S.source_similarity, 0.72, surnames=True)
+    return J.resolve_in_stages(records, "record", [saved, within("cohort"), within("segment")])
 
 
 @query("""WITH p AS (SELECT a.c_custkey a, b.c_custkey b, CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment THEN 1 WHEN a.c_nationkey = b.c_nationkey THEN 2 ELSE 3 END tier
