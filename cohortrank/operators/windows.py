@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortrank.operators.ranks import with_ranks
+
 
 def to_long(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """ids, metric, value: one row for each metric that is not null."""
@@ -30,8 +32,11 @@ def rolling_form(long: DataFrame, keys: list[str], order: list) -> DataFrame:
     return out.withColumns({"roll_10_cv": F.when(F.col("roll_10") != 0, F.col("roll_10_std") / F.col("roll_10")), "trend_slope_10": enough("trend_slope_10"), "trend_slope_all": enough("trend_slope_all")})
 
 
-def member_percentile(df: DataFrame, peers: list[str], value: str, out: str = "percentile") -> DataFrame:
-    """Share of peers (the row itself included) that do not exceed the row, times 100."""
+def member_percentile(df: DataFrame, peers: list[str], value: str, out: str = "percentile", wide: bool = False) -> DataFrame:
+    """Share of peers (the row itself included) that do not exceed the row, times 100. A group is sorted in one task; with
+    wide, for groups that outgrow that, it is spread over many."""
+    if wide:
+        return with_ranks(df, peers, [value]).withColumn(out, 100.0 * (F.col("_below") + F.col("_ties")) / F.col("_n")).drop("_below", "_ties", "_n")
     return df.withColumn(out, F.cume_dist().over(W.partitionBy(*peers).orderBy(value)) * 100)
 
 
@@ -44,20 +49,17 @@ def probe_percentile(probes: DataFrame, members: DataFrame, peers: list[str], va
 
 
 def midrank_percentile(df: DataFrame, peers: list[str], value: str, least: int = 3, out: str = "percentile") -> DataFrame:
-    """100 * (number below + number not above) / 2n among non-null values; null below `least` of them."""
-    known = df.where(F.col(value).isNotNull())
-    group = W.partitionBy(*peers)
-    below = F.rank().over(group.orderBy(value)) - 1
-    ties, n = F.count("*").over(W.partitionBy(*peers, value)), F.count("*").over(group)
-    return known.withColumns({"_b": below, "_t": ties, "_n": n}).withColumn(out, F.when(F.col("_n") >= least, 100 * (2 * F.col("_b") + F.col("_t")) / (2.0 * F.col("_n")))).drop("_b", "_t", "_n")
+    """100 * (number below + number not above) / 2n among non-null values; null below `least` of them. Groups may be of any
+    size."""
+    ranked = with_ranks(df.where(F.col(value).isNotNull()), peers, [value])
+    percent = 100 * (2 * F.col("_below") + F.col("_ties")) / (2.0 * F.col("_n"))
+    return ranked.withColumn(out, F.when(F.col("_n") >= least, percent)).drop("_below", "_ties", "_n")
 
 
 def average_rank_pct(df: DataFrame, peers: list[str], value: str, out: str = "rank_pct") -> DataFrame:
-    """100 * rank / n, ties at their mean rank."""
-    group = W.partitionBy(*peers)
-    rank = F.rank().over(group.orderBy(value))
-    ties, n = F.count("*").over(W.partitionBy(*peers, value)), F.count("*").over(group)
-    return df.withColumns({"_r": rank, "_t": ties, "_n": n}).withColumn(out, 100 * (F.col("_r") + (F.col("_t") - 1) / 2.0) / F.col("_n")).drop("_r", "_t", "_n")
+    """100 * rank / n, ties at their mean rank. Groups may be of any size."""
+    ranked = with_ranks(df, peers, [value])
+    return ranked.withColumn(out, 100 * (F.col("_below") + (F.col("_ties") + 1) / 2.0) / F.col("_n")).drop("_below", "_ties", "_n")
 
 
 def trailing_streak(df: DataFrame, keys: list[str], order: list, holds) -> DataFrame:
@@ -66,12 +68,13 @@ def trailing_streak(df: DataFrame, keys: list[str], order: list, holds) -> DataF
     return ranked.groupBy(*keys).agg(F.coalesce(F.min(F.when(~F.col("_h"), F.col("_n"))) - 1, F.count("*")).cast("long").alias("streak"))
 
 
-def equal_count_bins(df: DataFrame, order: list, bins: int = 10, peers: list[str] = (), out: str = "bin") -> DataFrame:
-    """Bins of near equal count on the rank (ties by `order`), edges linear and closed on the right."""
-    group = W.partitionBy(*(peers or [F.lit(0)]))
-    n, rn = F.count("*").over(group), F.row_number().over(group.orderBy(*order))
+def equal_count_bins(df: DataFrame, order: list[str], bins: int = 10, peers: list[str] = (), out: str = "bin") -> DataFrame:
+    """Bins of near equal count on the rank (by the columns of `order`, ties in any order), edges linear and closed on the
+    right. Groups may be of any size; only rows that tie on all of `order` meet in one task."""
+    ranked = with_ranks(df, list(peers), order)
+    rank = F.col("_below") + F.row_number().over(W.partitionBy(*peers, *order).orderBy(*order))
     q = F.least(F.lit(bins), F.col("_n"))
-    return df.withColumns({"_n": n, "_r": rn}).withColumn(out, F.when(F.col("_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * q / (F.col("_n") - 1)))).cast("int")).drop("_n", "_r")
+    return ranked.withColumn("_r", rank).withColumn(out, F.when(F.col("_n") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * q / (F.col("_n") - 1)))).cast("int")).drop("_n", "_r", "_below", "_ties")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

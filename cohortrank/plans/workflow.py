@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortrank.functions.scalars import settled
 from cohortrank.operators import windows as N
+from cohortrank.operators.ranks import rank_table
 from cohortrank.plans.gates import Brief, evaluate
 
 
@@ -17,12 +18,12 @@ def longlist(context: DataFrame, brief: Brief, columns: dict[str, Column], n: in
 
 
 def rank_auc(df: DataFrame, keys: list[str], score: str, hit: str) -> DataFrame:
-    """Area under the curve per key by rank sums, ties at their mean rank; null unless both classes are there."""
-    group = W.partitionBy(*keys)
-    rank = F.rank().over(group.orderBy(score)) + (F.count("*").over(W.partitionBy(*keys, score)) - 1) / 2.0
-    ranked = df.withColumn("_r", rank)
+    """Area under the curve per key by rank sums, ties at their mean rank; null unless both classes are there. The sums run
+    over distinct scores, so a key may have any number of rows."""
     pos, neg = F.count_if(F.col(hit) == 1), F.count_if(F.col(hit) == 0)
-    g = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(hit) == 1, F.col("_r"))).alias("_s"), pos.alias("positives"), neg.alias("negatives"))
+    ranked = rank_table(df, keys, [score], [pos.alias("_p"), neg.alias("_q")])
+    rank = F.col("_below") + (F.col("_ties") + 1) / 2.0
+    g = ranked.groupBy(*keys).agg(F.sum(F.col("_p") * rank).alias("_s"), F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"))
     p, q = F.col("positives"), F.col("negatives")
     return g.select(*keys, "positives", "negatives", F.when((p > 0) & (q > 0), (F.col("_s") - p * (p + 1) / 2.0) / (p * q)).alias("auc"))
 
@@ -31,11 +32,11 @@ def precision_at(df: DataFrame, keys: list[str], order: list, hit: str, k: int =
     return N.top_per_group(df, keys, order, k).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(hit).alias("precision"))
 
 
-def calibration(df: DataFrame, keys: list[str], score: str, order: list, hit: str, limit: float = 0.05) -> DataFrame:
+def calibration(df: DataFrame, keys: list[str], score: str, order: list[str], hit: str, limit: float = 0.05) -> DataFrame:
     """Per decile: mean of the predicted chance and of the outcome, and whether they are further apart than limit."""
     binned = N.equal_count_bins(df, order, 10, keys)
     g = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(score).alias("predicted"), F.avg(hit).alias("actual"))
-    return g.withColumn("alert", F.abs(F.col("predicted") - F.col("actual")) > limit)
+    return g.withColumn("alert", settled(F.abs(F.col("predicted") - F.col("actual"))) > limit)
 
 
 def unmet(conditions: dict[str, Column]) -> Column:
@@ -95,12 +96,23 @@ def review_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(some).alias("with_candidates"), F.count_if(~some).alias("without_candidates"), F.count_if(F.col("team").isNotNull()).alias("with_team"))
 
 
+def in_windows(df: DataFrame, dates: list[str], day: str) -> DataFrame:
+    """df once for each window date that is not before its day; the dates are few."""
+    ends = F.array(*(F.lit(x).cast("date") for x in dates))
+    return df.withColumn("window", F.explode(F.filter(ends, lambda x: x >= F.col(day))))
+
+
+def windowed_calibration(df: DataFrame, dates: list[str], day: str, score: str, order: list[str], hit: str, limit: float = 0.05) -> DataFrame:
+    """The calibration curve of each window date: per decile of the rows up to it the mean predicted chance, the mean
+    outcome, and whether they are further apart than limit."""
+    return calibration(in_windows(df, dates, day), ["window"], score, order, hit, limit)
+
+
 def windowed_backtest(df: DataFrame, dates: list[str], day: str, score: str, hit: str, order: list, k: int = 20) -> DataFrame:
     """Per window date, over the rows up to it: area under the curve and precision of the k best; null where there are
     no rows or only one class. The dates are few, so a row is repeated for each window that it is in."""
     windows = df.sparkSession.createDataFrame([(x,) for x in dates], "window string").select(F.to_date("window").alias("window"))
-    ends = F.array(*(F.lit(x).cast("date") for x in dates))
-    rows = df.withColumn("window", F.explode(F.filter(ends, lambda x: x >= F.col(day)))).withColumn(score, F.coalesce(F.col(score), F.lit(0)))
+    rows = in_windows(df, dates, day).withColumn(score, F.coalesce(F.col(score), F.lit(0)))
     both = rank_auc(rows, ["window"], score, hit).join(precision_at(rows, ["window"], order, hit, k).select("window", "precision"), "window")
     known = F.col("auc").isNotNull()
     return windows.join(both, "window", "left").select("window", "auc", F.when(known, F.col("precision")).alias("precision"))

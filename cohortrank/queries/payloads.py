@@ -194,6 +194,16 @@ def backtest_windows(spark, d):
     return out.select("window", round_up("auc", 4).alias("auc"), round_up("precision", 4).alias("precision"))
 
 
+@query(f"WITH {OUTCOMES_SQL}" + """, w AS (SELECT o.*, least(1, score / 5000.0) AS p, d AS "window" FROM (SELECT *, DATE '2024-01-01' + CAST(entity % 300 AS INT) AS made FROM o) o JOIN (VALUES (DATE '2024-03-01'), (DATE '2024-12-31')) v(d) ON made <= d),
+k AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY score, entity) AS r, count(*) OVER (PARTITION BY "window") AS n FROM w)
+SELECT "window", CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, ceil((r - 1) * least(10, n) / (n - 1))) END AS INT) AS bin, count(*) AS n, rup(avg(p), 4) AS predicted, rup(avg(hit), 4) AS actual, rup(abs(avg(p) - avg(hit)), 9) > 0.05 AS alert FROM k GROUP BY 1, 2""")
+def backtest_calibration(spark, d):
+    """The calibration curve of each window over outcomes dated by their id."""
+    o = outcomes(spark, d).withColumns({"made": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("entity") % 300).cast("int")), "p": F.least(F.lit(1.0), F.col("score") / 5000.0)})
+    out = V.windowed_calibration(o, ["2024-03-01", "2024-12-31"], "made", "p", ["score", "entity"], "hit")
+    return out.select("window", "bin", "n", round_up("predicted", 4).alias("predicted"), round_up("actual", 4).alias("actual"), "alert")
+
+
 @query(E + """, n AS (SELECT entity, count(*) FILTER (event_type = 'view') c, bool_or(event_type = 'view' AND unit % 5 = 0) t, bool_or(event_type = 'view' AND (unit % 7 = 0 OR unit % 6 = 4 OR unit % 6 = 5)) f, count(*) FILTER (event_type = 'click') i FROM e GROUP BY 1),
 m AS (SELECT entity, list_filter([CASE WHEN c < 3 THEN 'notes' END, CASE WHEN NOT t THEN 'top-6' END, CASE WHEN NOT f THEN 'system fit' END, CASE WHEN entity % 2 = 0 AND i < 6 THEN 'imports' END], lambda x: x IS NOT NULL) l FROM n)
 SELECT entity, array_to_string(l, ';') AS missing, len(l) = 0 AS ready FROM m""")

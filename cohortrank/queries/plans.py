@@ -299,7 +299,7 @@ def precision_at_k(spark, d):
     return V.precision_at(outcomes(spark, d), ["brief"], [F.desc("score"), "entity"], "hit").select("brief", "n", r4(F.col("precision"), "precision"))
 
 
-@query(O + BINS + "SELECT brief, bin, count(*) n, rup(avg(least(1, score / 5000.0)), 4) predicted, rup(avg(hit), 4) actual, abs(avg(least(1, score / 5000.0)) - avg(hit)) > 0.05 AS alert FROM b GROUP BY 1, 2")
+@query(O + BINS + "SELECT brief, bin, count(*) n, rup(avg(least(1, score / 5000.0)), 4) predicted, rup(avg(hit), 4) actual, rup(abs(avg(least(1, score / 5000.0)) - avg(hit)), 9) > 0.05 AS alert FROM b GROUP BY 1, 2")
 def decile_calibration(spark, d):
     o = outcomes(spark, d).withColumn("p", F.least(F.lit(1.0), F.col("score") / 5000.0))
     return V.calibration(o, ["brief"], "p", ["score", "entity"], "hit").select("brief", "bin", "n", r4(F.col("predicted"), "predicted"), r4(F.col("actual"), "actual"), "alert")
