@@ -127,13 +127,14 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines.groupBy("_id").agg(F.collect_set("number").alias("dropped"), F.collect_set("code").alias("dropped_codes"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, report: bool = False, short: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, report: bool = False, short: bool = False, emptied: bool = True) -> DataFrame:
     """Drop lines of recurring templates; one row per input row, all columns stay.
 
     length_col, if given, becomes the length of the new text where lines were dropped. With report, _lines and
     _dropped (numbers of lines before, and of those dropped) are added; docs must have no such columns then, other
     columns may have any name. With short, lines of fewer than MIN_TOKENS tokens recur by their exact template, else
-    they stay. Blank lines and repeats within one document stay. Null texts stay null, and rows with a null id are left
+    they stay. Blank lines and repeats within one document stay. Without emptied, rows that had words and have none left go:
+    what they said stands in the documents that kept their lines. Null texts stay null, and rows with a null id are left
     as they are. Texts of any length are taken whole. Of documents only those that lose a line cross the shuffle. An
     empty table gives no rows.
     """
@@ -166,7 +167,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if length_col:
                 old = columns[length_col].to_pylist()
                 columns[length_col] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, old, strict=True)], columns[length_col].type)
-            yield pa.RecordBatch.from_arrays([*columns.values(), *([pa.array(before, pa.int32()), pa.array(count, pa.int32())] if report else [])], schema.names)
+            out = pa.RecordBatch.from_arrays([*columns.values(), *([pa.array(before, pa.int32()), pa.array(count, pa.int32())] if report else [])], schema.names)
+            yield out if emptied else out.filter(pa.array([not c or bool(t.strip(" \t\n\v\f\r")) for t, c in zip(texts, changed, strict=True)], pa.bool_()))
 
     out = rows.mapInArrow(strip, schema)
     if not report:

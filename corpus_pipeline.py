@@ -28,8 +28,9 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur stay in the document of smallest id only. All documents stay, if emptied too."""
-    return line_templates.drop_recurring_lines(docs, length_col="n_chars", short=True)
+    """Lines of templates that recur stay in the document of smallest id only. Documents that had words and have none left,
+    such as copies, go with them."""
+    return line_templates.drop_recurring_lines(docs, length_col="n_chars", short=True, emptied=False)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,13 +41,14 @@ def test_run_equals_the_plain_version(spark, corpus):
     model = quality_model.learn(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     kept = [(i, t) for i, t in kept if model.score(np.array([quality_model.features(t)]))[0] >= 0.5]
     assert {i for i, _ in kept} >= set(range(60)) - {i for i in range(60) if brute_base(rows[i][1])[0] < 10} and not any(70 <= i < 95 for i, _ in kept)
-    kept = list(brute_lines(kept))
+    kept = [(i, t) for i, t in brute_lines(kept) if t.strip(" \t\n\v\f\r")]
     groups = brute(kept)
     kept = [(i, t) for i, t in kept if any(g == (i, g[1], i) for g in groups)]
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     own.encode_special_tokens = True
     want = Counter((i, len(own.encode(t, add_special_tokens=False).ids) + 1) for i, t in kept)
     out = corpus_pipeline.run(spark, path).collect()
+    assert not {r.doc_id for r in out} & {99, 100}  # exact copies of document 3
     assert Counter((r.doc_id, r.length) for r in out) == want
     assert len({r.sequence_id for r in out}) == -(-sum(n for _, n in want) // 4096)
 
@@ -61,5 +62,5 @@ def test_stages_keep_the_columns_of_documents(spark, corpus):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
