@@ -129,3 +129,28 @@ def count_within(spans: DataFrame, points: DataFrame, span_id: list[str], keys:
     border = cut.where(~whole).join(days, on).where(F.col("_day").between(F.col("_a"), F.col("_b"))).groupBy(*span_id).agg(F.sum("_n").alias("_n"))
     found = covered.unionByName(border).groupBy(*span_id).agg(F.sum("_n").alias(out))
     return spans.join(found, span_id, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def asof_many(left: DataFrame, row_id: list[str], ts: str, sources: dict[str, tuple[DataFrame, list[str], list[str], str]]) -> DataFrame:
+    """left plus, for each source, a struct of its columns as of the row's time: the latest source row of the key not after it.
+
+    sources: name -> (rows, left's key columns, the source's, its time column). All sources go through one union and one
+    window, however many there are; a key's rows of a source form a group of their own. Null keys and times find nothing;
+    of source rows of one time the last in the order of all their columns counts. `row_id` is distinct in left.
+    """
+    key = lambda cols: F.to_json(F.array(*(F.col(c).cast("string") for c in cols)))
+    whole = lambda cols: F.lit(True) if not cols else ~F.exists(F.array(*(F.col(c).isNull() for c in cols)), lambda x: x)
+    parts = []
+    for name, (rows, own, theirs, at) in sources.items():
+        asked = left.where(whole(own) & F.col(ts).isNotNull())
+        parts.append(asked.select(*row_id, F.lit(name).alias("_src"), key(own).alias("_key"), F.col(ts).cast("timestamp").alias("_ts"), F.lit(1).alias("_side")))
+        cols = [c for c in rows.columns if c not in theirs]
+        dated = rows.where(whole(theirs) & F.col(at).isNotNull())
+        parts.append(dated.select(F.lit(name).alias("_src"), key(theirs).alias("_key"), F.col(at).cast("timestamp").alias("_ts"), F.lit(0).alias("_side"), F.struct(*cols).alias(name), F.to_json(F.struct(*cols)).alias("_tie")))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    order = W.partitionBy("_src", "_key").orderBy("_ts", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumns({name: F.last(name, ignorenulls=True).over(order) for name in sources}).where("_side = 1")
+    found = seen.groupBy(*row_id).agg(*(F.first(name, ignorenulls=True).alias(name) for name in sources))
+    return left.join(found, row_id, "left")
