@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortrank.operators.joins import latest_per_key
@@ -48,3 +48,49 @@ def crosswalk_backfill(df: DataFrame, walk: DataFrame, on: list[str], target: st
     """target filled from the cross-walk, never overwritten with null."""
     new = walk.select(*on, F.col(source).alias("_new"))
     return df.join(new, on, "left").withColumn(target, F.coalesce("_new", target)).drop("_new")
+
+
+def versioned_sync(history: DataFrame, current: DataFrame, name: str, version: str, payload: list[str], day: Column) -> DataFrame:
+    """The history of versions after a sync, and the action for each: insert, update, reactivate, close or same.
+
+    history: name, version, payload, is_active, valid_from, valid_to. current holds each version of a name that is live
+    once. New versions begin on the day; live ones take the new payload (nulls compare as values) and, if they were
+    closed, begin again; versions of a name that current has without them are closed on the day. Names that it lacks
+    stay as they are. The same sync again changes nothing.
+    """
+    keys = [name, version]
+    new = current.select(*keys, F.struct(*payload).alias("_new"))
+    names = current.select(name).distinct().withColumn("_named", F.lit(True))
+    old = history.select(*keys, F.struct(*payload).alias("_old"), "is_active", "valid_from", "valid_to")
+    j = old.join(new, keys, "full_outer").join(names, name, "left")
+    live, known = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    closed = ~live & F.coalesce("_named", F.lit(False)) & F.col("is_active")
+    action = (
+        F.when(~known, "insert").when(live & ~F.col("is_active"), "reactivate").when(live & ~F.col("_new").eqNullSafe(F.col("_old")), "update").when(closed, "close").otherwise("same")
+    )
+    j = j.withColumn("action", action)
+    begins = F.col("action").isin("insert", "reactivate")
+    return j.select(
+        *keys, *(F.when(live, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in payload), F.when(begins, True).when(F.col("action") == "close", False).otherwise(F.col("is_active")).alias("is_active"),
+        F.when(begins, day).otherwise(F.col("valid_from")).alias("valid_from"), F.when(F.col("action") == "close", day).when(begins, None).otherwise(F.col("valid_to")).alias("valid_to"), "action",
+    )
+
+
+def write_sync(synced: DataFrame, path: str) -> dict[str, int]:
+    """Write the history without its actions; the counts come from the same job."""
+    seen = Observation()
+    count = lambda *names: F.count_if(F.col("action").isin(*names))
+    counted = synced.observe(seen, count("insert").alias("inserted"), count("update", "reactivate").alias("updated"), count("close").alias("deactivated"))
+    counted.drop("action").write.mode("errorifexists").parquet(path)
+    return seen.get
+
+
+def backfill_from_walks(df: DataFrame, walks: list[tuple[DataFrame, list[str], str]], target: str) -> DataFrame:
+    """target filled where it is null from several cross-walks (rows, key columns, value column), the first that knows the
+    key winning; what is there is never overwritten. Of rows of one key the smallest value counts."""
+    out, values = df, [F.col(target)]
+    for k, (walk, on, source) in enumerate(walks):
+        known = walk.where(F.col(source).isNotNull()).groupBy(*on).agg(F.min(source).alias(f"_walk{k}"))
+        out = out.join(known, on, "left")
+        values.append(F.col(f"_walk{k}"))
+    return out.withColumn(target, F.coalesce(*values)).drop(*(f"_walk{k}" for k in range(len(walks))))
