@@ -106,4 +106,5 @@ def availability_probability(rate: Column, frequency: Column, repeat: Column, lo
 
 
 def risk_tier(available: Column) -> Column:
-    return F.when(1 - available > 0.40, "High").when(1 - available > 0.20, "Medium").otherwise("Low")
+    risk = S.settled(1 - available)
+    return F.when(risk > 0.40, "High").when(risk > 0.20, "Medium").otherwise("Low")

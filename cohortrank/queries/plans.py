@@ -226,7 +226,7 @@ def value_bands(spark, d):
 
 
 @query(E + AVAILABILITY + """, h AS (SELECT entity, least(greatest(0.52 + 0.38 * coalesce(rate, 0.5) - 0.035 * episodes - 0.14 * coalesce(repeat_share, 0) - 0.0015 * max_gap + 0.018 * least(streak, 10) + CASE WHEN coalesce(days_since, 0) > 365 THEN 0.05 ELSE 0 END, 0.2), 0.95) a FROM av)
-SELECT entity, rup(a, 4) AS available, CASE WHEN 1 - a > 0.4 THEN 'High' WHEN 1 - a > 0.2 THEN 'Medium' ELSE 'Low' END AS tier FROM h""")
+SELECT entity, rup(a, 4) AS available, CASE WHEN rup(1 - a, 9) > 0.4 THEN 'High' WHEN rup(1 - a, 9) > 0.2 THEN 'Medium' ELSE 'Low' END AS tier FROM h""")
 def availability_heuristic(spark, d):
     a = available(spark, d)
     p = C.availability_probability(*(F.col(c) for c in ("rate", "episodes", "repeat_share", "max_gap", "streak", "days_since")))
