@@ -138,3 +138,26 @@ def test_queries_without_a_bucket_are_held_against_the_whole_band(spark, monkeyp
     for r in prefix_forest.search(df, every=1000, least=100).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert {q: [i for i, _ in v] for q, v in want.items()} == got
+
+
+def test_rows_that_repeat_an_id_are_candidates_and_ask_for_themselves(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 40)]
+    rows += [(0, [1.0, 0.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0, 0.0]), (20, rows[19][1]), (20, rows[19][1]), (7, [9.0, 0.0, 0.0, 0.0]), (7, [9.0, 0.0, 0.0, 0.0])]
+    out = {}
+    for r in prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=60).collect():
+        out.setdefault((r.query_id, r["rank"]), []).append((r.vec_id, round(r.score, 9)))
+    asking = [at for at, (i, _) in enumerate(rows) if i % 20 == 0]
+    want = {}
+    for at in asking:
+        near = sorted(((-sum(a * b for a, b in zip(rows[at][1], v, strict=True)), i) for n, (i, v) in enumerate(rows) if n != at))
+        for rank, (s, i) in enumerate(near, 1):
+            want.setdefault((rows[at][0], rank), []).append((i, round(-s, 9)))
+    assert len(asking) == 5 and {k: sorted(v) for k, v in want.items()} == {k: sorted(v) for k, v in out.items()}
+
+
+def test_ties_of_many_different_vectors_go_to_the_smaller_ids(spark):
+    scale = 1e9  # products near 1e18 that differ by rounding alone in another order of adding
+    rows = [(20, [scale, scale, 0.0, 0.0])] + [(i, [scale, 0.0, scale * i, -scale * i]) for i in range(1, 200) if i != 20]
+    out = prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).where("query_id = 20").orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [i for i in range(1, 22) if i != 20][:20] and {r.score for r in out} == {scale * scale}
