@@ -47,9 +47,61 @@ def drain_updates(df: DataFrame, path: str, checkpoint: str) -> None:
     df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+PARTS = ("breaks", "counts", "rows")
+
+
+def keep_runs(stream: DataFrame, target: str, key: str, ts: str, unit: str, value: str, least: float, checkpoint: str, stretch: str = "1 day") -> None:
+    """Drain what has arrived into summaries that runs() adds up, whatever the order of arrival.
+
+    A row holds if value reaches least (a null does not); rows go by (ts, unit). A micro-batch leaves three tables, each
+    in a folder of the batch, so a batch that runs again replaces its own: the last row of each key that breaks a run;
+    the rows that hold after it, keys and times only; and how many these are in each key and stretch of time, with the
+    first and last of them. Counts and maxima are combined before the shuffle, so a key with a third of all rows lies in
+    many tasks, and nothing of a key is held in memory between batches. Rows without key or time take no part.
+    """
+    place = F.struct(F.col(ts).alias("ts"), F.col(unit).alias("unit"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+            F.col(key).alias("key"), F.window(ts, stretch)["start"].alias("stretch"), place.alias("at"), F.coalesce(F.col(value) >= least, F.lit(False)).alias("holds")
+        )
+
+    def write(batch: DataFrame, number: int) -> None:
+        def kept(df: DataFrame, part: str) -> DataFrame:
+            path = f"{target}/{part}/batch={number}"
+            df.write.mode("overwrite").parquet(path)
+            return batch.sparkSession.read.schema(df.schema).parquet(path)
+
+        rows = placed(batch)
+        breaks = kept(rows.where("not holds").groupBy("key").agg(F.max("at").alias("last")), "breaks")
+        # rows before the batch's own last break of their key can never count again
+        found = rows.where("holds").join(breaks, "key", "left").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
+        held = kept(found.select("key", "stretch", "at"), "rows")
+        kept(held.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")), "counts")
+
+    write(stream.sparkSession.createDataFrame([], stream.schema), -1)  # so that runs() finds tables where nothing has arrived
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def runs(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """Key and streak: how many of its latest rows hold in a row, over all batches that keep_runs() has drained.
+
+    A stretch of a batch adds its count if it lies after its key's last break and nothing if it lies before; rows are
+    read only of the stretches that the break cuts. Sums and maxima do not depend on how rows fell into batches."""
+    breaks, counts, rows = (spark.read.parquet(f"{target}/{p}") for p in PARTS)
+    last = breaks.groupBy("key").agg(F.max("last").alias("_last"))
+    found = counts.join(last, "key", "left")
+    whole = found.where(F.col("_last").isNull() | (F.col("first") > F.col("_last"))).select("key", "n")
+    cut = found.where((F.col("first") <= F.col("_last")) & (F.col("last") > F.col("_last"))).select("batch", "key", "stretch", "_last")
+    inside = rows.join(cut, ["batch", "key", "stretch"]).where(F.col("at") > F.col("_last")).select("key", F.lit(1).cast("long").alias("n"))
+    none = last.select("key", F.lit(0).cast("long").alias("n"))
+    return whole.unionByName(inside).unionByName(none).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("streak"))
+
+
 def streaks(stream: DataFrame, key: str, ts: str, value: str, least: float) -> DataFrame:
     """After each micro-batch, for keys it touched, how many of the latest rows in a row reach `least`. State per key
-    is one number and the time of its last row; rows older than that are ignored."""
+    is one number and the time of its last row; rows older than that are ignored, so rows must arrive in order.
+    keep_runs() takes them in any."""
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, last = state.get if state.exists else (0, -1)
