@@ -61,3 +61,15 @@ def fee_rows(spark, d):
     signings = u.where("status = 'F'").select(F.col("unit").alias("signing"), "entity", F.to_date("ts").alias("day"), F.col("m1").alias("fee"))
     out = P.fee_rows(signings, values, seasons, roles, cohorts, born, WEIGHTS)
     return out.select("signing", "entity", "age", "position_group", "role", "level", r4(F.col("contract_years"), "contract_years"), "value", r4(F.col("output"), "output"), "fee")
+
+
+@query()
+def target_projections(spark, d):
+    """Both targets and the starter's chance of every training row, with the intervals of rows that a model has not seen."""
+    from cohortrank.models import projections as M
+
+    moves = written_once(projection_rows(spark, d), "moves")
+    fitted = M.fit_targets(moves, ["entity", "period"], ["age", "origin_position", "target_position", "origin_m1", "origin_m3"], ["cohort", "next_cohort", "role"], ["target_m1", "target_m3"], "target_starter", ["cohort", "next_cohort"])
+    out = M.project_targets(moves, fitted)
+    bands = [F.round(f"{t}_{p}", 3).alias(f"{t}_{p}") for t in ("target_m1", "target_m3") for p in ("p10", "p50", "p90")]
+    return out.select("entity", "period", "cohort", "next_cohort", *bands, F.round("starter_chance", 4).alias("starter_chance"), "pair_rows", "low_sample")
