@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortrank.functions import scalars as S
 from cohortrank.operators import aggregates as A
 from cohortrank.operators import joins as J
+from cohortrank.operators import similar as SI
 from cohortrank.operators import windows as N
 from cohortrank.plans import features as P
 from cohortrank.plans import gates as G
@@ -261,6 +262,16 @@ def cosine_topn(spark, d):
     return N.top_per_group(pairs, ["a"], [F.desc("s"), "b"], 5).select("a", "b", r4(F.col("s"), "cosine"))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT q.vec_id AS target, v.vec_id AS candidate, round(list_cosine_similarity(q.e, v.e), 6) AS s, q.e[1] - v.e[1] AS x FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT target, k AS rank, candidate, rup(s, 4) AS similarity, rup(x, 4) AS first_delta FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY s DESC, candidate) k FROM p) WHERE k <= 10""")
+def similar_rows(spark, d):
+    """Nearest ten of each row whose id is divisible by 20 among all rows, whatever their label."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("embedding")[0].cast("double").alias("first"))
+    targets = v.where("vec_id % 20 = 0")
+    found = SI.with_deltas(SI.nearest_by_cells(targets, v, "vec_id", "embedding", 10), targets, v, "vec_id", ["first"])
+    return found.select("target", "rank", "candidate", r4(F.col("similarity"), "similarity"), r4(F.col("first_delta"), "first_delta"))
+
+
 # gates and workflow
 
 BRIEF = G.Brief("BUILDING", budget_fee=120000.0, budget_wage=9000.0, age_min=1.5, age_max=6.0, wage_band=6000.0, risk_limit=0.40, projection_needed=True, older_age=5.0)
