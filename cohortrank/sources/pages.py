@@ -49,8 +49,17 @@ class Blocks(HTMLParser):
         self.settle()
 
 
+#: What the HTML standard lets a cell span at most.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def whole_number(text: str | None, most: int) -> int:
+    """A span as browsers read it: digits, at most so many; 1 where it says nothing."""
+    return min(int(text), most) if text and re.fullmatch("[0-9]+", text.strip()) else 1
+
+
 class Tables(HTMLParser):
-    """Collects (table, row, cells, first link, is header) of a page."""
+    """Collects (table, row, cells, first link, is header) of a page. A cell that spans columns or rows repeats in each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -58,22 +67,31 @@ class Tables(HTMLParser):
         self.links: list[tuple[str, str]] = []
         self.table, self.row, self.open = -1, -1, None
         self.cells: list[str] = []
-        self.header, self.first, self.href, self.label, self.span = True, None, None, "", 1
+        self.header, self.first, self.href, self.label, self.span = True, None, None, "", (1, 1)
+        self.carried: dict[int, tuple[str, int]] = {}  # of a column: the text from above and how many rows it still takes
+        self.below: dict[int, tuple[str, int]] = {}
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
         if tag == "table":
-            self.table, self.row = self.table + 1, -1
+            self.table, self.row, self.carried = self.table + 1, -1, {}
         elif tag == "tr":
             self.row, self.cells, self.header, self.first = self.row + 1, [], True, None
+            self.below = {}
         elif tag in ("td", "th"):
-            self.open, self.span = "", int(at["colspan"]) if (at.get("colspan") or "").isdigit() else 1
+            columns, rows = whole_number(at.get("colspan"), MOST_COLUMNS), whole_number(at.get("rowspan"), MOST_ROWS)
+            self.open, self.span = "", (max(columns, 1), rows or MOST_ROWS)  # 0 rows: all that follow
             self.header = self.header and tag == "th"
         elif tag == "a" and at.get("href"):
             self.href, self.label = at["href"], ""
             if self.open is not None:
                 self.first = self.first or at["href"]
 
+    def fill(self):
+        """Cells from rows above that stand where the next cell would."""
+        while (column := len(self.cells)) in self.carried:
+            self.cells.append(self.carried[column][0])
+
     def handle_data(self, data):
         if self.open is not None:
             self.open += data
@@ -82,11 +100,18 @@ class Tables(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in ("td", "th") and self.open is not None:
-            self.cells += [" ".join(self.open.split())] * min(self.span, 100)
+            self.fill()
+            text, (columns, rows) = " ".join(self.open.split()), self.span
+            if rows > 1:
+                self.below |= {c: (text, rows - 1) for c in range(len(self.cells), len(self.cells) + columns)}
+            self.cells += [text] * columns
             self.open = None
-        elif tag == "tr" and self.cells and self.table >= 0:
-            self.rows.append((self.table, self.row, self.cells, self.first, self.header))
-            self.cells = []
+        elif tag == "tr" and self.table >= 0:
+            if self.cells:
+                self.fill()
+                self.rows.append((self.table, self.row, self.cells, self.first, self.header))
+            self.carried = {c: (text, left - 1) for c, (text, left) in self.carried.items() if left > 1} | self.below
+            self.cells, self.below = [], {}
         elif tag == "a" and self.href is not None:
             self.links.append((self.href, " ".join(self.label.split())))
             self.href = None

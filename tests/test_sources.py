@@ -92,3 +92,14 @@ def test_payloads_with_holes(spark):
     assert [(r.player_id, r.birth_date, r.current_team) for r in payloads.bios(df).collect()] == [(7, None, None)]
     assert payloads.transfers(df).count() == 0
     assert [(r.fixture_id, r.player_id) for r in payloads.unit_events(df).collect() if r.player_id] == [(4, 7)]
+
+
+def test_cells_that_span_rows_and_columns(spark):
+    html = (
+        "<table><tr><th rowspan=2>name</th><th colspan=2>goals</th></tr><tr><th>home</th><th>away</th></tr>"
+        "<tr><td rowspan='2'>Ann</td><td>1</td><td rowspan=0>x</td></tr><tr><td>2</td></tr><tr><td>Bo</td><td>3</td></tr><tr></tr></table>"
+        "<table><tr><td colspan=150>w</td></tr><tr><td colspan='\u00b2' rowspan='-1'>odd</td></tr></table>"
+    )
+    out = pages.table_rows(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).orderBy("table", "row").collect()
+    assert [r.cells for r in out if r.table == 0] == [["name", "goals", "goals"], ["name", "home", "away"], ["Ann", "1", "x"], ["Ann", "2", "x"], ["Bo", "3", "x"]]
+    assert [len(r.cells) for r in out if r.table == 1] == [150, 1]
