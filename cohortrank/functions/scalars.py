@@ -164,7 +164,7 @@ def timeline_date(value: Column) -> Column:
 
 def period_from_name(name: Column) -> Column:
     """First year of a '24-25' or '24/25' in a file's name as '2024'; null if there is none."""
-    found = F.regexp_extract(name, r"(\d{2})[:/-](\d{2})", 1)
+    found = F.regexp_extract(name, r"(\d{2})\s*[:/-]\s*(\d{2})", 1)
     return F.when(found != "", F.concat(F.lit("20"), found))
 
 
