@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cohortrank.llm.common import filtered, free_name, materialise, slices, small_batches
 
 SYMBOLS = "#*$%&|<>"
-#: A line is removed where more distinct texts of its host hold it than MIN_DOCS, or than SHARE of them all and FLOOR.
+#: A line is removed where more distinct documents of its host hold it than MIN_DOCS, or than SHARE of them all and FLOOR.
 MIN_DOCS, SHARE, FLOOR = 100, 0.01, 10
 #: A document is depleted if, after removal, fewer words are left than MIN_WORDS or than KEEP_PERCENT of all.
 MIN_WORDS, KEEP_PERCENT, REPEAT_PERCENT = 10, 20, 20
@@ -81,25 +81,29 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "code_a", "code_b", "lines", "line_words"]
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, *, floor: int = FLOOR) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, *, floor: int = FLOOR, copies: str = "once") -> DataFrame:
     """Base rules, then the verdict by cross-document line frequency. One row per input row, repeats included.
 
-    Copies of a text count once among its host's documents, so copies alone never make a line frequent. Lines
-    are counted per host by their code; those above either limit are removed and a document that they deplete is
-    rejected. A null text has no words, a null host is the host ''. An empty table gives no rows.
+    Lines are counted per host by their code: by documents (an id and its text; repeats of both are one document, null
+    ids of one text too) with copies="each", by texts with copies="once", so that copies alone never make a line
+    frequent. Lines above either limit are removed and a document that they deplete is rejected. A null text has no words, a null host is the host ''. An empty table gives no rows.
 
     Returns id_col, host, the counts, code_a and code_b (of the text), removed (codes of removed lines),
     removed_words, base_failed and kept. Other columns do not come along. Shuffles hold codes, never texts.
     """
     held = materialise(measure(docs, id_col, text_col, host_col), "measured")
     text = ["host", "code_a", "code_b"]
-    distinct = held.groupBy(*text).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
+    if copies not in ("each", "once"):
+        raise ValueError(f"copies is each or once, not {copies}")
+    # a struct counts null ids too; copies of one text are first counted apart by id, so a hot text lies in many tasks
+    documents = F.count_distinct(F.struct(id_col)) if copies == "each" else F.max(F.lit(1).cast("long"))
+    distinct = held.groupBy(*text).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), documents.alias("documents"))
     distinct = materialise(distinct, "texts")  # equal texts have equal lines
-    sizes = distinct.groupBy("host").agg(F.count("*").alias("n_texts"))
+    sizes = distinct.groupBy("host").agg(F.sum("documents").alias("n_documents"))
     frequent = (
-        distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+        distinct.select("host", "documents", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.sum("documents").alias("n"))
         .where(F.col("n") > min(min_docs, floor)).join(sizes, "host")
-        .where((F.col("n") > min_docs) | ((F.col("n") > floor) & (F.col("n") > share * F.col("n_texts")))).select("host", "line")
+        .where((F.col("n") > min_docs) | ((F.col("n") > floor) & (F.col("n") > share * F.col("n_documents")))).select("host", "line")
     )
     line = F.explode(F.arrays_zip("lines", "line_words")).alias("x")
     removed = (
@@ -117,7 +121,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None) -> DataFrame:
     """The documents that judge() keeps, without their removed lines. All columns stay, whatever their names;
     length_col, if given, follows the new text. Rows go by id, host and text, so repeated rows all return. Only the
-    texts that are rejected or lose a line are shuffled. A null text is rejected, as it has no words; a text of any
+    texts that are rejected or lose a line are shuffled. Copies of a text count once here: a group of copies would else
+    lose all its lines and with them the copy that is to stay. A null text is rejected, as it has no words; a text of any
     length is taken whole; an empty table gives no rows."""
     small_batches(docs)
     verdicts = judge(docs, id_col, text_col, host_col)

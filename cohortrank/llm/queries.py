@@ -43,7 +43,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    out = quality_rules.judge(read_table(spark, sf_dir, "documents"), copies="each")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
