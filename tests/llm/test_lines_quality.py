@@ -162,16 +162,17 @@ def test_either_limit_alone_removes_a_line(spark):
     assert {i for i, n in out.items() if n} == {*range(12), *range(100, 201)}  # the other way round
 
 
-def brute_verdicts(rows):
-    """removed_words and kept by the rules' words alone: frequent lines of a host go, depleted documents are rejected."""
+def brute_verdicts(rows, copies):
+    """removed_words and kept by the rules' words alone: frequent lines of a host go, depleted documents are rejected. Lines
+    count by distinct (id, text) or, with copies once, by distinct text."""
     norm = lambda w: re.sub("[0-9]", "0", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in " ".join(w)))
     split = lambda t: [w for line in (t or "").split("\n") if (w := re.findall(r"[^\x20\x09-\x0D]+", line))]
     texts = defaultdict(set)
-    for _, t, h in rows:
-        texts[h or ""].add(t or "")
+    for i, t, h in rows:
+        texts[h or ""].add((i if copies == "each" else 0, t or ""))
     frequent = defaultdict(set)
     for h, own in texts.items():
-        n = Counter(x for t in own for x in set(map(norm, split(t))))
+        n = Counter(x for _, t in own for x in set(map(norm, split(t))))
         frequent[h] = {x for x, c in n.items() if c > 100 or (c > 10 and c > 0.01 * len(own))}
     out = Counter()
     for i, t, h in rows:
@@ -194,10 +195,17 @@ def test_verdicts_equal_the_plain_version_at_the_querys_limits(spark, tmp_path):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), rng.choice(["hot", "hot", "b", None])))
     rows += [(600 + i, rows[i][1], rows[i][2]) for i in range(40)] + [(700, None, "b"), (None, common[0], "hot"), (701, "", None)]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = queries()["op5_line_frequency"](spark, str(tmp_path)).collect()
-    got = Counter((r.doc_id, r.removed_words, r.base_failed, r.kept) for r in out)
-    assert got == brute_verdicts(rows) and sum(n for (_, gone, *_), n in got.items() if gone) > 20 and any(gone and not failed and not kept for _, gone, failed, kept in got)
+    copied = words(rng, 30)
+    rows += [(1000 + i, copied, "b") for i in range(30)] + [(1000, copied, "b")] * 3 + [(None, words(rng, 12), "b")] * 15
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {x: brute_verdicts(rows, x) for x in ("each", "once")}
+    for x, out in (("each", queries()["op5_line_frequency"](spark, str(tmp_path))), ("once", quality_rules.judge(df))):
+        got = Counter((r.doc_id, r.removed_words, r.base_failed, r.kept) for r in out.collect())
+        assert got == want[x] and sum(n for (_, gone, *_), n in got.items() if gone) > 20 and any(gone and not failed and not kept for _, gone, failed, kept in got)
+    assert {x: sum(n for (i, _, _, kept), n in want[x].items() if (i or 0) >= 1000 and kept) for x in want} == {"each": 0, "once": 33}  # 30 copies go, repeats of one row count once
+    with pytest.raises(ValueError):
+        quality_rules.judge(df, copies="twice")
 
 
 def test_preferences_fit_as_plain_gradient_descent_does():
