@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortrank.functions import scalars as S
 from cohortrank.storage import written_once
 
 
@@ -86,10 +87,11 @@ def tiered_match(candidates: DataFrame, key: str, rules: list, order: list) -> D
 
 
 def top2_gap(df: DataFrame, key: str, choice: str, score: str, least: float, sure: float, gap: float) -> DataFrame:
-    """Best choice of each key, accepted if it scores at least `sure`, or at least `least` and `gap` above the second."""
+    """Best choice of each key, accepted if it scores at least `sure`, or at least `least` and `gap` above the
+    second (the lead to nine digits, so that .97 leads .92 by .05)."""
     over = W.partitionBy(key).orderBy(F.desc(score), choice)
     best = df.withColumns({"_n": F.row_number().over(over), "second_score": F.lead(score).over(over)}).where("_n = 1").drop("_n")
-    clear = F.col("second_score").isNull() | (F.col(score) - F.col("second_score") >= gap)
+    clear = F.col("second_score").isNull() | (S.settled(F.col(score) - F.col("second_score")) >= gap)
     return best.withColumn("accepted", (F.col(score) >= sure) | ((F.col(score) >= least) & clear))
 
 

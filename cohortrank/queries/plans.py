@@ -209,6 +209,12 @@ def comparison_table(spark, d):
     return c.select("entity", *(round_up(x, 3).alias(x) for x in ("fit", "score", "projection", "composite")))
 
 
+@query(COMPOSITE + "SELECT entity, rup(fit, 3) fit, rup(score, 3) score, rup(proj, 3) projection, rup(composite, 3) composite FROM cs")
+def comparison_all(spark, d):
+    """The columns of the comparison for every entity."""
+    return composite_frame(held_units(spark, d)).select("entity", *(round_up(x, 3).alias(x) for x in ("fit", "score", "projection", "composite")))
+
+
 @query(U + ", g AS (SELECT entity, avg(m1) / 20000 * CASE cohort % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.7 END m, avg(CAST(status = 'F' AS INT)) sr, avg(exposure) x FROM u GROUP BY entity, cohort) SELECT entity, rup(greatest(0, m - greatest(0.05, 0.25 * m)), 4) p10, rup(m, 4) p50, rup(m + greatest(0.05, 0.25 * m), 4) p90, rup(least(greatest(0.45 * sr + 0.55 * least(x / 90, 1), 0.2), 0.92), 4) starter FROM g")
 def heuristic_projection(spark, d):
     k = F.col("cohort") % 3

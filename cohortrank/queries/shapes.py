@@ -118,6 +118,27 @@ def tiered_match(spark, d):
     return J.tiered_match(pairs, "a", rules, ["b"]).select("a", "b", "tier", "match_score")
 
 
+@query("""WITH p AS (SELECT a.c_custkey a, b.c_custkey b, CASE WHEN a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment THEN 1 WHEN a.c_nationkey = b.c_nationkey THEN 2 WHEN a.c_mktsegment = b.c_mktsegment THEN 3 END tier
+ FROM customer a JOIN customer b ON a.c_custkey // 10 = b.c_custkey // 10 AND a.c_custkey <> b.c_custkey)
+SELECT a, b, CAST(tier AS INT) AS tier, CASE tier WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 ELSE 0.5 END AS match_score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY tier, b) k FROM p WHERE tier IS NOT NULL) WHERE k = 1""")
+def tiered_match_all(spark, d):
+    """Every customer against the others of its block of ten; those that meet no rule are left out."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 10).alias("block"))
+    a = c.select("block", F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("na"), F.col("c_mktsegment").alias("sa"))
+    pairs = a.join(c.withColumnRenamed("c_custkey", "b"), "block").where("a <> b")
+    nation, segment = F.col("na") == F.col("c_nationkey"), F.col("sa") == F.col("c_mktsegment")
+    return J.tiered_match(pairs, "a", [(nation & segment, 0.95), (nation, 0.9), (segment, 0.5)], ["b"]).select("a", "b", "tier", "match_score")
+
+
+@query("""WITH g AS (SELECT p_partkey // 3 AS block, p_partkey, 0.70 + (p_partkey * p_partkey * 13 % 31) / 100.0 AS score FROM part), k AS (SELECT *, row_number() OVER w r, lead(score) OVER w AS second_score FROM g WINDOW w AS (PARTITION BY block ORDER BY score DESC, p_partkey))
+SELECT block, p_partkey, score, second_score, (score >= 0.98 OR (score >= 0.85 AND (second_score IS NULL OR rup(score - second_score, 9) >= 0.05))) AS accepted FROM k WHERE r = 1""")
+def top2_within_limits(spark, d):
+    """The best of each three parts, sure from 0.98 on, else from 0.85 on if it leads by 0.05."""
+    k = F.col("p_partkey")
+    g = table(spark, d, "part").select(F.floor(k / 3).alias("block"), "p_partkey", (0.70 + (k * k * 13 % 31) / 100.0).alias("score"))
+    return J.top2_gap(g, "block", "p_partkey", "score", 0.85, 0.98, 0.05).select("block", "p_partkey", "score", "second_score", "accepted")
+
+
 @query(U + """, g AS (SELECT cohort, segment, round(sum(m1), 2) s FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER w r, lead(s) OVER w s2 FROM g WINDOW w AS (PARTITION BY cohort ORDER BY s DESC, segment))
 SELECT cohort, segment, s AS score, s2 AS second_score, (s2 IS NULL OR s - s2 >= 0.05 * s2) AS accepted FROM k WHERE r = 1""")
 def top2_gap_accept(spark, d):
