@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import uuid
+
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortrank.storage import shared_folder
+
 #: Fewest training rows of the projection, availability and value models.
 LEAST_ROWS = {"projection": 30, "availability": 50, "value": 20}
 
@@ -24,6 +28,14 @@ def guard(df: DataFrame, model: str) -> None:
         raise TooFewRows(f"{model}: {n} rows")
 
 
+def without_summary(spark: SparkSession, model: Model) -> Model:
+    """model as its file in the shared folder has it. A logistic regression just fitted carries the summary of its training
+    and with it the session, which no task can take along once anything in that session has used an Observation."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    return type(model).load(path)
+
+
 def matrix(numbers: list[str], labels: list[str] = ()) -> list:
     """Median imputation and scaling of numbers, one-hot labels; unseen labels get a slot of their own."""
     filled = [f"{c}_filled" for c in numbers]
@@ -90,4 +102,5 @@ def quantile_values(df: DataFrame, numbers: list[str], labels: list[str], target
 def classifier(df: DataFrame, numbers: list[str], target: str, trees: bool = True) -> PipelineModel:
     guard(df, "availability")
     last = GBTClassifier(labelCol=target, maxIter=20, seed=42) if trees else LogisticRegression(labelCol=target)
-    return Pipeline(stages=[*matrix(numbers), last]).fit(df)
+    model = Pipeline(stages=[*matrix(numbers), last]).fit(df)
+    return model if trees else without_summary(df.sparkSession, model)

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortrank.models.estimators import guard, matrix
+from cohortrank.models.estimators import guard, matrix, without_summary
 from cohortrank.storage import written_once
 
 FOLDS, LOW_SAMPLE = 3, 20
@@ -63,7 +63,7 @@ def fit_targets(df: DataFrame, key: list[str], numbers: list[str], labels: list[
         low, high = left.select(F.percentile_approx(F.col("label") - F.col("prediction"), F.array(F.lit(0.1), F.lit(0.9)), 10000).alias("q")).first()["q"]
         models[target] = (trees.fit(own), low, high)
     seen = held.where(F.col(starter).isNotNull()).select("features", F.col(starter).alias("label"))
-    logistic = LogisticRegression(regParam=0.001, maxIter=100).fit(seen)
+    logistic = without_summary(df.sparkSession, LogisticRegression(regParam=0.001, maxIter=100).fit(seen))
     pairs = written_once(rows.groupBy(*pair).agg(F.count("*").alias("pair_rows")), "pairs")
     return Projections(list(numbers), list(labels), list(pair), prepared, models, logistic, pairs)
 

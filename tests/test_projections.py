@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cohortrank.models import projections as P
-from cohortrank.models.estimators import TooFewRows
+from cohortrank.models.estimators import TooFewRows, classifier
 
 SCHEMA = "id long, a double, b double, origin string, goal string, rate double, other double, starts int"
 ARGS = {"key": ["id"], "numbers": ["a", "b"], "labels": ["origin", "goal"], "targets": ["rate", "other"], "starter": "starts", "pair": ["origin", "goal"]}
@@ -42,6 +43,15 @@ def test_missing_columns_and_unseen_labels(spark, fitted):
     assert P.project_targets(few.limit(0), fitted).count() == 0
 
 
+def test_models_score_in_a_session_that_has_used_an_observation(spark, fitted):
+    seen, few = Observation(), spark.createDataFrame(rows(60, 4), SCHEMA)
+    few.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 60
+    assert len(P.project_targets(few, fitted).collect()) == 60
+    for trees in (False, True):
+        assert len(classifier(few, ["a", "b"], "starts", trees).transform(few).select("probability").collect()) == 60
+
+
 def test_few_rows_raise(spark):
     with pytest.raises(TooFewRows):
         P.fit_targets(spark.createDataFrame(rows(10, 3), SCHEMA), **ARGS)
