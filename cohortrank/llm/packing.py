@@ -7,6 +7,7 @@ so many bins at one offset. Pieces then find their place by their rank in the or
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortrank.llm.bpe import SPACE, UnitEncoder
-from cohortrank.llm.common import materialise, slices, small_batches, with_global_order
+from cohortrank.llm.common import SLICE_BYTES, materialise, release, slices, small_batches, with_global_order
 
 #: Byte-level tokenizers write bytes that don't print as the characters from 256 on, in order.
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
@@ -208,7 +209,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES // 4):  # words take several times their text
             row, piece, start, ids = [], [], [], []
             for i, packed in enumerate(own.encode_all(batch.column(1).to_pylist())):
                 packed += end
@@ -221,6 +222,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
                 [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()) if checksums else pa.array(ids, pa.binary())],
                 [id_col, *names],
             )
+        # a worker outlives its task: what it has learned would weigh on the stages that follow
+        del own
+        word_encoder.cache_clear()
+        gc.collect()  # an encoder and its memories name each other
+        release()
 
     names = ["piece", "start", "length", "ids_crc32" if checksums else "ids"]
     kinds = [T.IntegerType(), T.LongType(), T.LongType(), T.LongType() if checksums else T.BinaryType()]

@@ -123,3 +123,14 @@ def test_words_of_any_kind_encode_as_the_tokenizer_does():
     pools = ["abcdeXYZ éÈßÄñ.,!?;:'\"-0123456789\n\t  \x1c\x85\xa0İΣσς日本語ﬁẞ🙂́<|>_ŉǅª²½ĸʼn", [chr(c) for c in range(0x20, 0x250)], [chr(c) for c in range(0x3000)]]
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 50))) for pool in pools for _ in range(400)] + ["q" * 5000, "abc," * 9]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [own.own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_no_worker_keeps_an_encoder_after_its_task(spark):
+    rows = spark.createDataFrame([(i, f"some words {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    assert packing.token_pieces(rows, PATH, 64, 1).count() == 400
+
+    def kept(batches):
+        for b in batches:
+            yield b.assign(n=packing.word_encoder.cache_info().currsize)[["n"]]
+
+    assert {r.n for r in rows.mapInPandas(kept, "n long").collect()} == {0}
