@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The table lives as long as the shared folder keeps it."""
+def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, with the writer's options, and read it back: lineage ends there, and
+    a lost executor costs no recomputation. The table lives as long as the shared folder keeps it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

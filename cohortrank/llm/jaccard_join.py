@@ -34,6 +34,9 @@ SLACK = 1.15
 #: How often a class's cells are halved for a set that fills too few of them, before its shingles stand alone.
 LEVELS = 6
 CELLS = np.array([2 << k for k in range(40)], np.int64)
+#: Bits of a cell's signature and of an owner's name. What crosses the shuffle is mostly these, so they leave two bytes of
+#: zeros each. Signatures that fall together by chance add candidates and lose none.
+NAME_BITS = 48
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
 TILE = ["clump", "band", "block"]
@@ -100,12 +103,12 @@ def cell_signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, lis
             cell = (place * (CELLS[own] << level)).astype(np.int64)
             start = np.flatnonzero(np.diff(cell, prepend=-1)) if level < LEVELS else np.arange(size)
             sums = np.add.reduceat(mixed, start) + np.uint64(own << 8 | level)
-            out.append(spread(sums) & ~np.uint64(1) | np.uint64(own & 1))
+            out.append(spread(sums) >> np.uint64(64 - NAME_BITS) & ~np.uint64(1) | np.uint64(own & 1))
             need = len(start) - most if need is None else 1
             if len(start) > most:
                 break
         needs[own & 1] = min(needs[own & 1] or size, max(1, need))
-    return np.concatenate(out), needs
+    return np.sort(np.concatenate(out)), needs
 
 
 DIGEST = "kind byte, n long, code binary, cells array<bigint>, need_even int, need_odd int, cell long"
@@ -151,8 +154,8 @@ def digest(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
 
 
 def owner_of(code: str) -> F.Column:
-    """A 64-bit name for a set: the head of its code."""
-    return F.conv(F.hex(F.substring(code, 1, 8)), 16, -10).cast("long")
+    """A name for a set: the head of its code, in the upper bits of a long."""
+    return F.shiftleft(F.conv(F.hex(F.substring(code, 1, NAME_BITS // 8)), 16, 10).cast("long"), 64 - NAME_BITS)
 
 
 def shared_cells(held: DataFrame) -> DataFrame:
@@ -161,14 +164,18 @@ def shared_cells(held: DataFrame) -> DataFrame:
     The hub is the smallest owner of the cell, of a heavy cell the smallest of one of its parts: heavy cells are dealt
     to as many parts as there are shuffle partitions, by owner. Other cells have no part.
     """
-    parts = shuffle_partitions(held.sparkSession)
+    # cell and part cross the shuffle as one long; the owner stands first, so that zeros of neighbours meet and compress
+    parts = min(shuffle_partitions(held.sparkSession), (1 << 63 - NAME_BITS) - 1)
     common = held.where("kind = 1").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(HEAVY).select("cell", F.lit(True).alias("_heavy"))
     rows = held.where("kind = 0 AND cells IS NOT NULL").select(owner_of("code").alias("owner"), F.explode("cells").alias("cell"))
     rows = rows.join(F.broadcast(materialise(common, "heavy")), "cell", "left")  # HEAVY bounds it
-    rows = rows.select("cell", "owner", F.when(F.col("_heavy"), F.pmod(F.xxhash64("owner"), F.lit(parts)).cast("int")).alias("part"))
-    by = W.partitionBy("cell", "part").orderBy("owner")
+    dealt = F.shiftleft(F.pmod(F.xxhash64("owner"), F.lit(parts)) + 1, NAME_BITS)
+    rows = rows.select("owner", F.when(F.col("_heavy"), F.col("cell") + dealt).otherwise(F.col("cell")).alias("key"))
+    by = W.partitionBy("key").orderBy("owner")
     met = (F.lag("owner").over(by) != F.col("owner")) | (F.lead("owner").over(by) != F.col("owner"))
-    rows = rows.select("cell", "owner", "part", F.first("owner").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"), met.alias("met"))
+    rows = rows.select("key", "owner", F.first("owner").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("hub"), met.alias("met"))
+    part = F.shiftright("key", NAME_BITS)
+    rows = rows.select(F.col("key").bitwiseAND((1 << NAME_BITS) - 1).alias("cell"), "owner", "hub", F.when(part > 0, part - 1).cast("int").alias("part"), "met")
     return rows.where("part IS NOT NULL OR met").select("cell", "owner", "hub", "part")
 
 
@@ -315,7 +322,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     with a null id. Equal sets are one class; rows that repeat an id each keep a row. Other columns, whatever their
     names, do not come along. Texts of any length are taken whole. An empty table gives no rows.
     """
-    held = materialise(digest(docs, id_col, text_col, percent), "digests")
+    # version 2 of the format writes the differences of the sorted cells
+    held = materialise(digest(docs, id_col, text_col, percent), "digests", {"parquet.writer.version": "PARQUET_2_0"})
     rows = held.where("kind = 0").select("id", "n", "code")
     classes = held.where("kind = 0 AND n > 0 AND id IS NOT NULL").groupBy("code").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.max("need_even").alias("need0"), F.max("need_odd").alias("need1")
@@ -346,12 +354,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), owner_of("label").alias("label"), "minor"), "labels")
     if labels.limit(1).count():
         among = W.partitionBy("cell")
-        cells = near.select("cell", "owner").join(labels.select("owner", "label"), "owner")
-        foreign = cells.withColumn("_mixed", F.min("label").over(among) < F.max("label").over(among)).where("_mixed").select("cell", "owner")
+        cells = filtered(near.select("owner", "cell"), labels.select("owner"), "owner").join(labels.select("owner", "label", "band", "block", "minor"), "owner")
+        cells = cells.select("owner", "label", "band", "block", "minor", "cell")
+        foreign = cells.withColumn("_mixed", F.min("label").over(among) < F.max("label").over(among)).where("_mixed").drop("_mixed")
         foreign = materialise(foreign, "foreign")
         again = foreign.groupBy("owner").agg(*counted_cells()).join(able.select("owner", "need0", "need1"), "owner").where(ENOUGH).select("owner")
         again = materialise(again.join(labels, "owner"), "again")
-        cells = materialise(foreign.join(again, "owner").select("cell", "band", "block", "label", "owner", "minor"), "cells")
+        cells = filtered(foreign, again.select("owner"), "owner")  # what it lets pass visits no block: guests are of again
         spots = cells.groupBy("cell", F.col("band").alias("_band"), F.col("block").alias("_block")).agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
         apart = ((F.col("label") != F.col("_a")) | (F.col("label") != F.col("_b"))) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
         visits = cells.where("minor").join(spots, "cell").where(apart).select("owner", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()

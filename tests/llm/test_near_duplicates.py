@@ -121,3 +121,13 @@ def test_linked_sets_share_a_cell_and_as_many_as_needed():
         shared = np.intersect1d(x, y)
         counts = [int((shared % np.uint64(2) == p).sum()) for p in (0, 1)]
         assert any(n and c >= n for c, n in zip(counts, needs, strict=True)) and any(n and c >= n for c, n in zip(counts, other, strict=True))
+
+
+def test_names_of_cells_and_owners_leave_two_bytes_of_zeros(spark):
+    rng = random.Random(12)
+    for n in (1, 3, 40, 700):
+        cells, _ = jaccard_join.cell_signatures(np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)), 80)
+        assert cells.max() < 1 << 48 and (np.diff(cells.view(np.int64)) >= 0).all()
+    codes = spark.createDataFrame([(bytes([k]) * 16,) for k in range(256)], "code binary")
+    owners = [r.o for r in codes.select(jaccard_join.owner_of("code").alias("o")).collect()]
+    assert len(set(owners)) == 256 and all(o % 65536 == 0 for o in owners)
