@@ -101,9 +101,9 @@ def filtered(rows: DataFrame, keys: DataFrame, column: str, rest: bool = False)
     built = keys.select(at(column).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(bits))
     place = F.bitmap_bit_position(at(column))
     byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = rows.withColumn(bucket, F.bitmap_bucket_number(at(column))).join(F.broadcast(built), bucket, "left")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
-    return held.where(~hit if rest else hit).drop(bucket, bits)
+    hit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    # the bit is a condition of the join, which so makes no row but those that stay
+    return rows.join(F.broadcast(built), (F.bitmap_bucket_number(at(column)) == F.col(bucket)) & hit, "left_anti" if rest else "left_semi")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -310,10 +310,43 @@ def counted_cells() -> list[F.Column]:
     return [F.count_if(F.col("cell") % 2 == 0).alias("c0"), F.count_if(F.col("cell") % 2 != 0).alias("c1")]
 
 
+def hub_counts(shared: DataFrame) -> DataFrame:
+    """owner, hub, c0 and c1: how many cells an owner shares under a hub. Here all parts of a heavy cell have one hub, so
+    what two owners share stands under the same hubs for both."""
+    tops = shared.where("part IS NOT NULL").groupBy("cell").agg(F.min("hub").alias("_top"))
+    rows = shared.join(F.broadcast(materialise(tops, "tops")), "cell", "left")  # HEAVY bounds it
+    return rows.groupBy("owner", F.coalesce("_top", "hub").alias("hub")).agg(*counted_cells())
+
+
 #: Whether a set shares as many cells as its links would need.
 ENOUGH = "need0 > 0 AND c0 >= need0 OR need1 > 0 AND c1 >= need1"
 
 
+def unsettled(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """near (owner, hub, c0, c1, need0, need1) with label, band, block and minor, where a hub's sets have several labels, of
+    the sets that share enough cells under such hubs: no other set is linked with one of another label."""
+    rows = near.join(labels.select("owner", "label", "band", "block", "minor"), "owner")
+    mixed = rows.groupBy("hub").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("hub")
+    rows = materialise(rows.join(mixed, "hub"), "mixed")
+    sums = rows.groupBy("owner").agg(*(F.sum(c).alias(c) for c in ("c0", "c1")), *(F.first(c).alias(c) for c in ("need0", "need1")))
+    return rows.join(sums.where(ENOUGH).select("owner"), "owner", "left_semi")
+
+
+def block_visits(rows: DataFrame) -> DataFrame:
+    """owner, band and block: blocks of other sets that a minor set may be linked with; rows: unsettled().
+
+    Under a hub a set shares no more cells with a set of the block than either has; summed over the hubs they must be as
+    many as the visitor's links need."""
+    spots = rows.groupBy("hub", F.col("band").alias("_band"), F.col("block").alias("_block")).agg(
+        F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("c0").alias("_c0"), F.max("c1").alias("_c1")
+    )
+    apart = ((F.col("label") != F.col("_a")) | (F.col("label") != F.col("_b"))) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
+    met = rows.where("minor").join(spots, "hub").where(apart).groupBy("owner", "_band", "_block").agg(
+        *(F.sum(F.least(c, f"_{c}")).alias(c) for c in ("c0", "c1")), *(F.first(c).alias(c) for c in ("need0", "need1"))
+    )
+    return met.where(ENOUGH).select("owner", F.col("_band").alias("band"), F.col("_block").alias("block"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id that links reach from it, itself included.
 
@@ -331,12 +364,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = materialise(classes.withColumn("owner", owner_of("code")), "classes")
 
     shared = materialise(shared_cells(held), "shared")
-    counts = shared.groupBy("owner").agg(*counted_cells())
-    able = materialise(classes.join(counts, "owner").where(ENOUGH).select("owner", F.col("code").alias("node"), "rep", "n", "need0", "need1"), "able")
-    near = materialise(shared.join(able.select("owner"), "owner"), "near")
-    parts = near.where("part IS NOT NULL").select("cell", F.col("hub").alias("owner")).distinct()
-    hubs = parts.join(parts.groupBy("cell").agg(F.min("owner").alias("hub")), "cell")
-    clumps = components(near.select("owner", "hub").unionByName(hubs.select("owner", "hub")), "owner", "hub")
+    counts = materialise(hub_counts(shared), "counts")
+    sums = counts.groupBy("owner").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    able = materialise(classes.join(sums, "owner").where(ENOUGH).select("owner", F.col("code").alias("node"), "rep", "n", "need0", "need1"), "able")
+    near = materialise(counts.join(able.select("owner", "need0", "need1"), "owner"), "near")
+    clumps = components(near, "owner", "hub")
     members = able.join(clumps.select(F.col("node").alias("owner"), F.col("component").alias("clump")), "owner")
     placed = materialise(tile_places(docs, members.select("clump", "node", "rep", "n"), id_col, text_col, percent), "placed")
 
@@ -345,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = materialise(join_tiles(first, percent), "links")
 
     # then, in clumps of several blocks, the sets that share enough cells with other components: those that the
-    # largest component of a clump leaves out visit the blocks in which they share one
+    # largest component of a clump leaves out visit the blocks with which they share as many as one link would need
     so_far = components(links).withColumnRenamed("component", "label")
     labels = placed.select(*TILE, "node").distinct().join(so_far, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = labels.groupBy("clump", "label").agg(F.count("*").alias("_c")).groupBy("clump").agg(F.max(F.struct("_c", "label"))["label"].alias("_main"), F.count("*").alias("_labels"))
@@ -353,22 +385,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     labels = labels.join(main.where("_labels > 1"), "clump").join(spread_out, "clump").withColumn("minor", F.col("label") != F.col("_main"))
     labels = materialise(labels.select(*TILE, "node", owner_of("node").alias("owner"), owner_of("label").alias("label"), "minor"), "labels")
     if labels.limit(1).count():
-        among = W.partitionBy("cell")
-        cells = filtered(near.select("owner", "cell"), labels.select("owner"), "owner").join(labels.select("owner", "label", "band", "block", "minor"), "owner")
-        cells = cells.select("owner", "label", "band", "block", "minor", "cell")
-        foreign = cells.withColumn("_mixed", F.min("label").over(among) < F.max("label").over(among)).where("_mixed").drop("_mixed")
-        foreign = materialise(foreign, "foreign")
-        again = foreign.groupBy("owner").agg(*counted_cells()).join(able.select("owner", "need0", "need1"), "owner").where(ENOUGH).select("owner")
-        again = materialise(again.join(labels, "owner"), "again")
-        cells = filtered(foreign, again.select("owner"), "owner")  # what it lets pass visits no block: guests are of again
-        spots = cells.groupBy("cell", F.col("band").alias("_band"), F.col("block").alias("_block")).agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
-        apart = ((F.col("label") != F.col("_a")) | (F.col("label") != F.col("_b"))) & (F.abs(F.col("band") - F.col("_band")) <= 1) & ((F.col("band") != F.col("_band")) | (F.col("block") != F.col("_block")))
-        visits = cells.where("minor").join(spots, "cell").where(apart).select("owner", F.col("_band").alias("band"), F.col("_block").alias("block")).distinct()
-        visits = materialise(visits, "visits")
-        sets = filtered(placed.select("node", "shingles"), again.select("node"), "node").join(again.select(*TILE, "node", "owner", "label"), "node")
-        sets = materialise(sets, "sets")
-        guests = sets.drop("band", "block").join(visits, "owner").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
+        left = materialise(unsettled(near, labels), "left")
+        again = materialise(labels.join(left.select("owner"), "owner", "left_semi"), "again")
+        visits = materialise(block_visits(left), "visits")
         asked = again.select("owner", "clump").join(visits, "owner").select(*TILE).distinct()
+        called = again.join(visits, "owner", "left_semi").unionByName(again.join(asked, TILE, "left_semi")).select(*TILE, "node", "owner", "label").distinct()
+        called = materialise(called, "called")
+        sets = materialise(filtered(placed.select("node", "shingles"), called.select("node"), "node").join(called, "node"), "sets")
+        guests = sets.drop("band", "block").join(visits, "owner").select(*TILE, "node", "label", F.lit(True).alias("guest"), "shingles")
         hosts = sets.join(asked, TILE, "left_semi").select(*TILE, "node", "label", F.lit(False).alias("guest"), "shingles")
         so_far = components(links.unionAll(join_tiles(guests.unionByName(hosts), percent))).withColumnRenamed("component", "label")
     groups = so_far.select(F.col("node").alias("code"), F.col("label").alias("component"))

@@ -5,8 +5,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortrank.llm import components, jaccard_join
+from cohortrank.llm import common, components, jaccard_join
+from cohortrank.llm.common import filtered
 from cohortrank.llm.jaccard_join import keep_one, near_duplicates
 
 
@@ -131,3 +133,36 @@ def test_names_of_cells_and_owners_leave_two_bytes_of_zeros(spark):
     codes = spark.createDataFrame([(bytes([k]) * 16,) for k in range(256)], "code binary")
     owners = [r.o for r in codes.select(jaccard_join.owner_of("code").alias("o")).collect()]
     assert len(set(owners)) == 256 and all(o % 65536 == 0 for o in owners)
+
+
+@pytest.mark.parametrize("rest", [False, True])
+def test_the_filter_makes_no_row_but_those_that_stay(spark, rest):
+    rows = spark.range(1000).select("id", F.lit("x").alias("_bucket"))
+    out = filtered(rows, spark.createDataFrame([(3,), (500,), (None,)], "id long"), "id", rest)
+    assert {r.id for r in out.collect()} == ({*range(1000)} - {3, 500} if rest else {3, 500}) and out.columns == rows.columns
+    assert "LeftOuter" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("heavy", [0, 65_536])
+def test_the_second_pass_takes_counts_under_hubs_and_no_cells(spark, monkeypatch, heavy):
+    tables = {}
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name, *options: tables.setdefault(name, []).append(common.materialise(df, name, *options)) or tables[name][-1])
+    rows = corpus(11)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+    assert tables["visits"][0].count() and "cell" not in {c for name, made in tables.items() if name not in ("digests", "heavy", "shared", "tops") for df in made for c in df.columns}
+
+
+def test_owners_in_different_parts_of_a_heavy_cell_stand_under_one_hub(spark):
+    shared = spark.createDataFrame([(2, 10, 10, 0), (2, 11, 11, 1), (2, 12, 11, 1), (4, 11, 11, None), (7, 11, 11, None), (4, 12, 11, None)], "cell long, owner long, hub long, part int")
+    assert {tuple(r) for r in jaccard_join.hub_counts(shared).collect()} == {(10, 10, 1, 0), (11, 10, 1, 0), (12, 10, 1, 0), (11, 11, 1, 1), (12, 11, 1, 0)}
+
+
+def test_a_set_visits_blocks_with_which_it_shares_what_a_link_needs(spark):
+    near = [(1, 1, 5, 0, 4, 0), (2, 1, 5, 0, 4, 0), (3, 1, 3, 0, 4, 0), (4, 1, 5, 0, 4, 0), (5, 9, 8, 8, 4, 4)]
+    labels = [(1, 1, 0, 0, False), (2, 2, 1, 1, True), (3, 3, 0, 2, True), (4, 4, 5, 3, True), (5, 5, 0, 4, True)]
+    near = spark.createDataFrame(near, "owner long, hub long, c0 long, c1 long, need0 int, need1 int")
+    left = jaccard_join.unsettled(near, spark.createDataFrame(labels, "owner long, label long, band int, block int, minor boolean"))
+    assert {r.owner for r in left.collect()} == {1, 2, 4}  # 3 shares too few cells, 5 none with another label
+    assert {tuple(r) for r in jaccard_join.block_visits(left).collect()} == {(2, 0, 0)}  # 4 is too far in size
