@@ -14,6 +14,13 @@ def per_exposure(df: DataFrame, metrics: list[str], exposure: str = "exposure",
     return rated.withColumns(rates | {"low_exposure": F.col(exposure) < low})
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles by a sum of decimals, so that equal values give an equal mean in any order of rows. Where a value is
+    beyond the decimals (1e26, not finite) it is the plain mean."""
+    exact = value.cast("double").try_cast("decimal(38,12)")
+    return F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double") / F.nullif(F.count(value), F.lit(0))).otherwise(F.avg(value))
+
+
 def modal(df: DataFrame, keys: list[str], value: str, out: str | None = None) -> DataFrame:
     """The most frequent value of each key, the smallest at a tie; nulls don't count."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))

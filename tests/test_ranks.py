@@ -1,10 +1,14 @@
+import datetime as dt
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
+from cohortrank.operators import aggregates as A
 from cohortrank.operators import ranks as R
 from cohortrank.operators import windows as N
 from cohortrank.plans import workflow as V
+from cohortrank.queries import queries
 
 
 def test_ranks_equal_a_sort(spark):
@@ -44,3 +48,27 @@ def test_area_with_ties_and_one_class(spark):
     rows = [("a", 1, 0), ("a", 1, 1), ("a", 2, 1), ("a", 0, 0), ("b", 1, 1), ("c", 5, None), ("c", 1, 0), ("c", 6, 1)]
     got = {r.g: (r.positives, r.negatives, r.auc) for r in V.rank_auc(spark.createDataFrame(rows, "g string, s int, h int"), ["g"], "s", "h").collect()}
     assert got["a"] == (2, 2, 0.875) and got["b"] == (1, 0, None) and got["c"][:2] == (1, 1)
+
+
+def test_entities_of_equal_units_tie_in_any_order_of_rows(spark, tmp_path):
+    """24 entities with the same four units in all orders; their mean rate lies on a tie of the sixth digit."""
+    values = [(58034.16, 12.0), (321279.77, 136.0), (115865.59, 80.0), (95922.66, 10.0)]
+    orders, lines = [], []
+    for entity, own in enumerate(itertools.permutations(values)):
+        for k, (price, quantity) in enumerate(own):
+            unit = 4 * entity + k
+            orders.append((unit, entity, "O", 0.0, dt.datetime(1999, 5, 1), "5-LOW"))
+            lines.append((unit, quantity, price, 0.0))
+    for name, rows, schema in (
+        ("customer", [(i, f"c{i}", 0, "BUILDING") for i in range(24)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        ("lineitem", lines, "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [r.percentile for r in queries()["midrank_percentile"](spark, str(tmp_path)).collect()] == [50.0] * 24
+
+
+def test_exact_mean_of_odd_values(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", None), ("a", 2.5), ("b", None), ("c", 1e300), ("c", 3e300), ("d", float("nan")), ("d", 1.0), ("e", -0.1), ("e", 0.1)], "g string, x double")
+    got = {r.g: r.m for r in df.groupBy("g").agg(A.exact_mean(F.col("x")).alias("m")).collect()}
+    assert (got["a"], got["b"], got["c"], got["e"]) == (2.0, None, 2e300, 0.0) and got["d"] != got["d"]
