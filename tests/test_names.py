@@ -92,3 +92,15 @@ def test_roster_similarity_takes_the_strongest_rule(spark):
         a, b, want = cases[r.i]
         ratio = difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
         assert r.s == max(want, ratio)
+
+
+def test_terms_are_never_broadcast(spark, monkeypatch):
+    """Files of names may be small enough to be broadcast where what the names explode to is not."""
+    plans, keep = [], K.written_once
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(K, "written_once", lambda df, name: plans.append(plan(df)) or keep(df, name))
+    a = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("a"), F.concat(F.lit("club "), F.col("id").cast("string"), F.lit("q")).alias("name"))
+    best = K.best_names(a, a.withColumnRenamed("a", "b"), "a", "b", ["k"], S.name_similarity, 0.6, surnames=True)
+    plans.append(plan(best))
+    assert best.count() == 200 and len(plans) > 8
+    assert not [p for p in plans if "Broadcast" in p]
