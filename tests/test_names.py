@@ -104,3 +104,13 @@ def test_terms_are_never_broadcast(spark, monkeypatch):
     plans.append(plan(best))
     assert best.count() == 200 and len(plans) > 8
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_resolution_broadcasts_nothing(spark, monkeypatch):
+    """Records, saved pairs and what the stages resolve grow with the input, too."""
+    plans, keep = [], K.written_once
+    once = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name)
+    monkeypatch.setattr(K, "written_once", once)
+    monkeypatch.setattr(J, "written_once", once)
+    assert queries()["entity_resolution"](spark, PATH).count() == table(spark, PATH, "customer").count()
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
