@@ -76,20 +76,21 @@ def features(matches: DataFrame, schedule: DataFrame, spans: DataFrame, absences
 
 def units_missed(spans: DataFrame, matches: DataFrame, schedule: DataFrame, as_of: Column) -> DataFrame:
     """spans with `missed`: units of the entity's team of the period that lie in the span, ends included, and in which the
-    entity did not take part. An open end lasts to as_of, an open start begins at the end; repeated spans are counted once
-    and each get the number."""
+    entity did not take part. An open end lasts to as_of, an open start begins at the end; repeated spans each get the
+    number."""
     end = F.coalesce("end_day", as_of)
     closed = spans.withColumns({"_end": end, "_start": F.coalesce("start_day", end)})
-    span = ["entity", "_start", "_end"]
-    team = A.modal(matches, ["entity", "period"], "team")
-    by_team = closed.select(*span).distinct().join(team, "entity")
-    ids = [*span, "team", "period"]
+    by_period = ["entity", "period"]
+    team = A.modal(matches.repartition(*by_period), by_period, "team")
     sides = schedule.select("unit", "team", "period", F.col("day").alias("_day_at")).distinct()
-    played = matches.where("exposure > 0").select("entity", "unit", "period").distinct().join(team, ["entity", "period"]).join(sides, ["unit", "team", "period"])
-    there = J.count_within(by_team, sides, ids, ["team", "period"], "_start", "_end", "_day_at", "_n")
-    took = J.count_within(by_team, played, ids, ["entity", "team", "period"], "_start", "_end", "_day_at", "_n")
-    sums = there.select(*span, "_n").unionByName(took.select(*span, (-F.col("_n")).alias("_n"))).groupBy(*span).agg(F.sum("_n").alias("missed"))
-    return closed.join(sums, span, "left").withColumn("missed", F.coalesce("missed", F.lit(0))).select(*spans.columns, "missed")
+    took_part = matches.where("exposure > 0").select("entity", "unit", "period").repartition(*by_period).distinct()
+    played = took_part.join(team, by_period).join(sides, ["unit", "team", "period"]).where("_day_at IS NOT NULL")
+    own = played.groupBy("entity", "_day_at").agg(F.count("*").alias("n")).groupBy("entity").agg(F.collect_list(F.struct("_day_at", "n")).alias("_own"))  # a day an entry
+    within = F.filter("_own", lambda p: p["_day_at"].between(F.col("_start"), F.col("_end")))
+    took = F.coalesce(F.aggregate(within, F.lit(0).cast("long"), lambda s, p: s + p["n"]), F.lit(0))
+    closed = closed.join(own.hint("merge"), "entity", "left").withColumn("_took", took).drop("_own")
+    there = J.count_within_held(closed, "entity", team, sides, ["team", "period"], "_start", "_end", "_day_at", "_n")
+    return there.withColumn("missed", F.col("_n") - F.col("_took")).select(*spans.columns, "missed")
 
 
 def training_rows(matches: DataFrame, schedule: DataFrame, spans: DataFrame, absences: DataFrame, born: DataFrame, least_units: int = 5, target: float = 0.75, recent: int = RECENT_DAYS, before_ref: bool = False) -> DataFrame:

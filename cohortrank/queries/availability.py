@@ -24,7 +24,7 @@ tm AS (SELECT entity, period, team FROM (SELECT entity, period, team, row_number
 
 def inputs(spark, d):
     """matches, schedule, spans, absences and changes."""
-    u = written_once(units(spark, d), "units")
+    u = written_once(units(spark, d).select("entity", "unit", "cohort", "period", "ts", "exposure", "label", "status"), "units")
     team = F.concat(F.col("cohort").cast("string"), F.lit("/"), F.col("label"))
     matches = u.select("entity", "unit", "period", "ts", "exposure", "label", team.alias("team"), (F.col("status") == "P").alias("substitute"))
     other = F.concat(((F.col("cohort") + 1) % 25).cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, PRIORITIES)), (F.col("unit") % 5 + 1).cast("int")))

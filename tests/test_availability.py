@@ -1,10 +1,12 @@
 import datetime as dt
 import random
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cohortrank.operators import joins as J
 from cohortrank.operators.joins import count_within
 from cohortrank.plans import availability as P
 from cohortrank.queries import oracle_sql, queries
@@ -92,3 +94,37 @@ def test_threshold_queries_are_stable(spark):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
         answers.add(str(sorted(con.execute(f"SELECT entity, board, tier, strengths FROM ({oracle_sql()[name]})").fetchall())))
     assert len(answers) == 1
+
+
+@pytest.mark.parametrize("width, few", [(1, 50_000), (32, 50_000), (32, 0)])
+def test_count_within_held_equals_all_pairs(spark, monkeypatch, width, few):
+    monkeypatch.setattr(J, "FEW_STRETCHES", few)
+    rng, base = random.Random(width + few), dt.date(2020, 1, 1)
+    day = lambda: base + dt.timedelta(rng.randint(-40, 1500))
+    spans = [(i, rng.choice([1, 2, 3, None]), f"s{i}", day(), day() + dt.timedelta(rng.choice([0, 3, 2000]))) for i in range(80)]
+    spans += [(80, 1, "x", None, base), (81, 1, "y", base, None), (82, 9, "z", base, base), spans[0], spans[0]]
+    held = [(1, "a"), (1, "b"), (2, "b"), (2, "d"), (3, "none"), (4, "a"), (None, "a")]
+    points = [(rng.choice("abc"), day()) for _ in range(400)] + [("d", base), ("a", None), (None, base)]
+    out = J.count_within_held(
+        spark.createDataFrame(spans, "id long, o int, text string, a date, b date"), "o", spark.createDataFrame(held, "o int, k string"), spark.createDataFrame(points, "k string, at date"), ["k"], "a", "b", "at", "n", width)
+    want = [(*s, sum(1 for k, at in points for o, h in held if None not in (o, at, s[3], s[4]) and o == s[1] and h == k and s[3] <= at <= s[4])) for s in spans]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert sum(w[-1] for w in want) > 1000
+
+
+def test_long_spans_are_shuffled_as_a_row_each(spark):
+    """2000 entities, 30 spans of ten years each, a team in each of ten periods: no row for each span, team and stretch."""
+    def written():
+        time.sleep(1)  # the status store lags
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    day = lambda c: F.date_add(F.lit(dt.date(2010, 1, 1)), c.cast("int"))
+    period = F.lpad(F.col("p").cast("string"), 4, "0").alias("period")
+    matches = spark.range(2000).select(F.col("id").alias("entity"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("p")).select("entity", (F.col("entity") % 50 * 10 + F.col("p")).alias("unit"), period, F.lit(dt.datetime(2010, 1, 1)).alias("ts"), (F.col("entity") % 50).cast("string").alias("team"), F.lit(90).alias("exposure"))
+    schedule = spark.range(500).withColumn("p", F.col("id") % 10).select(F.col("id").alias("unit"), period, F.floor(F.col("id") / 10).cast("string").alias("team"), day(F.col("p") * 365).alias("day"))
+    spans = spark.range(60_000).select((F.col("id") % 2000).alias("entity"), F.lit("x").alias("kind"), day(F.col("id") % 365).alias("start_day"), day(F.col("id") % 365 + 3650).alias("end_day"))
+    began = written()
+    r = P.units_missed(spans, matches, schedule, F.lit(DAY)).agg(F.count("*").alias("n"), F.min("missed").alias("a"), F.max("missed").alias("b")).first()
+    assert (r.n, r.a, r.b) == (60_000, 0, 0)
+    assert written() - began < 4_000_000
