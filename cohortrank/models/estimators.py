@@ -13,6 +13,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortrank.operators.ranks import exact_percentiles
 from cohortrank.storage import shared_folder
 
 #: Fewest training rows of the projection, availability and value models.
@@ -82,8 +83,8 @@ def projection(df: DataFrame, numbers: list[str], labels: list[str], target: str
     """Boosted trees for a target, and the 10 and 90 per cent quantiles of its residuals."""
     guard(df, "projection")
     model = Pipeline(stages=[*matrix(numbers, labels), GBTRegressor(labelCol=target, maxIter=20, maxDepth=4, seed=42)]).fit(df)
-    q = model.transform(df).select(F.percentile(F.col(target) - F.col("prediction"), F.array(F.lit(0.1), F.lit(0.9))).alias("q")).first()["q"]
-    return model, (q[0], q[1])
+    low, high = exact_percentiles(model.transform(df).select((F.col(target) - F.col("prediction")).alias("residual")), "residual", [0.1, 0.9])
+    return model, (low, high)
 
 
 def project(df: DataFrame, model: PipelineModel, residuals: tuple[float, float]) -> DataFrame:

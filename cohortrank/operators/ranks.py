@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,3 +39,22 @@ def rank_table(df: DataFrame, peers: list[str], order: list[str], counts: list[C
 def with_ranks(df: DataFrame, peers: list[str], order: list[str]) -> DataFrame:
     """df with _ties, _below and _n of its rows."""
     return matched(df, rank_table(df, peers, order), [*peers, *order])
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Percentiles of the non-null values, linear between neighbours as F.percentile gives them, which holds all distinct values
+    in one task; here they lie in ranges."""
+    ranked = rank_table(df.where(F.col(value).isNotNull()).select(value), [], [value])
+    count = F.col("_n") - 1
+    wanted = F.array(*(f(F.lit(float(p)) * count).cast("long") for p in shares for f in (F.floor, F.ceil)))
+    held = F.filter(wanted, lambda k: (k >= F.col("_below")) & (k < F.col("_below") + F.col("_ties")))
+    found = ranked.where(F.size(held) > 0).select(value, "_below", "_ties", "_n").collect()  # two rows a share at most
+    out = []
+    for p in shares:
+        if not found:
+            out.append(None)
+            continue
+        at = p * (found[0]["_n"] - 1)
+        low, high = (next(r[value] for r in found if r["_below"] <= k < r["_below"] + r["_ties"]) for k in (math.floor(at), math.ceil(at)))
+        out.append(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return out

@@ -72,3 +72,23 @@ def test_exact_mean_of_odd_values(spark):
     df = spark.createDataFrame([("a", 1.5), ("a", None), ("a", 2.5), ("b", None), ("c", 1e300), ("c", 3e300), ("d", float("nan")), ("d", 1.0), ("e", -0.1), ("e", 0.1)], "g string, x double")
     got = {r.g: r.m for r in df.groupBy("g").agg(A.exact_mean(F.col("x")).alias("m")).collect()}
     assert (got["a"], got["b"], got["c"], got["e"]) == (2.0, None, 2e300, 0.0) and got["d"] != got["d"]
+
+
+def test_percentiles_by_ranges_equal_those_of_one_task(spark):
+    rng, shares = random.Random(9), [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for values in ([rng.gauss(0, 3) for _ in range(501)], [1.0, 1.0, None, 2.0], [7.5], [None]):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        want = df.select(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares)
+        assert R.exact_percentiles(df, "x", shares) == want
+
+
+def test_residuals_are_not_gathered_in_one_row(spark, monkeypatch):
+    from cohortrank.models import estimators as L
+
+    def refuse(*_):
+        raise AssertionError("all residuals in one task")
+
+    monkeypatch.setattr(L.F, "percentile", refuse)
+    df = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 2.0 + F.col("id") % 7).alias("y"))
+    low, high = L.projection(df, ["a"], ["g"], "y")[1]
+    assert low < 0 < high
